@@ -151,7 +151,7 @@ SQL = {
         round(least(100.0, s.coverage_percent + coalesce(a.c, 0)), 6) AS coverage_percent FROM stats s
         LEFT JOIN (SELECT image_id, category, sum(estimated_coverage_percent) AS c FROM assets GROUP BY ALL) a ON a.image_id = s.image_id AND a.category = s.category""", "stats", "assets"),
     "category_stats_naming": q("""SELECT i.image_id, d.ord, d.category, count(a.image_id) AS "count", round_even(coalesce(sum(a.estimated_area_sq_m), 0.0), 2) AS total_area_sq_m,
-        round_even(least(100.0, coalesce(sum(least(a.estimated_coverage_percent, 100.0)), 0.0)), 4) AS coverage_percent
+        round_even(least(100.0, coalesce(sum(least(coalesce(a.estimated_coverage_percent, 0.0), 100.0)), 0.0)), 4) AS coverage_percent
         FROM (SELECT DISTINCT image_id FROM named_assets) i CROSS JOIN dim d LEFT JOIN named_assets a ON a.image_id = i.image_id AND a.category = d.category GROUP BY ALL""", "named_assets", "dim"),
     "image_summary": q("""SELECT s.* REPLACE (greatest(total_assets_detected, coalesce(o.o_custkey % 40, 0)) AS total_assets_detected) FROM summary s LEFT JOIN orders o ON o.o_orderkey = s.image_id""", "summary"),
     "category_chart": q("SELECT * FROM chart", "chart"),
@@ -169,8 +169,8 @@ SQL = {
     "number_assets": q("""SELECT image_id, asset_idx, 'asset_map_' || CAST(row_number() OVER (PARTITION BY image_id ORDER BY ord, center_y, center_x, asset_idx) AS VARCHAR) AS number FROM located""", "located"),
     "rank_categories": q("""SELECT c.image_id, c.category, c."count", CAST(row_number() OVER (PARTITION BY c.image_id ORDER BY c."count" DESC, d.ord) AS INT) AS rank FROM chart c JOIN dim d ON d.category = c.category""", "chart", "dim"),
     "distinct_layers": q("SELECT DISTINCT image_id, layer_id FROM located", "located"),
-    "bbox_to_pixels": q("""SELECT image_id, box_idx, CASE WHEN ok THEN ax END AS x1, CASE WHEN ok THEN ay END AS y1, CASE WHEN ok THEN bx END AS x2, CASE WHEN ok THEN by END AS y2 FROM (
-        SELECT *, bx > ax AND by > ay AS ok FROM (SELECT image_id, box_idx, CAST(least(511, x1) AS INT) AS ax, CAST(least(383, y1) AS INT) AS ay, CAST(least(511, x2) AS INT) AS bx, CAST(least(383, y2) AS INT) AS by
+    "bbox_to_pixels": q("""SELECT image_id, box_idx, CASE WHEN ok THEN ax END AS x1, CASE WHEN ok THEN ay END AS y1, CASE WHEN ok THEN bx END AS x2, CASE WHEN ok THEN y9 END AS y2 FROM (
+        SELECT *, bx > ax AND y9 > ay AS ok FROM (SELECT image_id, box_idx, CAST(least(511, x1) AS INT) AS ax, CAST(least(383, y1) AS INT) AS ay, CAST(least(511, x2) AS INT) AS bx, CAST(least(383, y2) AS INT) AS y9
         FROM (SELECT image_id, box_idx, round_even(CASE WHEN p THEN x1 / 100 * 512 ELSE x1 END, 0) AS x1, round_even(CASE WHEN p THEN y1 / 100 * 384 ELSE y1 END, 0) AS y1,
           round_even(CASE WHEN p THEN x2 / 100 * 512 ELSE x2 END, 0) AS x2, round_even(CASE WHEN p THEN y2 / 100 * 384 ELSE y2 END, 0) AS y2
           FROM (SELECT *, greatest(x2, y2) <= 100 AS p FROM boxes))))""", "boxes"),

@@ -23,19 +23,14 @@ def safe_int(c: Column, default: int = 0) -> Column:
     return F.coalesce(number(c).try_cast("bigint"), F.lit(default).cast("bigint"))
 
 
-def at_least_zero(c: Column) -> Column:
-    zero = F.lit(0).cast("bigint") if isinstance(c, int) else F.lit(0)
-    return F.greatest(c, zero)
-
-
 def safe_text(c: Column, default: str | Column) -> Column:
     d = F.lit(default) if isinstance(default, str) else default
-    return F.coalesce(F.nullif(F.trim(c), F.lit("")), d)
+    return F.when(F.trim(c) != "", F.trim(c)).otherwise(d)
 
 
 def either_text(a: Column, b: Column) -> Column:
     """``a`` unless it is null or empty, else ``b``."""
-    return F.coalesce(F.nullif(a, F.lit("")), b)
+    return F.when(a != "", a).otherwise(b)
 
 
 def clamp(c: Column, lo: float = 0.0, hi: float = 100.0) -> Column:
@@ -59,7 +54,7 @@ def rounded(c: Column, digits: int) -> Column:
 
 def normalize_category(c: Column) -> Column:
     """Closed set of nine: exact name in any case, else the first keyword line that matches."""
-    low = F.lower(safe_text(c, ""))
+    low = F.lower(F.trim(F.coalesce(c, F.lit(""))))
     exact = [(low == name.lower(), F.lit(name)) for name, *_ in K.CATEGORIES]
     loose = [
         (reduce(lambda a, b: a | b, [low.contains(w) for w in words]), F.lit(name))
