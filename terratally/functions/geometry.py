@@ -83,6 +83,7 @@ def with_pixel_box(df: DataFrame, bbox: Column, w: Column, h: Column) -> DataFra
     rounded half to even. Steps are separate columns so that no expression is repeated
     inside another.
     """
+    keep = df.columns
     df = df.withColumns({"_" + k: F.coalesce(bbox[k], F.lit(0.0)) for k in ("x_min", "y_min", "x_max", "y_max")}
                         | {"_given": bbox.isNotNull(), "_w": w.cast("double"), "_h": h.cast("double")})
     pct = F.greatest(*[F.abs(F.col("_" + k)) for k in ("x_min", "y_min", "x_max", "y_max")]) <= 100.0
@@ -100,10 +101,10 @@ def with_pixel_box(df: DataFrame, bbox: Column, w: Column, h: Column) -> DataFra
     df = df.withColumns({
         "x1": snap(F.least, "_xa", "_xb", "_w"), "y1": snap(F.least, "_ya", "_yb", "_h"),
         "x2": snap(F.greatest, "_xa", "_xb", "_w"), "y2": snap(F.greatest, "_ya", "_yb", "_h")})
-    ok = F.col("_given") & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
-    out = df.withColumn("_ok", ok)
-    out = out.withColumns({c: F.when(F.col("_ok"), F.col(c)) for c in ("x1", "y1", "x2", "y2")})
-    return out.drop("_x_min", "_y_min", "_x_max", "_y_max", "_given", "_w", "_h", "_sx", "_sy", "_xa", "_xb", "_ya", "_yb", "_ok")
+    # A generated column keeps filters on the box from being rewritten into all of the above.
+    whole = F.filter(F.array(F.struct("x1", "y1", "x2", "y2")),
+                     lambda b: F.col("_given") & (b["x2"] > b["x1"]) & (b["y2"] > b["y1"]))
+    return df.select(*keep, whole.alias("_box")).select(*keep, F.inline_outer("_box"))
 
 
 def list_to_bbox(a: Column) -> Column:

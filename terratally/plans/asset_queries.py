@@ -390,9 +390,9 @@ def q_distinct_layers(spark, sf):
 # ---- heights
 
 def q_bbox_to_pixels(spark, sf):
-    b = F.struct(*[F.col(c).cast("double").alias(n) for c, n in (("x1", "x_min"), ("y1", "y_min"), ("x2", "x_max"), ("y2", "y_max"))])
-    df = X.boxes(spark, sf).withColumn(
-        "given", F.when(F.col("cls_id") > 2, b).otherwise(G.list_to_bbox(F.array("x1", "y2", "x2", "y1"))))
+    b = F.struct(*[F.col(c).cast("double").alias(n) for c, n in (("bx1", "x_min"), ("by1", "y_min"), ("bx2", "x_max"), ("by2", "y_max"))])
+    df = X.boxes(spark, sf).withColumnsRenamed({c: "b" + c for c in ("x1", "y1", "x2", "y2")}).withColumn(
+        "given", F.when(F.col("cls_id") > 2, b).otherwise(G.list_to_bbox(F.array("bx1", "by2", "bx2", "by1"))))
     return G.with_pixel_box(df, F.col("given"), F.col("image_w"), F.col("image_h")).select("image_id", "box_idx", "x1", "y1", "x2", "y2")
 
 
