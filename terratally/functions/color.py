@@ -10,18 +10,18 @@ def gray(r: Column, g: Column, b: Column) -> Column:
 
 
 def with_hsv(px: DataFrame) -> DataFrame:
-    """Add h (0..179), s and v (0..255) in 12-bit fixed point, and gray."""
+    """Add hue (0..179), sat and val (0..255) in 12-bit fixed point, and gray."""
     r, g, b = F.col("r"), F.col("g"), F.col("b")
-    px = px.withColumns({"v": F.greatest(r, g, b), "_d": F.greatest(r, g, b) - F.least(r, g, b)})
-    v, d = F.col("v"), F.col("_d")
+    px = px.withColumns({"val": F.greatest(r, g, b), "_d": F.greatest(r, g, b) - F.least(r, g, b)})
+    v, d = F.col("val"), F.col("_d")
     px = px.withColumns({
         "_s": F.when(v > 0, F.rint(1044480.0 / v).cast("int")).otherwise(0),
         "_k": F.when(d > 0, F.rint(122880.0 / d).cast("int")).otherwise(0),
         "_h": F.when(v == r, g - b).when(v == g, b - r + d * 2).otherwise(r - g + d * 4)})
     px = px.withColumn("_h", F.shiftright(F.col("_h") * F.col("_k") + 2048, 12))
     return px.withColumns({
-        "h": F.when(F.col("_h") < 0, F.col("_h") + 180).otherwise(F.col("_h")),
-        "s": F.shiftright(d * F.col("_s") + 2048, 12), "gray": gray(r, g, b)}).drop("_d", "_s", "_k", "_h")
+        "hue": F.when(F.col("_h") < 0, F.col("_h") + 180).otherwise(F.col("_h")),
+        "sat": F.shiftright(d * F.col("_s") + 2048, 12), "gray": gray(r, g, b)}).drop("_d", "_s", "_k", "_h")
 
 
 def in_band(band: tuple) -> Column:
@@ -30,7 +30,7 @@ def in_band(band: tuple) -> Column:
     if kind == "gray":
         return F.col("gray").between(low, high)
     out = F.lit(True)
-    for c, a, z in zip(("h", "s", "v"), low, high):
+    for c, a, z in zip(("hue", "sat", "val"), low, high):
         out = out & F.col(c).between(a, z)
     return out
 
