@@ -42,25 +42,23 @@ def map_masks(px: DataFrame, scale: float = 1.0, one_tile: bool | None = None) -
     Two chains of filters, each behind one exchange, with the region filters between them.
     """
     one_tile = Q.fits_one_tile(px) if one_tile is None else one_tile
-    m = R.minus
     edges = edge_map(px, 60, 160, one_tile).select(*R.KEY, F.col("bits").alias("edges"))
     bands = R.band_words(px, "map").join(edges, R.KEY, "left").withColumn("edges", F.coalesce("edges", F.lit(0).cast("bigint")))
     df = R.banded(bands, ["green", "water", "road", "bright", "dark", "edges"], 32)
     df = R.morph(df, [R.erode("green", 5, "green"), R.dilate("edges", 3, "edges")])
     df = R.morph(df, [("green", "green", "dilate", -4, 4)])
     df = R.morph(df, [R.erode("green", 5, "green")])
-    df = R.combine(df, "water", m, "water", "green")
+    df = R.combine(df, water="{water} & ~{green}")
     df = R.morph(df, [R.erode("water", 5, "water"), R.dilate("green", 9, "parks")])
     df = R.morph(df, [("water", "water", "dilate", -4, 4), R.erode("parks", 9, "parks")])
     df = R.morph(df, [R.erode("water", 5, "water")])
-    df = R.combine(df, "road", lambda a, e, g, w: m(a.bitwiseOR(e), g, w), "road", "edges", "green", "water")
+    df = R.combine(df, road="({road} | {edges}) & ~{green} & ~{water}")
     df = R.clean(df, {"road": 3})
-    df = R.combine(df, "building", m, "bright", "green", "water", "road")
+    df = R.combine(df, building="{bright} & ~{green} & ~{water} & ~{road}")
     df = R.morph(df, [R.erode("building", 3, "building"), R.dilate("road", 9, "near_road"), R.dilate("water", 9, "near_water")])
     df = R.morph(df, [("building", "building", "dilate", -2, 2)])
     df = R.morph(df, [R.erode("building", 3, "building")])
-    df = R.combine(df, "drain", lambda d, r, w, g: m(d.bitwiseAND(r.bitwiseOR(w)), g), "dark", "near_road", "near_water", "green")
-    df = R.combine(df, "vehicle", lambda b, r: b.bitwiseAND(r), "bright", "near_road")
+    df = R.combine(df, drain="{dark} & ({near_road} | {near_water}) & ~{green}", vehicle="{bright} & {near_road}")
     df = R.clean(df, {"drain": 3})
     first = cut_lineage(R.core(df, list(MAP_MASKS)))
 
@@ -72,9 +70,9 @@ def map_masks(px: DataFrame, scale: float = 1.0, one_tile: bool | None = None) -
         kept = kept.unionByName(region_filter_map(stats, name, scale))
     second = Q.add_masks(first, Q.keep_regions(lab, kept), drawn)
     df = R.banded(second, ["waste", "solar", "road", "building"], 16)
-    df = R.combine(df, "waste", m, "waste", "road", "building")
+    df = R.combine(df, waste="{waste} & ~{road} & ~{building}")
     df = R.morph(df, [R.dilate("building", 9, "near"), R.erode("waste", 5, "waste")])
-    df = R.combine(df, "solar", lambda a, b: a.bitwiseAND(b), "solar", "near")
+    df = R.combine(df, solar="{solar} & {near}")
     df = R.morph(df, [("waste", "waste", "dilate", -4, 4), R.erode("solar", 3, "solar")])
     df = R.morph(df, [R.erode("waste", 5, "waste"), ("solar", "solar", "dilate", -2, 2)])
     df = R.morph(df, [R.erode("solar", 3, "solar")])
@@ -155,10 +153,9 @@ def video_masks(px: DataFrame, scale: float = 1.0, one_tile: bool | None = None)
     does not pass its gate.
     """
     one_tile = Q.fits_one_tile(px) if one_tile is None else one_tile
-    m = R.minus
     df = R.banded(R.band_words(px, "video"), ["green", "water"], 32)
     df = R.clean(df, {"green": 5})
-    df = R.combine(df, "water", m, "water", "green")
+    df = R.combine(df, water="{water} & ~{green}")
     df = R.morph(df, [R.erode("water", 5, "water"), R.dilate("green", 11, "parks")])
     df = R.morph(df, [("water", "water", "dilate", -4, 4), R.erode("parks", 11, "parks")])
     df = R.morph(df, [R.erode("water", 5, "water")])
@@ -167,16 +164,15 @@ def video_masks(px: DataFrame, scale: float = 1.0, one_tile: bool | None = None)
     words, k1 = _draw(words, {"parks": ({"min_area": 8000}, {}), "water": ({"min_area": 1500}, {})}, scale, one_tile)
 
     df = R.banded(words, ["road", "lowsat", "green", "water"], 16)
-    df = R.combine(df, "road", lambda a, b, g, w: m(a.bitwiseOR(b), g, w), "road", "lowsat", "green", "water")
+    df = R.combine(df, road="({road} | {lowsat}) & ~{green} & ~{water}")
     df = R.clean(df, {"road": 5})
     words = cut_lineage(R.core(df, ["green", "parks", "water", *rest]))
     words, k2 = _draw(words, {"road": ({"min_area": 2500, "min_aspect": 3.0, "min_extent": 0.18}, {})}, scale, one_tile)
 
     df = R.banded(words, ["green", "water", "road", "bright", "roof", "dark"], 16)
-    df = R.combine(df, "building", lambda b, r, *o: m(b.bitwiseAND(r), *o), "bright", "roof", "green", "road", "water")
+    df = R.combine(df, building="{bright} & {roof} & ~{green} & ~{road} & ~{water}")
     df = R.morph(df, [R.dilate("road", 11, "ctx_road"), R.dilate("water", 11, "ctx_water"), R.dilate("road", 7, "near_road")])
-    df = R.combine(df, "drain", lambda d, a, b, g: m(d.bitwiseAND(a.bitwiseOR(b)), g), "dark", "ctx_road", "ctx_water", "green")
-    df = R.combine(df, "vehicle", lambda b, n, g: m(b.bitwiseAND(n), g), "bright", "near_road", "green")
+    df = R.combine(df, drain="{dark} & ({ctx_road} | {ctx_water}) & ~{green}", vehicle="{bright} & {near_road} & ~{green}")
     df = R.clean(df, {"building": 3, "drain": 3, "vehicle": 2})
     words = cut_lineage(R.core(df, ["green", "parks", "water", "road", "building", "drain", "vehicle", "waste", "solar"]))
     words, k3 = _draw(words, {
@@ -186,9 +182,9 @@ def video_masks(px: DataFrame, scale: float = 1.0, one_tile: bool | None = None)
     }, scale, one_tile)
 
     df = R.banded(words, ["green", "road", "building", "waste", "solar"], 16)
-    df = R.combine(df, "waste", m, "waste", "road", "building", "green")
+    df = R.combine(df, waste="{waste} & ~{road} & ~{building} & ~{green}")
     df = R.morph(df, [R.dilate("building", 7, "near"), R.erode("waste", 5, "waste")])
-    df = R.combine(df, "solar", lambda a, b: a.bitwiseAND(b), "solar", "near")
+    df = R.combine(df, solar="{solar} & {near}")
     df = R.morph(df, [("waste", "waste", "dilate", -4, 4), R.erode("solar", 3, "solar")])
     df = R.morph(df, [R.erode("waste", 5, "waste"), ("solar", "solar", "dilate", -2, 2)])
     df = R.morph(df, [R.erode("solar", 3, "solar")])
