@@ -11,7 +11,7 @@ PAIRS = lambda c, f, a=1, b=2: f"array_to_string(list_transform({c}, lambda p: {
 CTES["bld"] = ("""SELECT image_id, asset_idx, unique_id, CAST(round_even(least(511.0, x0), 0) AS INT) AS x1, CAST(round_even(least(383.0, y0), 0) AS INT) AS y1,
     CAST(round_even(least(511.0, x9), 0) AS INT) AS x2, CAST(round_even(least(383.0, y9), 0) AS INT) AS y2 FROM (
     SELECT *, round_even(xa, 4) / 100.0 * 512 AS x0, round_even(ya, 4) / 100.0 * 384 AS y0, round_even(xb, 4) / 100.0 * 512 AS x9, round_even(yb, 4) / 100.0 * 384 AS y9
-    FROM named_assets WHERE subcategory = 'buildings') WHERE CAST(round_even(least(511.0, x9), 0) AS INT) > CAST(round_even(least(511.0, x0), 0) AS INT)
+    FROM named_assets WHERE category = 'Properties & Buildings') WHERE CAST(round_even(least(511.0, x9), 0) AS INT) > CAST(round_even(least(511.0, x0), 0) AS INT)
       AND CAST(round_even(least(383.0, y9), 0) AS INT) > CAST(round_even(least(383.0, y0), 0) AS INT)""", ["named_assets"])
 CTES["matched"] = ("""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, asset_idx ORDER BY score, shadow_id) AS rn FROM (
     SELECT *, d + CASE WHEN near THEN 0.0 ELSE 15.0 END + 0.05 * sqrt((cx - (x1 + x2) / 2.0) * (cx - (x1 + x2) / 2.0) + (cy - (y1 + y2) / 2.0) * (cy - (y1 + y2) / 2.0)) AS score

@@ -118,7 +118,7 @@ CTES: dict[str, tuple[str, list[str]]] = {
         coalesce(sum(s.area_px), 0.0) / v.frames AS mean_area_px,
         coalesce(count(s.video_id) FILTER (s.cnt > 0 OR s.area_px > 0), 0) / CAST(v.frames AS DOUBLE) AS presence_ratio
         FROM (SELECT video_id, count(DISTINCT frame_idx) AS frames FROM sampled GROUP BY video_id) v CROSS JOIN dim d
-        LEFT JOIN sampled s ON s.video_id = v.video_id AND s.category = d.category GROUP BY ALL
+        LEFT JOIN sampled s ON s.video_id = v.video_id AND s.category = d.category GROUP BY v.video_id, d.ord, d.category, v.frames
         HAVING coalesce(sum(s.cnt), 0) > 0 OR coalesce(sum(s.area_px), 0) > 0""", ["sampled", "dim"]),
     "responses": (X.sql_text(X.RESPONSES), []),
     "files": (X.sql_text(X.FILES), []),

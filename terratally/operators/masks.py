@@ -206,7 +206,10 @@ def video_masks(px: DataFrame, scale: float = 1.0, one_tile: bool | None = None)
 
 def frame_observations(px: DataFrame, scale: float = 1.0, one_tile: bool | None = None) -> DataFrame:
     """Regions and covered pixels per frame and category; categories without a mask are left out."""
-    words, kept = video_masks(px, scale, one_tile)
+    return frame_observations_of(*video_masks(px, scale, one_tile))
+
+
+def frame_observations_of(words: DataFrame, kept: DataFrame) -> DataFrame:
     counts = kept.groupBy("image_id", "mask").agg(F.count(F.lit(1)).alias("cnt"))
     area = R.long_masks(words, list(MAP_MASKS)).groupBy("image_id", "mask").agg(
         F.sum(F.bit_count("bits")).cast("double").alias("area_px")).where("area_px > 0")

@@ -1,6 +1,8 @@
 """Running numbers and carried values that stay spread out when one group is huge."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -32,7 +34,7 @@ def carry_last(df: DataFrame, keys: list[str], order: str, cols: list[str], bloc
     """
     df = df.withColumn("_blk", F.floor(F.col(order) / block))
     vals = F.struct(*cols)
-    known = F.when(F.coalesce(*cols).isNotNull(), vals)
+    known = F.when(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in cols]), vals)
     tails = df.groupBy(*keys, "_blk").agg(F.max_by(vals, F.when(known.isNotNull(), F.col(order))).alias("_tail"))
     prev = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     heads = tails.select(*keys, "_blk", F.last("_tail", ignorenulls=True).over(prev).alias("_head"))

@@ -398,7 +398,7 @@ def q_bbox_to_pixels(spark, sf):
 
 def building_boxes(spark, sf):
     a = detector_assets(spark, sf).withColumns({"image_w": F.lit(512), "image_h": F.lit(384)})
-    return H.buildings(a.where("subcategory = 'buildings'"))
+    return H.buildings(a)
 
 
 def q_buildings(spark, sf):

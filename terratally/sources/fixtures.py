@@ -35,8 +35,8 @@ SELECT l_orderkey AS image_id, l_linenumber, l_partkey, l_suppkey,
   CASE CAST((l_partkey + l_linenumber) % 9 AS INT) WHEN 0 THEN '5' WHEN 1 THEN ' 5 ' WHEN 2 THEN '1e1' WHEN 3 THEN 'abc' WHEN 4 THEN NULL
     WHEN 5 THEN 'NaN' WHEN 6 THEN 'Infinity' WHEN 7 THEN '-3' ELSE '250' END AS confidence_percent,
   CASE CAST((l_suppkey + l_linenumber) % 6 AS INT) WHEN 0 THEN NULL WHEN 1 THEN '3' WHEN 2 THEN '2.9' WHEN 3 THEN '-4' WHEN 4 THEN 'many' ELSE '12' END AS estimated_count,
-  CASE CAST(l_partkey % 4 AS INT) WHEN 0 THEN NULL WHEN 1 THEN '-10.5' ELSE CAST(CAST(l_quantity * 8 AS BIGINT) AS STRING) END AS estimated_area_sq_m,
-  CASE CAST(l_suppkey % 5 AS INT) WHEN 0 THEN '120' WHEN 1 THEN NULL ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) END AS estimated_coverage_percent,
+  CASE CAST(l_partkey % 4 AS INT) WHEN 0 THEN NULL WHEN 1 THEN '-10.5' ELSE CAST(CAST(floor(l_quantity * 8) AS BIGINT) AS STRING) END AS estimated_area_sq_m,
+  CASE CAST(l_suppkey % 5 AS INT) WHEN 0 THEN '120' WHEN 1 THEN NULL ELSE CAST(CAST(floor(l_quantity) AS BIGINT) AS STRING) END AS estimated_coverage_percent,
   CASE CAST(l_linenumber % 3 AS INT) WHEN 0 THEN 'Good' WHEN 1 THEN NULL ELSE ' Worn ' END AS condition_status,
   CASE CAST(l_linenumber % 5 AS INT) WHEN 0 THEN 'High' WHEN 1 THEN NULL WHEN 2 THEN 'Low' WHEN 3 THEN '' ELSE 'Urgent' END AS maintenance_priority,
   CAST(l_partkey % 130 - 10 AS DOUBLE) AS px, CAST(l_suppkey % 120 - 5 AS DOUBLE) AS py,
@@ -68,7 +68,7 @@ SELECT o_orderkey AS response_id,
     WHEN 2 THEN replace(j, '}}]', '}},]') WHEN 3 THEN 'no json here' WHEN 4 THEN '' WHEN 5 THEN '[1, 2]'
     WHEN 6 THEN replace(j, '"image_analysis"', concat(chr(10), '"image_analysis"')) ELSE j END AS raw_text
 FROM (SELECT o_orderkey, concat(
-    '{{"image_analysis":{{"scene_type":" ', o_orderpriority, ' ","estimated_total_area_sq_m":"', CAST(CAST(o_totalprice AS BIGINT) AS STRING), '"}},',
+    '{{"image_analysis":{{"scene_type":" ', o_orderpriority, ' ","estimated_total_area_sq_m":"', CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING), '"}},',
     '"risk_analysis":{{"flood_risk":"', o_orderstatus, '"}},',
     CASE CAST(o_custkey % 4 AS INT) WHEN 0 THEN '"category_statistics":[],' WHEN 1 THEN '"category_statistics":{{"Water Bodies":{{"count":2,"total_area_sq_m":"7.5","coverage_percent":40}}}},' ELSE '' END,
     '"ai_insights":[', CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN '' WHEN 1 THEN '"one"," ",null' ELSE '"a","b","c","d","e","f"' END, '],',
@@ -144,10 +144,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def relation(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
+def relation(spark: SparkSession, sf_dir: str, template: str, tables: dict | None = None) -> DataFrame:
     for name, text in _SPARK_GRIDS.items():
         template = template.replace("{" + name + "}", text)
-    used = {t: table(spark, sf_dir, t) for t in _TABLES if "{" + t + "}" in template}
+    used = {t: (tables or {}).get(t) or table(spark, sf_dir, t) for t in _TABLES if "{" + t + "}" in template}
     return spark.sql(template, **used)
 
 
