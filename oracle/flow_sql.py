@@ -64,7 +64,7 @@ SQL = {
     "carry_forward": q("""SELECT a.video_id, a.frame_idx, a.frame_idx = b.frame_idx AS sampled, b.category, b.cnt, round(b.area_px, 6) AS area_px
         FROM (SELECT *, CAST(greatest(3, floor(max(frame_idx) OVER (PARTITION BY video_id) / 20.0)) AS INT) AS k FROM frames) a
         JOIN frames b ON b.video_id = a.video_id AND b.frame_idx = a.frame_idx - (a.frame_idx - 1) % a.k""", "frames"),
-    "video_category_stats": q("""SELECT video_id, ord, category, "count", round(mean_area_px, 6) AS mean_area_px, round(least(100.0, mean_area_px / 100000.0 * 100.0), 6) AS coverage_percent,
+    "video_category_stats": q("""SELECT video_id, ord, category, "count", round(mean_area_px, 6) AS mean_area_px, round(least(100.0, mean_area_px / 100000.0 * 100.0), 8) AS coverage_percent,
         round(presence_ratio, 9) AS presence_ratio, round_even(greatest(35.0, least(99.0, 45.0 + presence_ratio * 50.0)), 2) AS confidence_percent FROM vstats""", "vstats"),
     "video_header": q("""SELECT f.video_id, CAST(max(frame_idx) AS BIGINT) AS source_total_frames, CAST(max(frame_idx) AS BIGINT) AS processed_frames,
         count(DISTINCT frame_idx) FILTER ((frame_idx - 1) % k = 0) AS detected_frames, max(k) AS frame_stride, 12.0 AS fps

@@ -81,7 +81,7 @@ def q_carry_forward(spark, sf):
 def q_video_category_stats(spark, sf):
     out = V.video_category_stats(V.sample_frames(X.frames(spark, sf)), FRAME_PX)
     return out.select("video_id", "ord", "category", "count", F.round("mean_area_px", 6).alias("mean_area_px"),
-                      F.round("coverage_percent", 6).alias("coverage_percent"), F.round("presence_ratio", 9).alias("presence_ratio"), "confidence_percent")
+                      F.round("coverage_percent", 8).alias("coverage_percent"), F.round("presence_ratio", 9).alias("presence_ratio"), "confidence_percent")
 
 
 def q_video_header(spark, sf):
