@@ -80,8 +80,8 @@ SQL = {
     "stream_carry_forward": q("""SELECT a.video_id, a.frame_idx, a.hit AS sampled, b.category, b.cnt FROM carried a LEFT JOIN carried b ON b.video_id = a.video_id AND b.frame_idx = a.src""", "carried"),
     "stream_ingest": q("SELECT response_id, parse_warning, json_extract_string(doc, '$.image_analysis.scene_type') AS scene_type FROM docs", "docs"),
     "analyze_naming": q("""SELECT b.image_id, 'YOLO Spatial Asset Detection' AS scene_type, 196608.0 AS estimated_total_area_sq_m, 'Mixed Urban' AS dominant_land_use, assets AS total_assets_detected,
-        green AS green_cover_percent, built AS built_up_percent, 0.0 AS road_network_percent, water AS water_body_percent, parks AS open_space_percent,
-        round_even((built + 0.0 + green) / 3.0, 2) AS urban_density_score, assets, classes, with_height, max_height, round_even(conf, 2) AS overall_detection_confidence_percent,
+        round(green, 6) AS green_cover_percent, round(built, 6) AS built_up_percent, 0.0 AS road_network_percent, round(water, 6) AS water_body_percent, round(parks, 6) AS open_space_percent,
+        round((built + green) / 3.0, 6) AS urban_density_score, assets, classes, with_height, max_height, round_even(conf, 2) AS overall_detection_confidence_percent,
         'Unknown' AS encroachment_risk, 'Unknown' AS drainage_risk, 'Unknown' AS environmental_risk, 'Unknown' AS flood_risk
         FROM (SELECT DISTINCT image_id FROM good) b JOIN nstats n ON n.image_id = b.image_id""", "good", "nstats"),
     "analyze_video": q("""SELECT video_id, max(n) AS source_total_frames, max(n) AS processed_frames, max(frames) AS detected_frames, max(k) AS frame_stride, 12.0 AS fps, CAST(sum("count") AS BIGINT) AS total_assets_detected,

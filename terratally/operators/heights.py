@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from terratally import fixed_values as K
 from terratally.functions import clean as C, geometry as G
 from terratally.operators.spatial import match_shadows
+from terratally.session import cut_lineage
 
 
 def buildings(assets: DataFrame) -> DataFrame:
@@ -56,7 +57,11 @@ def building_heights(
     bld: DataFrame, shadows: DataFrame, points: DataFrame,
     mpp: Column | float = K.HEIGHT_MPP, angle: Column | float = K.SOLAR_ELEVATION,
 ) -> DataFrame:
-    """Shadow length and height per building; zeros without a shadow. Rounded to 2 decimals."""
+    """Shadow length and height per building; zeros without a shadow. Rounded to 2 decimals.
+
+    The buildings are read three times below, so they are written out once first.
+    """
+    bld = cut_lineage(bld)
     m = mpp if isinstance(mpp, Column) else F.lit(max(float(mpp), 1e-6))
     lengths = shadow_length(farthest_point(match_shadows(bld, shadows), points)).select(
         "image_id", "asset_idx", "shadow_id", "length_px")

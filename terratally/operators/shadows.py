@@ -30,4 +30,5 @@ def end_points(lab: DataFrame) -> DataFrame:
     """Row ends of the regions; the farthest point of a region is always one of them."""
     ends = lab.groupBy("image_id", F.col("lab").alias("shadow_id"), "y").agg(F.min("x0").alias("a"), F.max("x1").alias("b"))
     xs = F.array_distinct(F.array("a", "b"))
-    return ends.select("image_id", "shadow_id", F.explode(xs).cast("double").alias("px"), F.col("y").cast("double").alias("py"))
+    pts = ends.select("image_id", "shadow_id", F.explode(xs).alias("px"), F.col("y").cast("double").alias("py"))
+    return pts.withColumn("px", F.col("px").cast("double"))

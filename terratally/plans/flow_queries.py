@@ -132,7 +132,10 @@ def q_stream_ingest(spark, sf):
 # ---- modes
 
 def q_analyze_naming(spark, sf):
-    return modes.analyze_naming(X.boxes(spark, sf), X.shadows(spark, sf))
+    third = (F.col("built_up_percent") + F.col("road_network_percent") + F.col("green_cover_percent")) / 3.0
+    out = modes.analyze_naming(X.boxes(spark, sf), X.shadows(spark, sf)).withColumn("urban_density_score", third)
+    covers = ["urban_density_score", "built_up_percent", "green_cover_percent", "open_space_percent", "water_body_percent"]
+    return out.withColumns({c: F.round(c, 6) for c in covers})
 
 
 def q_analyze_video(spark, sf):

@@ -30,12 +30,12 @@ def naming_assets(boxes: DataFrame, mpp: float = 1.0) -> DataFrame:
 
 def analyze_naming(boxes: DataFrame, shadows: DataFrame | None = None, mpp: float = 1.0, additive: bool = False) -> DataFrame:
     """Boxes to a report row per image; box shadows give heights when present."""
-    assets = naming_assets(boxes, mpp)
+    assets = cut_lineage(naming_assets(boxes, mpp))
     sized = boxes.groupBy("image_id").agg(F.max("image_w").alias("image_w"), F.max("image_h").alias("image_h"))
     if shadows is not None:
         sh = H.box_shadows(shadows)
         bld = H.buildings(assets.join(sized, "image_id"))
-        assets = H.heights_to_assets(assets, H.building_heights(bld, sh, H.box_shadow_points(sh)))
+        assets = cut_lineage(H.heights_to_assets(assets, H.building_heights(bld, sh, H.box_shadow_points(sh))))
     stats = S.category_stats(assets, S.category_stats_rounded(assets) if additive else None)
     area = C.rounded(C.to_area_m2((F.col("image_w") * F.col("image_h")).cast("double"), mpp), 2)
     head = sized.select("image_id", F.lit("YOLO Spatial Asset Detection").alias("scene_type"), area.alias("estimated_total_area_sq_m"),
@@ -47,7 +47,7 @@ def image_heights(px: DataFrame, assets: DataFrame, images: DataFrame, min_area:
     """Write shadow heights, found in the pixels, onto building assets."""
     lab, regions = W.shadow_pieces(px, min_area, block, one_tile=one_tile)
     bld = H.buildings(assets.join(images.select("image_id", F.col("w").alias("image_w"), F.col("h").alias("image_h")), "image_id"))
-    return H.heights_to_assets(assets, H.building_heights(bld, W.as_shadows(regions), W.end_points(lab)))
+    return cut_lineage(H.heights_to_assets(assets, H.building_heights(bld, W.as_shadows(regions), W.end_points(lab))))
 
 
 def analyze_map(px: DataFrame, images: DataFrame, scale: float = 1.0, mpp: float = 1.0, shadow_area: float = K.SHADOW_MIN_AREA,
