@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from terratally import fixed_values as K
 from terratally.functions import clean as C
 from terratally.operators import assets as A, stats as S
+from terratally.session import cut_lineage
 
 
 def extract_json(text: Column) -> Column:
@@ -145,9 +146,11 @@ def validate_response(parsed: DataFrame, additive: bool = True) -> DataFrame:
     """One validated row per response: header, recomputed summary, risk, insights.
 
     With ``additive`` the stated category statistics and the assets add up, as in
-    the service this models; otherwise only the assets count.
+    the service this models; otherwise only the assets count. The parsed documents and
+    the assets are read several times, so each is written out once.
     """
-    assets = response_assets(parsed)
+    parsed = cut_lineage(parsed)
+    assets = cut_lineage(response_assets(parsed))
     stats = S.category_stats(assets, incoming_stats(parsed) if additive else None)
     head = header_fields(parsed)
     counts = assets.groupBy("image_id").agg(F.sum("estimated_count").alias("asset_total"))

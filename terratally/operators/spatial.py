@@ -1,8 +1,9 @@
 """Rectangle overlap joins and nearest-region matching.
 
-Rectangles meet on the cells of a few grids (32, 128, 512, ... wide) instead of on
+Rectangles meet on the cells of a few grids (32, 128, 512 and 2048 wide) instead of on
 their image alone, so an image that holds a large share of all rows is spread over
-its cells and only neighbours are ever compared.
+its cells and only neighbours are ever compared. Larger rectangles cover several cells
+of the widest grid.
 """
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from terratally import fixed_values as K
 from terratally.functions import geometry as G
 
-BASE, STEP, LEVELS = 32.0, 4.0, 7
+BASE, STEP, LEVELS = 32.0, 4.0, 4
 
 
 def _level(extent: Column) -> Column:

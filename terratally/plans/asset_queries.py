@@ -374,7 +374,7 @@ def q_mode_rollup(spark, sf):
 
 def q_number_assets(spark, sf):
     a = fixed_assets(spark, sf).withColumn("ord", A.category_ord(F.col("category")))
-    out = numbered(a, ["image_id"], F.col("ord") * 1000 + F.floor(F.col("center_coordinates.y")),
+    out = numbered(a, ["image_id"], F.col("ord") * 8 + F.floor(F.col("center_coordinates.y") / 25),
                    ["center_coordinates.y", "center_coordinates.x", "asset_idx"], "n")
     return out.select("image_id", "asset_idx", F.concat(F.lit("asset_map_"), F.col("n").cast("string")).alias("number"))
 

@@ -74,7 +74,7 @@ def analyze_block(px: DataFrame, images: DataFrame, responses: DataFrame, mpp: f
                   block: int = K.SHADOW_BLOCK) -> DataFrame:
     """Response header, risk and insights with the image's own blocks as assets."""
     one_tile = Q.fits_one_tile(images)
-    parsed = P.parse_response(responses)
+    parsed = cut_lineage(P.parse_response(responses))
     local = cut_lineage(blocks.block_assets(px, images, mpp=mpp))
     stated = A.fill_asset_defaults(P.entry_fields(P.explode_assets(parsed)))
     assets = local.unionByName(stated.join(local.select("image_id").distinct(), "image_id", "left_anti"))
