@@ -72,6 +72,19 @@ WARN_NO_ASSETS = "No valid assets found in model output; fallback asset generate
 WARN_NO_STATS = "category_statistics is not an object; computed statistics used."
 WARN_NO_BOXES = "YOLO returned no detections above threshold for this image."
 
+# Insight and warning sentences (printf style)
+NAMING_INSIGHTS = [
+    "Naming Analysis used YOLO model %s on image resolution %dx%d.",
+    "Detected %d asset candidates across mapped categories.",
+    "Coordinates and overlays are synchronized to normalized 0-100 space for frontend/GIS rendering.",
+]
+VIDEO_INSIGHTS = [
+    "Processed %d frames at %.2f FPS source rate (%dx%d); analyzed %d frames with stride %d.",
+    "Counts represent frame-level detection events from analyzed frames and are not de-duplicated object tracking IDs.",
+    "Dominant land use trend is %s with average coverage context from processed frames.",
+]
+WARN_SCALE = "Area estimates use METERS_PER_PIXEL=%s."
+
 # Map frame
 MAP_CENTER_LAT = 28.6139
 MAP_CENTER_LNG = 77.2090

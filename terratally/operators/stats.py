@@ -206,3 +206,22 @@ def map_insights(df: DataFrame) -> Column:
         F.format_string("Green density is %s (%.2f%%).", F.col("green_density"), F.col("green")),
         F.format_string("Road density is %s (%.2f%%).", F.col("road_density"), F.col("road")),
         F.format_string("Urban risk score inferred from CV masks is %s.", F.col("flood_risk")))
+
+
+def naming_insights(model: str) -> Column:
+    """Sentences from ``image_w``, ``image_h`` and the number of ``assets``."""
+    first, second, third = K.NAMING_INSIGHTS
+    return F.array(F.format_string(first, F.lit(model), "image_w", "image_h"), F.format_string(second, "assets"), F.lit(third))
+
+
+def video_insights(width: int, height: int) -> Column:
+    """Sentences from the columns of a video report."""
+    first, second, third = K.VIDEO_INSIGHTS
+    return F.array(
+        F.format_string(first, "processed_frames", "fps", F.lit(width), F.lit(height), "detected_frames", "frame_stride"),
+        F.lit(second), F.format_string(third, "dominant_land_use"))
+
+
+def naming_warnings(mpp: float = 1.0) -> Column:
+    """No-detection notice, if any, and the calibration used."""
+    return F.array_compact(F.array(F.when(F.col("assets") == 0, K.WARN_NO_BOXES), F.lit(K.WARN_SCALE % float(mpp))))

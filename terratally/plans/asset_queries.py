@@ -7,6 +7,7 @@ from terratally import fixed_values as K
 from terratally.functions import clean as C, geometry as G
 from terratally.operators import assets as A, boxes as B, gis, heights as H, stats as S
 from terratally.operators.ranking import numbered
+from terratally.session import cut_lineage
 from terratally.sources import exports, fixtures as X, ingest
 
 
@@ -398,7 +399,7 @@ def q_bbox_to_pixels(spark, sf):
 
 def building_boxes(spark, sf):
     a = detector_assets(spark, sf).withColumns({"image_w": F.lit(512), "image_h": F.lit(384)})
-    return H.buildings(a)
+    return cut_lineage(H.buildings(a))
 
 
 def q_buildings(spark, sf):

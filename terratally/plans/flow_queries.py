@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terratally import fixed_values as K
 from terratally.operators import assets as A, frames as V, responses as P, stats as S
-from terratally.operators.ranking import numbered  # noqa: F401
 from terratally.plans import asset_queries as T, modes, raster_queries as RQ
 from terratally.sources import fixtures as X, ingest
 from terratally.streaming import video as ST
@@ -138,6 +138,20 @@ def q_analyze_naming(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in covers})
 
 
+def q_naming_insights(spark, sf):
+    b = X.boxes(spark, sf)
+    per = b.groupBy("image_id").agg(F.max("image_w").alias("image_w"), F.max("image_h").alias("image_h"),
+                                    F.count_if(F.col("conf") >= K.CONF_THRESHOLD).alias("assets"))
+    text = S.naming_insights("detector.pt")
+    return per.select("image_id", *[text[i].alias(f"insight_{i + 1}") for i in range(3)], F.array_join(S.naming_warnings(), "|").alias("warnings"))
+
+
+def q_video_insights(spark, sf):
+    rep = modes.analyze_video(X.frames(spark, sf), FRAME_PX)
+    text = S.video_insights(1000, 100)
+    return rep.select("video_id", *[text[i].alias(f"insight_{i + 1}") for i in range(3)])
+
+
 def q_analyze_video(spark, sf):
     return modes.analyze_video(X.frames(spark, sf), FRAME_PX)
 

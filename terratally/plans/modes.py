@@ -10,15 +10,14 @@ from terratally.session import cut_lineage
 
 
 def report(images: DataFrame, assets: DataFrame, stats: DataFrame, risk: DataFrame | None) -> DataFrame:
-    """One row per image: header figures, land cover, density, risk, heights."""
+    """One row per image, also those without assets: header figures, land cover, density, risk, heights."""
     agg = assets.groupBy("image_id").agg(
         F.count(F.lit(1)).alias("assets"), F.countDistinct("category").alias("classes"), F.avg("confidence_percent").alias("_conf"),
         F.count_if(F.col("estimated_height_meters") > 0).alias("with_height"), F.max("estimated_height_meters").alias("max_height"))
-    out = images.join(S.urban_density(S.image_summary(stats)), "image_id").join(agg, "image_id", "left")
-    out = out.withColumns({
-        "assets": F.coalesce("assets", F.lit(0)), "classes": F.coalesce("classes", F.lit(0)),
-        "with_height": F.coalesce("with_height", F.lit(0)), "max_height": F.coalesce("max_height", F.lit(0.0)),
-        "overall_detection_confidence_percent": C.rounded(F.coalesce("_conf", F.lit(0.0)), 2)}).drop("_conf")
+    summary = S.urban_density(S.image_summary(stats))
+    figures = [c for c in summary.columns + agg.columns if c != "image_id"]
+    out = images.join(summary, "image_id", "left").join(agg, "image_id", "left").fillna(0, figures)
+    out = out.withColumn("overall_detection_confidence_percent", C.rounded(F.col("_conf"), 2)).drop("_conf")
     if risk is not None:
         return out.join(risk, "image_id", "left")
     return out.withColumns({r: F.lit("Unknown") for r in ("encroachment_risk", "drainage_risk", "environmental_risk", "flood_risk")})
