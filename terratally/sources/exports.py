@@ -58,9 +58,8 @@ def to_csv(rows: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """Text files per image folder; each file starts with the header when read through ``header=True``."""
-    rows.select("image_id", *K.CSV_COLUMNS).write.mode("overwrite").partitionBy("image_id").csv(
-        path, header=True, quoteAll=True, escape='"')
+    """CSV files with the image id in front of the export columns; file sizes follow the partitions, not the images."""
+    rows.select("image_id", *K.CSV_COLUMNS).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
 
 
 def write_geojson(features: DataFrame, path: str) -> None:
