@@ -35,3 +35,35 @@ def permute(values: np.ndarray, n: int, keys: list[np.uint64], back: bool = Fals
         out[todo] = left << shift | right
         todo = todo[out[todo] >= n]
     return out
+
+
+WIDE = (1 << 64) - 1
+
+
+def scrambled_one(x: int, key: int) -> int:
+    x = (x + key) * 0xD6E8FEB86659FD93 & WIDE
+    x ^= x >> 32
+    x = (x ^ key) * 0xCA5A826395121157 & WIDE
+    return x ^ (x >> 29)
+
+
+def permute_one(value: int, n: int, keys: list[int], back: bool = False) -> int:
+    """``permute`` of a single number, without arrays."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    mask, out = (1 << half) - 1, value
+    while True:
+        left, right = out >> half, out & mask
+        for k in reversed(keys) if back else keys:
+            if back:
+                left, right = right ^ (scrambled_one(left, k) & mask), left
+            else:
+                left, right = right, left ^ (scrambled_one(right, k) & mask)
+        out = left << half | right
+        if out < n:
+            return out
+
+
+def displaced(value: int, n: int, keys: list[int]) -> int:
+    """A keyed permutation without fixed points (n at least 2): permute, step on by a keyed distance, permute back."""
+    step = 1 + keys[0] % (n - 1)
+    return permute_one((permute_one(value, n, keys) + step) % n, n, keys, back=True)

@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terratally.llm import bpe, exact_dedup, packing, token_output
+from terratally.llm import bpe, exact_dedup, packing, pii, quality, token_output, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op2_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), v)
 
 
+def op3_pii(spark, sf_dir):
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark, sf_dir):
     v = bpe.merges_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(table(spark, sf_dir, "documents"), v)
@@ -30,13 +38,27 @@ def op8_token_output(spark, sf_dir):
                        F.crc32("payload").alias("payload_crc32"))
 
 
+def op9_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op7_packing, op8_token_output, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_pii, op6_quality, op7_packing, op8_token_output, op9_topk, op10_exact_dedup)}
 
 SQL = {
+    "op9_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+        FROM s QUALIFY rank <= 5""",
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
