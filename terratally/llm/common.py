@@ -111,3 +111,28 @@ def mixed(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node and root, the smallest node linked with it, for every node of ``links`` (u, v) that is not a root itself.
+
+    Alternating large-star and small-star steps; every round is a written table, and count and hash sum of the links
+    show when nothing moves any more.
+    """
+    def step(df: DataFrame) -> tuple[DataFrame, tuple]:
+        df = written(df.where("u <> v").distinct(), "links")
+        return df, tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    e, mark = step(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    while mark[0]:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u")
+        new, moved = step(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))))
+        e, same = new, moved == mark
+        mark = moved
+        if same:
+            break
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
