@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terratally.llm import bpe, exact_dedup, packing, pii, quality, token_output, topk
+from terratally.llm import bpe, exact_dedup, jaccard_join, packing, pii, quality, token_output, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_pii(spark, sf_dir):
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +50,7 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_pii, op6_quality, op7_packing, op8_token_output, op9_topk, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_pii, op5_jaccard_join, op6_quality, op7_packing, op8_token_output, op9_topk, op10_exact_dedup)}
 
 SQL = {
     "op9_topk": """
