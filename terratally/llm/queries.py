@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terratally.llm import bpe, exact_dedup, jaccard_join, packing, pii, quality, token_output, topk
+from terratally.llm import bpe, exact_dedup, jaccard_join, packing, pii, quality, suffix_dedup, token_output, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op3_pii(spark, sf_dir):
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    rows = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+                       F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_jaccard_join(spark, sf_dir):
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,7 +56,7 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_pii, op5_jaccard_join, op6_quality, op7_packing, op8_token_output, op9_topk, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_pii, op4_suffix_dedup, op5_jaccard_join, op6_quality, op7_packing, op8_token_output, op9_topk, op10_exact_dedup)}
 
 SQL = {
     "op9_topk": """
