@@ -268,6 +268,13 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
+def cross_pairs_of(forest: bool):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return cross_pairs(pdf, forest)
+
+    return run
+
+
 def cross_pairs(pdf: pd.DataFrame, forest: bool) -> pd.DataFrame:
     """Pairs of members in different classes that sizes and sketches let through; of these a spanning forest on demand."""
     tiles = sorted(pdf["tile"].unique())
@@ -367,7 +374,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         open_ = written(unresolved(members, roots), "open")
         if open_.isEmpty():
             break
-        more = open_.groupBy("grp", "tiles").applyInPandas(lambda pdf, forest=forest: cross_pairs(pdf, forest), "u long, v long").distinct()
+        more = open_.groupBy("grp", "tiles").applyInPandas(cross_pairs_of(forest), "u long, v long").distinct()
         links = written(links.unionByName(linked(more, sets)), "links")
         roots = components(links)
     class_of = nodes.select("a", "b", "node").join(roots, "node", "left").select("a", "b", F.coalesce("root", "node").alias("component_id"))
