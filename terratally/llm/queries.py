@@ -1,17 +1,42 @@
 """The registered queries of this subpackage. Each applies its operator to its whole table."""
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terratally.llm import bpe, exact_dedup, jaccard_join, packing, pii, quality, suffix_dedup, token_output, topk
+from terratally.llm import bpe, exact_dedup, jaccard_join, packing, pii, quality, suffix_dedup, token_counts, token_output, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Clean-up edits of a text: runs of three or more equal signs go, and of several spaces one stays.
+CLEAN_UP = re.compile(r"([#$%&*!|])\1{2,}| {2,}")
+
+
+@F.pandas_udf(token_counts.EDITS)
+def clean_up_edits(texts: pd.Series) -> pd.Series:
+    """The edits from the last to the first, so that positions hold."""
+    def edits(text):
+        found = [{"start": m.start(), "end": m.end(), "replacement": "" if m[1] else " "} for m in CLEAN_UP.finditer(text or "")]
+        return found[::-1]
+
+    return texts.map(edits)
+
+
+def op1_token_counts(spark, sf_dir):
+    v = bpe.rank_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = table(spark, sf_dir, "documents")
+    trees = token_counts.build_trees(docs, v)
+    edited = token_counts.apply_edits(trees.withColumn("edits", clean_up_edits("text")), v)
+    return edited.select("doc_id", "n_before", "n_tokens", "n_edits", "n_chars_encoded", F.size("leaf_tokens").alias("n_leaves"))
+
+
 def op2_bpe(spark, sf_dir):
     v = bpe.rank_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.round_trip(table(spark, sf_dir, "documents"), v)
@@ -56,7 +81,7 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_pii, op4_suffix_dedup, op5_jaccard_join, op6_quality, op7_packing, op8_token_output, op9_topk, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_pii, op4_suffix_dedup, op5_jaccard_join, op6_quality, op7_packing, op8_token_output, op9_topk, op10_exact_dedup)}
 
 SQL = {
     "op9_topk": """
