@@ -146,3 +146,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("winner"))
     return found.select("doc_id", keep.alias("keep_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"),
                         F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def keep_last(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns. Rows are dropped by doc_id."""
+    gone = deduplicate(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

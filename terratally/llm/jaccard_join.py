@@ -404,3 +404,9 @@ def whole_sets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), pa.array([shingles[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:])], pa.binary())], ["node", "set"])
 
     return documents(docs).mapInArrow(run, "node long, set binary")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its class, with their columns."""
+    gone = near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
