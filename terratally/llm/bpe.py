@@ -95,8 +95,20 @@ def merges_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(tokens, pairs)
 
 
+#: Words whose positions are indexed together.
+TOGETHER = 50_000
+
+
 def encode_words(v: Vocabulary, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the words that lie at ``starts`` in ``flat`` (bytes), and the number of ids of each word."""
+    cuts = [*range(0, len(starts), TOGETHER), len(starts)]
+    ends = np.append(starts, len(flat))
+    parts = [replay(v, flat[ends[a]:ends[b]], starts[a:b] - ends[a]) for a, b in zip(cuts[:-1], cuts[1:])]
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+
+def replay(v: Vocabulary, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merge replay over one index."""
     n = len(flat)
     if not n:
         return np.zeros(0, np.int32), np.zeros(len(starts), np.int64)
@@ -161,7 +173,7 @@ def encode_words(v: Vocabulary, flat: np.ndarray, starts: np.ndarray) -> tuple[n
     return ids, np.add.reduceat(alive, starts).astype(np.int64)
 
 
-def pieces(offsets: np.ndarray, limit: int = 1 << 20):
+def pieces(offsets: np.ndarray, limit: int = 1 << 19):
     """Ranges of documents of about ``limit`` bytes; a longer document is a range of its own."""
     first = 0
     while first < len(offsets) - 1:
@@ -188,6 +200,7 @@ class BlockIds:
             chars.append(np.diff(np.append(starts, len(codes))))
         byte_starts = np.concatenate(word_at)
         seen, distinct = pd.factorize(np.concatenate(hashes))
+        del word_at, hashes
         at = np.zeros(len(distinct), np.int64)
         at[seen[::-1]] = np.arange(len(seen))[::-1]  # where each distinct word stands first
         lengths = np.diff(np.append(byte_starts, len(utf8)))
@@ -196,9 +209,12 @@ class BlockIds:
         tokens, counts = encode_words(v, words, np.cumsum(n) - n)
         of = np.cumsum(counts) - counts
         per_word = counts[seen]
-        self.ids = tokens[ragged(of[seen], per_word)]
         upto = np.zeros(len(seen) + 1, np.int64)
         np.cumsum(per_word, out=upto[1:])
+        self.ids = np.empty(upto[-1], tokens.dtype)
+        for a in range(0, len(seen), TOGETHER):
+            b = min(a + TOGETHER, len(seen))
+            self.ids[upto[a]:upto[b]] = tokens[ragged(of[seen[a:b]], per_word[a:b])]
         self.offsets = upto[self.word_offsets]
         self.word_chars, self.word_counts = np.concatenate(chars), per_word
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from terratally.session import new_dir
 
 #: Bytes of text that a task works on at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def ship_package(spark: SparkSession) -> None:
