@@ -40,12 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terratally.llm.bpe import pieces as cache_pieces
 from terratally.llm.common import blocks, components, documents, mixed, parts_for, ship_package, text_bytes, written
 from terratally.llm.pretokens import BASE, powers
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
-SMALL, TILE = 8, 2048
+SMALL, TILE = 8, 1024
 BUCKET_BYTES = 4 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -73,6 +74,13 @@ def sketch_words(size: int) -> int:
 
 def block_sets(utf8: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of all documents of a block, distinct and sorted in each document, and the documents' offsets."""
+    parts = [piece_sets(utf8[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]) for a, b in cache_pieces(offsets)]
+    sizes = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
+    return np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64), np.append(0, np.cumsum(sizes))
+
+
+def piece_sets(utf8: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of a few documents, and the sizes of their sets."""
     n = len(utf8)
     text = LOWER[utf8]
     word = ~WHITE[text]
@@ -99,15 +107,19 @@ def block_sets(utf8: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
             s = np.sort(chain[a:b - WORDS + 1])
             s = s[np.append(True, s[1:] != s[:-1])]
         elif b > a:
-            whole = h[a]
-            for x in h[a + 1:b]:
-                whole = mixed(np.array([whole * BASE + x], np.uint64))[0]
-            s = mixed(np.array([whole + np.uint64(b - a)], np.uint64))
+            whole = h[a:a + 1]
+            for k in range(a + 1, b):
+                whole = mixed(whole * BASE + h[k:k + 1])
+            s = mixed(whole + np.uint64(b - a))
         else:
             continue
         out.append(s)
         sizes[i] = len(s)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.append(0, np.cumsum(sizes))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), sizes
+
+
+def salted(k: int) -> np.uint64:
+    return np.uint64(k * int(BASE) & ((1 << 64) - 1))
 
 
 def identities(shingles: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +127,7 @@ def identities(shingles: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     out = []
     for salt in (1, 2):
         total = np.zeros(len(shingles) + 1, np.uint64)
-        np.cumsum(mixed(shingles + np.uint64(salt) * BASE), out=total[1:])
+        np.cumsum(mixed(shingles + salted(salt)), out=total[1:])
         out.append(mixed(total[offsets[1:]] - total[offsets[:-1]]).view(np.int64))
     return out[0], out[1]
 
@@ -129,7 +141,7 @@ def bit_sketch(shingles: np.ndarray) -> bytes:
 def pieces_of(shingles: np.ndarray, doc: np.ndarray, band: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, key) of every piece that is not empty; shingles are sorted in each document."""
     _, _, count = bands()
-    h = shingles if not salt else mixed(shingles + np.uint64(salt) * BASE)
+    h = shingles if not salt else mixed(shingles + salted(salt))
     if salt:
         order = np.lexsort((h, doc))
         h, doc, band = h[order], doc[order], band[order]
@@ -162,7 +174,7 @@ def block_keys(shingles: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
             filled = np.bincount(d, minlength=len(sizes))
             still = np.flatnonzero(sparse & (filled <= most[own + up]))
             docs += [d, still]
-            keys += [k, mixed((own[still] + up).astype(np.uint64) + np.uint64(3) * BASE)]
+            keys += [k, mixed((own[still] + up).astype(np.uint64) + salted(3))]
     return np.concatenate(docs), np.concatenate(keys)
 
 
@@ -277,46 +289,32 @@ def cross_pairs_of(forest: bool):
 
 def cross_pairs(pdf: pd.DataFrame, forest: bool) -> pd.DataFrame:
     """Pairs of members in different classes that sizes and sketches let through; of these a spanning forest on demand."""
-    tiles = sorted(pdf["tile"].unique())
-    pdf = pdf.sort_values("n", kind="stable").reset_index(drop=True)
-    n, node, root, tile = (pdf[c].to_numpy() for c in ("n", "node", "root", "tile"))
+    pdf = pdf.sort_values("n", kind="stable")
+    n, node, tile = (pdf[c].to_numpy() for c in ("n", "node", "tile"))
+    _, group = np.unique(pdf["root"].to_numpy(), return_inverse=True)
     raw = [np.frombuffer(x, "<u8") for x in pdf["sketch"]]
-    us, vs, ds = [], [], []
+    words = min(map(len, raw))
+    sketches = np.stack([folded(x, words) for x in raw])
+    across = tile.min() != tile.max()
+    # partners are at least as large, up to a quarter more
+    most = np.searchsorted(n, n * DENOMINATOR // NUMERATOR, side="right")
+    us, vs = [node[:0]], [node[:0]]
     for i in range(len(n)):
-        # partners that are at least as large, up to a quarter more
-        to = int(np.searchsorted(n, n[i] * DENOMINATOR // NUMERATOR, side="right"))
-        j = np.arange(i + 1, to)
-        j = j[root[j] != root[i]]
-        if len(tiles) > 1:
-            j = j[tile[j] != tile[i]]
-        if not len(j):
-            continue
-        words = len(raw[i])
-        b = np.stack([folded(raw[x], words) for x in j])
-        a = raw[i]
-        d = hamming(b[:, :words], a[None, :])
+        j = np.arange(i + 1, most[i])
+        j = j[(group[j] != group[i]) & ((tile[j] != tile[i]) | (not across))]
+        d = hamming(sketches[j], sketches[i])
         ok = d <= bound(n[i], n[j])
-        us.append(np.full(int(ok.sum()), node[i]))
-        vs.append(node[j[ok]])
-        ds.append(d[ok])
-    u, v, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs, ds))
-    if forest and len(u):
-        group = dict(zip(node, root))
-        parent: dict = {}
-
-        def find(x):
-            while parent.get(x, x) != x:
-                parent[x] = parent.get(parent[x], parent[x])
-                x = parent[x]
-            return x
-
-        keep = []
-        for k in np.argsort(d, kind="stable"):
-            x, y = find(group[u[k]]), find(group[v[k]])
-            if x != y:
-                parent[x] = y
-                keep.append(k)
-        u, v = u[keep], v[keep]
+        j, d = j[ok], d[ok]
+        while len(j):
+            take = j[[np.argmin(d)]] if forest else j
+            us.append(np.full(len(take), node[i]))
+            vs.append(node[take])
+            if not forest:
+                break
+            group[group == group[take[0]]] = group[i]
+            ok = group[j] != group[i]
+            j, d = j[ok], d[ok]
+    u, v = np.concatenate(us), np.concatenate(vs)
     return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
 
