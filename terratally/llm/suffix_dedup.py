@@ -45,7 +45,7 @@ SPAN = LENGTH - KEY + 1
 CONTEXT = LENGTH + SPAN - 1
 POSITION = np.uint64((1 << 28) - 1)
 LAST = 2**63 - 1
-BLOCK, BUCKET_BYTES, DOC_BUCKET_BYTES = 16 << 20, 32 << 20, 16 << 20
+BLOCK, BUCKET_BYTES, DOC_BUCKET_BYTES = 8 << 20, 32 << 20, 16 << 20
 #: A bucket with so many times the mean is split.
 HOT = 8
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
