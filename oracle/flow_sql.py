@@ -66,6 +66,13 @@ SQL = {
         JOIN frames b ON b.video_id = a.video_id AND b.frame_idx = a.frame_idx - (a.frame_idx - 1) % a.k""", "frames"),
     "video_category_stats": q("""SELECT video_id, ord, category, "count", round(mean_area_px, 6) AS mean_area_px, round(least(100.0, mean_area_px / 100000.0 * 100.0), 8) AS coverage_percent,
         round(presence_ratio, 9) AS presence_ratio, round_even(greatest(35.0, least(99.0, 45.0 + presence_ratio * 50.0)), 2) AS confidence_percent FROM vstats""", "vstats"),
+    "video_stats_with_empty": q("""SELECT v.video_id, d.ord, d.category, CAST(sum(s.cnt) AS BIGINT) AS "count", round(sum(s.area_px) / v.frames, 6) AS mean_area_px,
+        round(count(*) / CAST(v.frames AS DOUBLE), 9) AS presence_ratio
+        FROM (SELECT video_id, count(DISTINCT frame_idx) AS frames FROM sampled GROUP BY video_id) v JOIN sampled s ON s.video_id = v.video_id AND s.cnt > 0 JOIN dim d ON d.category = s.category
+        GROUP BY v.video_id, d.ord, d.category, v.frames""", "sampled", "dim"),
+    "carry_with_empty": q("""SELECT a.video_id, a.frame_idx, CASE WHEN b.cnt > 0 THEN b.category END AS category, b.cnt
+        FROM (SELECT *, CAST(greatest(3, floor(max(frame_idx) OVER (PARTITION BY video_id) / 20.0)) AS INT) AS k FROM frames) a
+        JOIN frames b ON b.video_id = a.video_id AND b.frame_idx = a.frame_idx - (a.frame_idx - 1) % a.k""", "frames"),
     "video_header": q("""SELECT f.video_id, CAST(max(frame_idx) AS BIGINT) AS source_total_frames, CAST(max(frame_idx) AS BIGINT) AS processed_frames,
         count(DISTINCT frame_idx) FILTER ((frame_idx - 1) % k = 0) AS detected_frames, max(k) AS frame_stride, 12.0 AS fps
         FROM (SELECT *, CAST(greatest(2, floor(max(frame_idx) OVER (PARTITION BY video_id) / 20.0)) AS INT) AS k FROM frames) f GROUP BY f.video_id""", "frames"),
@@ -75,13 +82,17 @@ SQL = {
         count(f.video_id) FILTER (f.cnt > 0 OR f.area_px > 0) AS presence FROM (SELECT video_id, count(*) AS frames FROM frames0 GROUP BY 1) v CROSS JOIN dim d
         LEFT JOIN frames0 f ON f.video_id = v.video_id AND f.category = d.category GROUP BY ALL""", "frames0", "dim"),
     "stream_window_stats": q("""SELECT date_trunc('day', ts) AS window_start, category, CAST(sum(cnt) AS BIGINT) AS "count", round(sum(area_px), 4) AS area_sum, count(*) AS frames FROM frames0
-        GROUP BY 1, 2 HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM frames0) - INTERVAL 1 HOUR""", "frames0"),
+        GROUP BY 1, 2""", "frames0"),
     "stream_sample": q("SELECT video_id, CAST(event_id + 1 AS INT) AS frame_idx, category, cnt FROM frames0 WHERE event_id % 3 = 0", "frames0"),
     "stream_carry_forward": q("""SELECT a.video_id, a.frame_idx, a.hit AS sampled, b.category, b.cnt FROM carried a LEFT JOIN carried b ON b.video_id = a.video_id AND b.frame_idx = a.src""", "carried"),
     "stream_ingest": q("SELECT response_id, parse_warning, json_extract_string(doc, '$.image_analysis.scene_type') AS scene_type FROM docs", "docs"),
+    "naming_assets": q("""SELECT image_id, n AS asset_idx, 'naming_asset_' || CAST(n AS VARCHAR) AS unique_id, category, confidence_percent, round_even(xa, 4) AS x_min, round_even(ya, 4) AS y_min, round_even(xb, 4) AS x_max, round_even(yb, 4) AS y_max, estimated_area_sq_m FROM (
+        SELECT a.*, CAST(row_number() OVER (PARTITION BY a.image_id ORDER BY b.conf DESC, b.box_idx) AS INT) AS n FROM named_assets a JOIN kept_ids k ON k.image_id = a.image_id AND k.box_idx = a.asset_idx
+        JOIN boxes b ON b.image_id = a.image_id AND b.box_idx = a.asset_idx)""", "named_assets", "kept_ids", "boxes"),
     "naming_insights": q(f"""SELECT image_id, 'Naming Analysis used YOLO model detector.pt on image resolution 512x384.' AS insight_1,
-        'Detected ' || CAST(count(*) FILTER (conf >= 0.25) AS VARCHAR) || ' asset candidates across mapped categories.' AS insight_2, '{K.NAMING_INSIGHTS[2]}' AS insight_3,
-        CASE WHEN count(*) FILTER (conf >= 0.25) = 0 THEN '{K.WARN_NO_BOXES}|' ELSE '' END || 'Area estimates use METERS_PER_PIXEL=1.0.' AS warnings FROM boxes GROUP BY image_id""", "boxes"),
+        'Detected ' || CAST(count(box) AS VARCHAR) || ' asset candidates across mapped categories.' AS insight_2, '{K.NAMING_INSIGHTS[2]}' AS insight_3,
+        CASE WHEN count(box) = 0 THEN '{K.WARN_NO_BOXES}|' ELSE '' END || 'Area estimates use METERS_PER_PIXEL=1.0.' AS warnings
+        FROM (SELECT b.image_id, k.box_idx AS box FROM (SELECT DISTINCT image_id FROM boxes) b LEFT JOIN kept_ids k ON k.image_id = b.image_id) GROUP BY image_id""", "boxes", "kept_ids"),
     "video_insights": q(f"""SELECT v.video_id, 'Processed ' || CAST(max(t.n) AS VARCHAR) || ' frames at 12.00 FPS source rate (1000x100); analyzed ' || CAST(max(v.frames) AS VARCHAR) || ' frames with stride ' || CAST(max(t.k) AS VARCHAR) || '.' AS insight_1,
         '{K.VIDEO_INSIGHTS[1]}' AS insight_2, 'Dominant land use trend is ' || arg_min(category, (-mean_area_px, ord)) || ' with average coverage context from processed frames.' AS insight_3
         FROM vstats v JOIN (SELECT video_id, max(total_frames) AS n, max(stride) AS k FROM strided GROUP BY video_id) t ON t.video_id = v.video_id GROUP BY v.video_id""", "vstats", "strided"),

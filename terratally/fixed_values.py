@@ -99,6 +99,12 @@ IMAGE_TYPES = ["image/jpeg", "image/jpg", "image/png", "image/tiff", "image/webp
 VIDEO_TYPES = ["video/mp4", "video/quicktime", "video/x-msvideo", "video/x-matroska", "video/webm", "video/mpeg"]
 VIDEO_EXTENSIONS = [".mp4", ".mov", ".avi", ".mkv", ".webm", ".mpeg", ".mpg", ".m4v"]
 IMAGE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".tif", ".tiff", ".webp"]
+# Media types of file extensions
+TYPE_OF_EXTENSION = {
+    ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".tif": "image/tiff", ".tiff": "image/tiff", ".webp": "image/webp",
+    ".mp4": "video/mp4", ".m4v": "video/mp4", ".mov": "video/quicktime", ".avi": "video/x-msvideo", ".mkv": "video/x-matroska",
+    ".webm": "video/webm", ".mpeg": "video/mpeg", ".mpg": "video/mpeg",
+}
 MAX_IMAGE_BYTES = 50 * 1024 * 1024
 MAX_VIDEO_BYTES = 500 * 1024 * 1024
 ANALYSIS_MODES = ["block_analysis", "naming_analysis", "asset_map_analysis"]

@@ -97,6 +97,21 @@ def layer_shape(layer: Column) -> Column:
     )
 
 
+def plain_digits(c: Column) -> Column:
+    """Shortest digits of a double written out without an exponent, and without zeros at the end of a fraction."""
+    whole = c.cast("string").try_cast("decimal(38,0)").cast("string")
+    cut = F.regexp_replace(c.cast("string").try_cast("decimal(38,18)").cast("string"), r"0+$", "")
+    return F.when(c == F.floor(c), whole).otherwise(cut)
+
+
+def with_exponent(c: Column, width: int = 1) -> Column:
+    """Double as digits, ``e``, sign and exponent of at least ``width`` digits."""
+    text = c.cast("string")
+    power = F.regexp_extract(text, r"E(-?)(\d+)$", 2)
+    sign = F.when(F.regexp_extract(text, r"E(-?)", 1) == "-", "-").otherwise("+")
+    return F.concat(F.regexp_replace(F.regexp_extract(text, r"^(.*)E", 1), r"\.0$", ""), F.lit("e"), sign, F.lpad(power, F.greatest(F.length(power), F.lit(width)), F.lit("0")))
+
+
 def to_area_m2(area_px: Column, mpp: Column | float = 1.0) -> Column:
     m = meters_per_pixel(mpp)
     return F.greatest(area_px, F.lit(0.0)) * (m * m)

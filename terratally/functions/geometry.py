@@ -25,7 +25,7 @@ def box(x_min: Column, y_min: Column, x_max: Column, y_max: Column) -> Column:
 
 
 def repair_bbox(b: Column) -> Column:
-    """Clamped and ordered box; a missing maximum collapses onto the minimum."""
+    """Clamped and ordered box; a missing (null) maximum collapses onto the minimum."""
     x0, y0 = clamp(b["x_min"]), clamp(b["y_min"])
     x1 = F.when(b["x_max"].isNull(), x0).otherwise(clamp(b["x_max"]))
     y1 = F.when(b["y_max"].isNull(), y0).otherwise(clamp(b["y_max"]))

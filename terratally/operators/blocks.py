@@ -14,58 +14,62 @@ CLASSES = {
     "c_water": "Water Bodies", "c_road": "Roads & Footpaths"}
 
 
-def grid_sizes(images: DataFrame, gx: int = K.GRID_COLUMNS) -> DataFrame:
-    rows = F.greatest(F.lit(1), F.floor(F.lit(gx) * (F.col("h") / F.col("w"))).cast("int"))
-    return images.select("image_id", "w", "h", F.lit(gx).alias("gw"), rows.alias("gh"))
+def axis_weights(pos, n, m):
+    """Cells that a position takes part in, with weights, as an array of (cell, k).
+
+    Triangle filter in 22-bit fixed point. ``n`` positions shrink (or grow) to ``m`` cells: a cell's weights are those of
+    the positions within one cell width of its centre, divided by their sum. The cells near a position and the positions
+    of a cell follow from the sizes, so no table of weights is needed.
+    """
+    scale = n / m
+    wide = F.greatest(scale, F.lit(1.0))
+
+    def centre(cell):
+        return (cell + 0.5) * scale
+
+    def weight(p, cell):
+        return F.greatest(F.lit(0.0), 1.0 - F.abs((p - centre(cell) + 0.5) / wide))
+
+    def total(cell):
+        first = F.greatest(F.lit(0), (centre(cell) - wide + 0.5).cast("int"))
+        last = F.least(n, (centre(cell) + wide + 0.5).cast("int")) - 1
+        return F.aggregate(F.sequence(first, last), F.lit(0.0), lambda s, p: s + weight(p, cell))
+
+    low = F.greatest(F.lit(0), F.floor((pos + 0.5 - wide) / scale - 0.5).cast("int"))
+    high = F.least(m - 1, F.ceil((pos + 0.5 + wide) / scale - 0.5).cast("int"))
+    cells = F.transform(F.sequence(low, high), lambda cell: F.struct(
+        cell.alias("cell"), F.floor(weight(pos, cell) / total(cell) * 4194304.0 + 0.5).cast("bigint").alias("k")))
+    return F.filter(cells, lambda c: c["k"] > 0)
+
+
+def _shrink(df: DataFrame, size: str, target: str, pos: str, keys: list[str]) -> DataFrame:
+    tone = lambda c: F.least(F.greatest(F.shiftright(F.sum(F.col(c) * F.col("_at.k")) + 2097152, 22), F.lit(0)), F.lit(255)).cast("int").alias(c)
+    spread = df.withColumn("_at", F.explode(axis_weights(F.col(pos), F.col(size), F.col(target))))
+    return spread.groupBy(*keys, F.col("_at.cell").alias("_cell")).agg(tone("r"), tone("g"), tone("b")).withColumnRenamed("_cell", pos)
 
 
-def axis_weights(sizes: DataFrame, source: str, target: str) -> DataFrame:
-    """Triangle-filter weights (22-bit fixed point) from each source position to its cells.
+def grid_downsample(px: DataFrame, gx: int = K.GRID_COLUMNS) -> DataFrame:
+    """Image to ``gx`` columns of cells with a triangle filter: across first, then down.
 
-    One row per distinct image size, position and cell: a dimension that does not grow with
-    the number of images.
+    Two partial aggregations and no join: the pixel rows carry the size of their image.
     """
-    df = sizes.select(F.col(source).alias("n"), F.col(target).alias("m")).distinct()
-    df = df.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    scale = F.col("n") / F.col("m")
-    df = df.withColumns({"_c": (F.col("cell") + 0.5) * scale, "_f": F.greatest(scale, F.lit(1.0))})
-    first = F.greatest(F.lit(0), (F.col("_c") - F.col("_f") + 0.5).cast("int"))
-    last = F.least(F.col("n"), (F.col("_c") + F.col("_f") + 0.5).cast("int")) - 1
-    df = df.withColumn("pos", F.explode(F.sequence(first, last)))
-    tri = F.greatest(F.lit(0.0), 1.0 - F.abs((F.col("pos") - F.col("_c") + 0.5) / F.col("_f")))
-    df = df.withColumn("_t", tri)
-    total = df.groupBy("n", "m", "cell").agg(F.sum("_t").alias("_s"))
-    k = F.floor(F.col("_t") / F.col("_s") * 4194304.0 + 0.5).cast("bigint")
-    return df.join(total, ["n", "m", "cell"]).select("n", "m", "cell", "pos", k.alias("k")).where("k > 0")
-
-
-def _shrink(df: DataFrame, weights: DataFrame, size: str, target: str, pos: str, keys: list[str]) -> DataFrame:
-    w = weights.select(F.col("n").alias(size), F.col("m").alias(target), F.col("pos").alias(pos), "cell", "k")
-    tone = lambda c: F.least(F.greatest(F.shiftright(F.sum(F.col(c) * F.col("k")) + 2097152, 22), F.lit(0)), F.lit(255)).cast("int").alias(c)
-    return df.join(w, [size, target, pos]).groupBy(*keys, "cell").agg(tone("r"), tone("g"), tone("b")).withColumnRenamed("cell", pos)
-
-
-def grid_downsample(px: DataFrame, images: DataFrame, gx: int = K.GRID_COLUMNS) -> DataFrame:
-    """Image to ``gx`` columns of cells with a triangle filter: across first, then down."""
-    sizes = grid_sizes(images, gx)
-    df = px.drop("w", "h").join(sizes, "image_id")
+    df = px.withColumns({"gw": F.lit(gx), "gh": F.greatest(F.lit(1), F.floor(F.lit(gx) * (F.col("h") / F.col("w"))).cast("int"))})
     keys = ["image_id", "w", "h", "gw", "gh"]
-    df = _shrink(df, axis_weights(sizes, "w", "gw"), "w", "gw", "x", keys + ["y"])
-    return _shrink(df, axis_weights(sizes, "h", "gh"), "h", "gh", "y", keys + ["x"])
+    df = _shrink(df, "w", "gw", "x", keys + ["y"])
+    return _shrink(df, "h", "gh", "y", keys + ["x"])
 
 
-def grid_classes(px: DataFrame, images: DataFrame, gx: int = K.GRID_COLUMNS) -> DataFrame:
-    g = grid_downsample(px, images, gx)
+def grid_classes(px: DataFrame, gx: int = K.GRID_COLUMNS) -> DataFrame:
+    g = grid_downsample(px, gx)
     return g.withColumn("category", classify_rgb(F.col("r"), F.col("g"), F.col("b")))
 
 
 def block_assets(px: DataFrame, images: DataFrame, gx: int = K.GRID_COLUMNS, mpp: float = 1.0) -> DataFrame:
     """One asset per 4-connected block of equal class, numbered from 0 in reading order."""
-    cells = grid_classes(px, images, gx).select(
+    cells = grid_classes(px, gx).select(
         "image_id", F.col("gw").alias("w"), F.col("gh").alias("h"), "x", "y", "category")
     words = R.pixel_words(cells, {m: F.col("category") == c for m, c in CLASSES.items()})
-    # The grid is gx columns wide and a few times that high, far below one tile.
-    lab = Q.components(words, list(CLASSES), 4, one_tile=True)
+    lab = Q.components(words, list(CLASSES), 4)
     comp = lab.groupBy("image_id", F.col("w").alias("gw"), F.col("h").alias("gh"), "mask", "lab").agg(
         F.sum(F.col("x1") - F.col("x0") + 1).alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"),
         F.min("y").alias("y0"), F.max("y").alias("y1"))
@@ -85,7 +89,7 @@ def block_assets(px: DataFrame, images: DataFrame, gx: int = K.GRID_COLUMNS, mpp
         C.rounded(C.to_area_m2(F.col("area_px"), mpp), 2).alias("estimated_area_sq_m"),
         F.struct(C.rounded(C.to_length_m((F.col("x1") - F.col("x0") + 1) * F.col("cw"), mpp), 2).alias("length"),
                  C.rounded(C.to_length_m((F.col("y1") - F.col("y0") + 1) * F.col("ch"), mpp), 2).alias("width")).alias("estimated_dimensions_m"),
-        C.rounded(F.col("area_px") / F.greatest((F.col("w") * F.col("h")).cast("double"), F.lit(1.0)) * 100.0, 4).alias("estimated_coverage_percent"),
+        C.rounded(F.col("area_px") / F.greatest((F.col("w").cast("double") * F.col("h")), F.lit(1.0)) * 100.0, 4).alias("estimated_coverage_percent"),
         F.lit("Monitored").alias("condition_status"), F.lit("Low").alias("maintenance_priority"),
         G.point((F.col("x_min") + F.col("x_max")) / 2.0, (F.col("y_min") + F.col("y_max")) / 2.0).alias("center_coordinates"),
         F.struct(*corners).alias("bounding_box"), G.ring_from_bbox(corners).alias("polygon_coordinates"),

@@ -111,7 +111,7 @@ def boxes_to_assets(boxes: DataFrame, mpp=1.0) -> DataFrame:
     edges = (("_x0", "x1", "image_w"), ("_y0", "y1", "image_h"), ("_x9", "x2", "image_w"), ("_y9", "y2", "image_h"))
     df = boxes.withColumns({n: C.clamp(F.col(c) / F.col(s) * 100.0) for n, c, s in edges} | {
         "_bw": F.greatest(F.col("x2") - F.col("x1"), F.lit(0.0)), "_bh": F.greatest(F.col("y2") - F.col("y1"), F.lit(0.0)),
-        "_img": F.greatest((F.col("image_w") * F.col("image_h")).cast("double"), F.lit(1.0)),
+        "_img": F.greatest((F.col("image_w").cast("double") * F.col("image_h")), F.lit(1.0)),
         "category": C.class_to_category(F.col("class_name")), "subcategory": C.safe_text(F.col("class_name"), "unknown")})
     low = {n: F.least(a, b) for n, a, b in (("_x0", "_x0", "_x9"), ("_y0", "_y0", "_y9"))}
     high = {n: F.greatest(a, b) for n, a, b in (("_x9", "_x0", "_x9"), ("_y9", "_y0", "_y9"))}

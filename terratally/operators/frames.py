@@ -29,14 +29,39 @@ def sample_frames(frames: DataFrame, stride: int = K.VIDEO_STRIDE, target: int =
     return marked.where((F.col("frame_idx") - 1) % F.col("stride") == 0)
 
 
+OBSERVATION = ["category", "cnt", "area_px"]
+
+
+def with_empty(observations: DataFrame, frames: DataFrame) -> DataFrame:
+    """One row per observation, and one for each frame of the frame table (video_id, frame_idx) without any.
+
+    Such a row has no category, count 0 and area 0, so that the frame is sampled, counted in every divisor and clears
+    carried counts.
+    """
+    keys = ["video_id", "frame_idx"]
+    out = frames.select(*keys).distinct().join(observations, keys, "left")
+    return out.withColumns({"cnt": F.coalesce("cnt", F.lit(0)), "area_px": F.coalesce("area_px", F.lit(0.0))}).select(
+        *observations.columns)
+
+
+def carry_sampled(frames: DataFrame, hit) -> DataFrame:
+    """All frames; those where ``hit`` does not hold show the observations of the last frame where it does.
+
+    The observations of a frame travel together, as an array that the nine categories bound.
+    """
+    seen = frames.groupBy("video_id", "frame_idx", hit.alias("sampled")).agg(
+        F.collect_list(F.struct(*OBSERVATION)).alias("_all"))
+    seen = seen.withColumn("_seen", F.when(F.col("sampled"), F.col("_all"))).drop("_all")
+    out = carry_last(seen, ["video_id"], "frame_idx", ["_seen"])
+    return out.select("video_id", "frame_idx", "sampled", F.explode_outer("_seen").alias("_o")).select(
+        "video_id", "frame_idx", "sampled", *[F.col("_o")[c].alias(c) for c in OBSERVATION])
+
+
 def carry_forward(frames: DataFrame, stride: int = K.VIDEO_STRIDE, target: int = K.VIDEO_TARGET_FRAMES) -> DataFrame:
-    """All frames; those not sampled show the last sampled counts. One observation row per frame."""
+    """All frames; those not sampled show the observations of the last sampled frame, also if it had none."""
     marked = frames.join(video_totals(frames), "video_id").withColumn(
         "stride", frame_stride(F.col("total_frames"), stride, target))
-    hit = (F.col("frame_idx") - 1) % F.col("stride") == 0
-    cols = ["category", "cnt", "area_px"]
-    marked = marked.withColumn("sampled", hit).withColumns({c: F.when(hit, F.col(c)) for c in cols})
-    return carry_last(marked, ["video_id"], "frame_idx", cols)
+    return carry_sampled(marked, (F.col("frame_idx") - 1) % F.col("stride") == 0)
 
 
 def per_frame(frames: DataFrame) -> DataFrame:
@@ -67,12 +92,16 @@ def video_category_stats(frames: DataFrame, frame_px: float, mpp=1.0) -> DataFra
 
 def video_totals_by_category(frames: DataFrame) -> DataFrame:
     """Summed counts, areas and presence for all nine categories, zero where absent."""
+    return totals_of_frames(per_frame(frames))
+
+
+def totals_of_frames(wide: DataFrame) -> DataFrame:
+    """The same from one row per frame."""
     aggs = [F.count(F.lit(1)).alias("frames")]
     for i in range(1, len(NAMES) + 1):
         aggs += [F.sum(f"c_{i}").cast("bigint").alias(f"count_{i}"), F.sum(f"a_{i}").alias(f"area_sum_{i}"),
                  F.count_if((F.col(f"c_{i}") > 0) | (F.col(f"a_{i}") > 0)).alias(f"presence_{i}")]
-    wide = per_frame(frames).groupBy("video_id").agg(*aggs)
-    return _unpivot(wide, ["video_id", "frames"], ["count", "area_sum", "presence"])
+    return _unpivot(wide.groupBy("video_id").agg(*aggs), ["video_id", "frames"], ["count", "area_sum", "presence"])
 
 
 def video_header(frames: DataFrame, sampled: DataFrame, fps: float = 0.0) -> DataFrame:

@@ -8,8 +8,8 @@ from terratally.functions import clean as C, geometry as G
 
 
 def category_dim_join(assets: DataFrame, dim: DataFrame) -> DataFrame:
-    """Attach layer and colour from the nine-row dimension; unknown categories get the defaults."""
-    d = F.broadcast(dim.select("category", F.col("layer_id").alias("_l"), F.col("color").alias("_c")))
+    """Attach layer and colour from the dimension; unknown categories get the defaults. Spark picks the join by size."""
+    d = dim.select("category", F.col("layer_id").alias("_l"), F.col("color").alias("_c"))
     return assets.join(d, "category", "left").withColumns({
         "layer_id": F.coalesce("_l", F.lit(K.UNKNOWN_LAYER)), "color": F.coalesce("_c", F.lit(K.UNKNOWN_COLOR)),
     }).drop("_l", "_c")

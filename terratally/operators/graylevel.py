@@ -14,6 +14,7 @@ from terratally import fixed_values as K
 from terratally.functions.color import gray
 from terratally.operators.raster import KEY, long_masks
 from terratally.operators.regions import label, pieces, to_words, piece_bits
+from terratally.session import ship_package
 
 TILE = 512
 BLUR = np.array([1, 4, 6, 4, 1], np.int64)
@@ -105,6 +106,7 @@ def tile_masks(px: DataFrame, block: int | None = None, c: int = K.SHADOW_C, edg
         return pd.DataFrame(out)
 
     schema = "image_id bigint, w int, h int, y int, xb int, " + ", ".join(f"{n} bigint" for n in names)
+    ship_package(px.sparkSession)
     return _tiles(px, margin).groupBy("image_id", "_ty", "_tx").applyInPandas(run, schema)
 
 
@@ -113,11 +115,11 @@ def local_mean_threshold(px: DataFrame, block: int = K.SHADOW_BLOCK, c: int = K.
     return tile_masks(px, block, c)
 
 
-def edge_map(px: DataFrame, low: int = 60, high: int = 160, one_tile: bool | None = None) -> DataFrame:
+def edge_map(px: DataFrame, low: int = 60, high: int = 160) -> DataFrame:
     """Words of gradient edges; weak edges stay when their 8-connected line holds a strong pixel."""
     both = tile_masks(px, edges=(low, high))
     long = both.select("image_id", "w", "h", F.lit("edges").alias("mask"), "y", "xb", F.col("weak").alias("bits"), "strong")
     hit = F.bit_count(F.col("strong").bitwiseAND(piece_bits(F.col("x0"), F.col("x1")))) > 0
-    lab = label(pieces(long, "strong").withColumn("hit", hit).drop("strong"), 8, one_tile)
+    lab = label(pieces(long, "strong").withColumn("hit", hit).drop("strong"), 8)
     live = lab.where("hit").select("image_id", "mask", "lab").distinct()
     return to_words(lab.join(live, ["image_id", "mask", "lab"], "left_semi"))

@@ -36,13 +36,12 @@ def region_filter_map(regions: DataFrame, mask: str, scale: float = 1.0) -> Data
     return regions.where((F.col("mask") == mask) & rule)
 
 
-def map_masks(px: DataFrame, scale: float = 1.0, one_tile: bool | None = None) -> DataFrame:
+def map_masks(px: DataFrame, scale: float = 1.0) -> DataFrame:
     """Word table with the nine map masks.
 
     Two chains of filters, each behind one exchange, with the region filters between them.
     """
-    one_tile = Q.fits_one_tile(px) if one_tile is None else one_tile
-    edges = edge_map(px, 60, 160, one_tile).select(*R.KEY, F.col("bits").alias("edges"))
+    edges = edge_map(px, 60, 160).select(*R.KEY, F.col("bits").alias("edges"))
     bands = R.band_words(px, "map").join(edges, R.KEY, "left").withColumn("edges", F.coalesce("edges", F.lit(0).cast("bigint")))
     df = R.banded(bands, ["green", "water", "road", "bright", "dark", "edges"], 32)
     df = R.morph(df, [R.erode("green", 5, "green"), R.dilate("edges", 3, "edges")])
@@ -63,7 +62,7 @@ def map_masks(px: DataFrame, scale: float = 1.0, one_tile: bool | None = None) -
     first = cut_lineage(R.core(df, list(MAP_MASKS)))
 
     drawn = ["building", "parks", "vehicle"]
-    lab = cut_lineage(Q.labelled_regions(R.long_masks(first, drawn), one_tile))
+    lab = cut_lineage(Q.labelled_regions(R.long_masks(first, drawn)))
     stats = Q.region_stats(lab)
     kept = region_filter_map(stats, "building", scale)
     for name in drawn[1:]:
@@ -90,10 +89,9 @@ def mask_keys(mask):
     return _named(mask, {m: key_of[c] for m, c in MAP_MASKS.items()})
 
 
-def map_assets(words: DataFrame, scale: float = 1.0, mpp: float = 1.0, one_tile: bool | None = None) -> DataFrame:
+def map_assets(words: DataFrame, scale: float = 1.0, mpp: float = 1.0) -> DataFrame:
     """Asset records of all regions of the nine masks, numbered in category order."""
-    one_tile = Q.fits_one_tile(words) if one_tile is None else one_tile
-    lab = cut_lineage(Q.labelled_regions(R.long_masks(words, list(MAP_MASKS)), one_tile))
+    lab = cut_lineage(Q.labelled_regions(R.long_masks(words, list(MAP_MASKS))))
     found = Q.region_stats(lab).withColumn("mask_key", mask_keys(F.col("mask")))
     found = min_area_by_class(found, scale).withColumn("category", _named(F.col("mask"), MAP_MASKS))
     outline = Q.region_outline(Q.keep_regions(lab, found))
@@ -103,7 +101,7 @@ def map_assets(words: DataFrame, scale: float = 1.0, mpp: float = 1.0, one_tile:
     df = df.withColumns({
         "x0": norm(F.col("min_x"), "w"), "y0": norm(F.col("min_y"), "h"),
         "x9": norm(F.col("max_x") + 1, "w"), "y9": norm(F.col("max_y") + 1, "h"),
-        "cov": F.col("area") / F.greatest((F.col("w") * F.col("h")).cast("double"), F.lit(1.0)) * 100.0})
+        "cov": F.col("area") / F.greatest((F.col("w").cast("double") * F.col("h")), F.lit(1.0)) * 100.0})
     r4 = {n: C.rounded(F.col(c), 4) for n, c in (("x_min", "x0"), ("y_min", "y0"), ("x_max", "x9"), ("y_max", "y9"))}
     ring = F.transform("outline", lambda p: F.struct(
         C.rounded(norm(p["x"], "w"), 4).alias("x"), C.rounded(norm(p["y"], "h"), 4).alias("y")))
@@ -126,16 +124,16 @@ def map_assets(words: DataFrame, scale: float = 1.0, mpp: float = 1.0, one_tile:
 def stage_gates(kept: DataFrame, mask: str, at_least: int = 1, over_percent: float | None = None) -> DataFrame:
     """Regions of ``mask`` in images with enough of them (and enough of the image covered)."""
     mine = kept.where(F.col("mask") == mask)
-    proof = mine.groupBy("image_id").agg(F.count(F.lit(1)).alias("c"), (F.sum("n") / F.max(F.col("w") * F.col("h")) * 100.0).alias("pct"))
+    proof = mine.groupBy("image_id").agg(F.count(F.lit(1)).alias("c"), (F.sum("n") / F.max(F.col("w").cast("double") * F.col("h")) * 100.0).alias("pct"))
     ok = F.col("c") >= at_least
     if over_percent is not None:
         ok = ok & (F.col("pct") > over_percent)
     return mine.join(proof.where(ok).select("image_id"), "image_id", "left_semi")
 
 
-def _draw(words: DataFrame, rules: dict[str, tuple[dict, dict]], scale: float, one_tile: bool):
+def _draw(words: DataFrame, rules: dict[str, tuple[dict, dict]], scale: float):
     """Label the masks, filter and gate their regions; redraw. Returns the words and kept regions."""
-    lab = cut_lineage(Q.labelled_regions(R.long_masks(words, list(rules)), one_tile))
+    lab = cut_lineage(Q.labelled_regions(R.long_masks(words, list(rules))))
     stats = Q.region_stats(lab)
     kept = None
     for name, (bounds, gate) in rules.items():
@@ -146,13 +144,12 @@ def _draw(words: DataFrame, rules: dict[str, tuple[dict, dict]], scale: float, o
     return Q.add_masks(words, Q.keep_regions(lab, kept), list(rules)), kept
 
 
-def video_masks(px: DataFrame, scale: float = 1.0, one_tile: bool | None = None) -> tuple[DataFrame, DataFrame]:
+def video_masks(px: DataFrame, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Word table with the nine frame masks (empty where a gate fails), and the kept regions.
 
     The raw green mask is kept as ``green_raw``: it is subtracted even where green itself
     does not pass its gate.
     """
-    one_tile = Q.fits_one_tile(px) if one_tile is None else one_tile
     df = R.banded(R.band_words(px, "video"), ["green", "water"], 32)
     df = R.clean(df, {"green": 5})
     df = R.combine(df, water="{water} & ~{green}")
@@ -161,13 +158,13 @@ def video_masks(px: DataFrame, scale: float = 1.0, one_tile: bool | None = None)
     df = R.morph(df, [R.erode("water", 5, "water")])
     rest = ["road", "lowsat", "bright", "roof", "dark", "waste", "solar"]
     words = cut_lineage(R.core(df, ["green", "parks", "water", *rest]))
-    words, k1 = _draw(words, {"parks": ({"min_area": 8000}, {}), "water": ({"min_area": 1500}, {})}, scale, one_tile)
+    words, k1 = _draw(words, {"parks": ({"min_area": 8000}, {}), "water": ({"min_area": 1500}, {})}, scale)
 
     df = R.banded(words, ["road", "lowsat", "green", "water"], 16)
     df = R.combine(df, road="({road} | {lowsat}) & ~{green} & ~{water}")
     df = R.clean(df, {"road": 5})
     words = cut_lineage(R.core(df, ["green", "parks", "water", *rest]))
-    words, k2 = _draw(words, {"road": ({"min_area": 2500, "min_aspect": 3.0, "min_extent": 0.18}, {})}, scale, one_tile)
+    words, k2 = _draw(words, {"road": ({"min_area": 2500, "min_aspect": 3.0, "min_extent": 0.18}, {})}, scale)
 
     df = R.banded(words, ["green", "water", "road", "bright", "roof", "dark"], 16)
     df = R.combine(df, building="{bright} & {roof} & ~{green} & ~{road} & ~{water}")
@@ -179,7 +176,7 @@ def video_masks(px: DataFrame, scale: float = 1.0, one_tile: bool | None = None)
         "building": ({"min_area": 220, "max_area": 18000, "max_aspect": 4.5, "min_extent": 0.45}, {"at_least": 2, "over_percent": 0.05}),
         "drain": ({"min_area": 180, "max_area": 8000, "min_aspect": 4.0, "min_extent": 0.12}, {}),
         "vehicle": ({"min_area": 12, "max_area": 180, "max_aspect": 4.0, "min_extent": 0.35}, {"at_least": 3}),
-    }, scale, one_tile)
+    }, scale)
 
     df = R.banded(words, ["green", "road", "building", "waste", "solar"], 16)
     df = R.combine(df, waste="{waste} & ~{road} & ~{building} & ~{green}")
@@ -192,21 +189,21 @@ def video_masks(px: DataFrame, scale: float = 1.0, one_tile: bool | None = None)
     words, k4 = _draw(words, {
         "waste": ({"min_area": 2000, "max_area": 50000, "min_extent": 0.15}, {}),
         "solar": ({"min_area": 80, "max_area": 4000, "max_aspect": 5.0, "min_extent": 0.40}, {}),
-    }, scale, one_tile)
+    }, scale)
 
-    pct = F.sum(F.bit_count("green")) / F.max(F.col("w") * F.col("h")) * 100.0
+    pct = F.sum(F.bit_count("green")) / F.max(F.col("w").cast("double") * F.col("h")) * 100.0
     lush = words.groupBy("image_id").agg(pct.alias("p")).where("p > 1.0").select("image_id", F.lit(True).alias("_lush"))
     words = words.withColumnRenamed("green", "green_raw").join(lush, "image_id", "left").withColumn(
         "green", F.when(F.col("_lush"), F.col("green_raw")).otherwise(F.lit(0).cast("bigint"))).drop("_lush")
     words = cut_lineage(words)
-    g = Q.region_stats(Q.labelled_regions(R.long_masks(words, ["green"]), one_tile))
+    g = Q.region_stats(Q.labelled_regions(R.long_masks(words, ["green"])))
     g = Q.region_filter(g, min_area=K.MIN_FRAME_AREA["Trees & Green Cover"] * scale)
     return words, k1.unionByName(k2).unionByName(k3).unionByName(k4).unionByName(g)
 
 
-def frame_observations(px: DataFrame, scale: float = 1.0, one_tile: bool | None = None) -> DataFrame:
+def frame_observations(px: DataFrame, scale: float = 1.0) -> DataFrame:
     """Regions and covered pixels per frame and category; categories without a mask are left out."""
-    return frame_observations_of(*video_masks(px, scale, one_tile))
+    return frame_observations_of(*video_masks(px, scale))
 
 
 def frame_observations_of(words: DataFrame, kept: DataFrame) -> DataFrame:
@@ -222,8 +219,11 @@ def class_map_blend(px: DataFrame, words: DataFrame, mode: str = "map") -> DataF
     order = list(MAP_MASKS) if mode == "map" else ["green", "parks", "water", "road", "building", "drain", "vehicle", "waste", "solar"]
     rgb = {row[0]: (row[3] if mode == "map" else tuple(reversed(row[4]))) for row in K.CATEGORIES}
     own, over = (0.45, 0.55) if mode == "map" else (0.70, 0.30)
-    masks = R.word_pixels(words, order)
-    df = px.join(masks, ["image_id", "y", "x"])
+    # pixels meet their word, of which there are 64 times fewer, and test their bit
+    at = words.select("image_id", "y", "xb", *order)
+    df = px.withColumn("xb", F.floor(F.col("x") / 64).cast("int")).join(at, ["image_id", "y", "xb"])
+    bit = lambda m: F.expr(f"(shiftrightunsigned(`{m}`, CAST(x % 64 AS INT)) & 1L) = 1L")
+    df = df.withColumns({m: bit(m) for m in order})
     out = {}
     for i, c in enumerate(("r", "g", "b")):
         paint = F.coalesce(*[F.when(F.col(m), F.lit(rgb[MAP_MASKS[m]][i])) for m in reversed(order)], F.col(c))

@@ -149,4 +149,4 @@ def mask_coverage(words: DataFrame, masks: list[str], mpp: float = 1.0) -> DataF
     out = long_masks(words, masks).groupBy("image_id", "mask").agg(px.alias("pixels"), F.max("w").alias("_w"), F.max("h").alias("_h"))
     return out.select(
         "image_id", "mask", "pixels", F.bround(F.col("pixels") * float(mpp) ** 2, 2).alias("area_sq_m"),
-        F.bround(F.col("pixels") / F.greatest((F.col("_w") * F.col("_h")).cast("double"), F.lit(1.0)) * 100.0, 4).alias("coverage_percent"))
+        F.bround(F.col("pixels") / F.greatest((F.col("_w").cast("double") * F.col("_h")), F.lit(1.0)) * 100.0, 4).alias("coverage_percent"))

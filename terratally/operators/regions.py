@@ -17,11 +17,6 @@ TILE_ROWS, TILE_WORDS = 1024, 16
 PIECE = ["image_id", "w", "h", "mask", "y", "x0", "x1"]
 
 
-def fits_one_tile(px: DataFrame, rows: int = TILE_ROWS, words: int = TILE_WORDS) -> bool:
-    """Whether every image of a pixel or word table is small enough for one tile."""
-    return px.where((F.col("h") > rows) | (F.col("w") > words * 64)).select(F.lit(1)).isEmpty()
-
-
 def piece_bits(x0: Column, x1: Column) -> Column:
     """Word with the bits of a piece set."""
     return F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.lit(-1).cast("bigint"), (F.lit(63) - (x1 - x0)).cast("int")), (x0 % 64).cast("int"))
@@ -68,17 +63,13 @@ def label_tile(reach: int):
     return run
 
 
-def label(pcs: DataFrame, conn: int = 8, one_tile: bool | None = None,
+def label(pcs: DataFrame, conn: int = 8,
           rows: int = TILE_ROWS, words: int = TILE_WORDS) -> DataFrame:
     """Pieces with ``lab``, the raster index of the first pixel of their region."""
     reach = 1 if conn == 8 else 0
     df = pcs.withColumns({"_ty": F.floor(F.col("y") / rows), "_tx": F.floor(F.col("x0") / (64 * words))})
     schema = T.StructType(df.schema.fields + [T.StructField("lab", T.LongType())])
     out = df.groupBy("image_id", "_ty", "_tx").applyInPandas(label_tile(reach), schema)
-    if one_tile is None:
-        one_tile = fits_one_tile(pcs, rows, words)
-    if one_tile:
-        return out.drop("_ty", "_tx")
     out = cut_lineage(out)
     links = _border_links(out, reach, rows, words)
     roots = contract(links)
@@ -107,29 +98,32 @@ def _border_links(out: DataFrame, reach: int, rows: int, words: int) -> DataFram
 def contract(links: DataFrame) -> DataFrame:
     """Smallest label of every linked group, by alternating large-star and small-star steps.
 
-    Nothing but link pairs moves; each round is written to the shared folder.
+    Nothing but link pairs moves; each round is written to the shared folder, and its count and hash sum tell whether
+    anything moved. Without links the first count ends it.
     """
     g = ["image_id", "mask"]
-    e = cut_lineage(links.select(*g, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    while True:
+
+    def step(df: DataFrame) -> tuple[DataFrame, tuple]:
+        df = cut_lineage(df.where("u <> v").distinct())
+        return df, tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*g, "u", "v").cast("decimal(38,0)"))).first())
+
+    e, mark = step(links.select(*g, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    moved = bool(mark[0])
+    while moved:
         both = e.unionByName(e.select(*g, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*g, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, [*g, "u"]).where("v > u").select(*g, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy(*g, "u").agg(F.min("v").alias("m"))
         small = large.join(low, [*g, "u"]).select(*g, "u", "v", "m")
-        new = cut_lineage(
-            small.select(*g, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select(*g, "u", F.col("m").alias("v")))
-            .where("u <> v").distinct())
-        moved = not new.exceptAll(e).isEmpty() or not e.exceptAll(new).isEmpty()
-        e = new
-        if not moved:
-            return e.select(*g, F.col("u").alias("lab"), F.col("v").alias("root"))
+        e, now = step(small.select(*g, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select(*g, "u", F.col("m").alias("v"))))
+        moved, mark = now != mark, now
+    return e.select(*g, F.col("u").alias("lab"), F.col("v").alias("root"))
 
 
-def holes(long: DataFrame, one_tile: bool | None = None, rows: int = TILE_ROWS, words: int = TILE_WORDS) -> DataFrame:
+def holes(long: DataFrame, rows: int = TILE_ROWS, words: int = TILE_WORDS) -> DataFrame:
     """Pieces of background that no 4-connected path links to the image border."""
     back = long.withColumn("bits", F.bitwise_not(F.col("bits")).bitwiseAND(inside()))
-    lab = label(pieces(back), 4, one_tile, rows, words)
+    lab = label(pieces(back), 4, rows, words)
     edge = (F.col("y") == 0) | (F.col("y") == F.col("h") - 1) | (F.col("x0") == 0) | (F.col("x1") == F.col("w") - 1)
     outer = lab.where(edge).select("image_id", "mask", "lab").distinct()
     return lab.join(outer, ["image_id", "mask", "lab"], "left_anti")
@@ -141,9 +135,9 @@ def to_words(pcs: DataFrame) -> DataFrame:
         F.bit_or(piece_bits(F.col("x0"), F.col("x1"))).alias("bits"))
 
 
-def fill_holes(long: DataFrame, one_tile: bool | None = None, rows: int = TILE_ROWS, words: int = TILE_WORDS) -> DataFrame:
+def fill_holes(long: DataFrame, rows: int = TILE_ROWS, words: int = TILE_WORDS) -> DataFrame:
     """Masks with interior holes set."""
-    both = long.unionByName(to_words(holes(long, one_tile, rows, words)).select(long.columns))
+    both = long.unionByName(to_words(holes(long, rows, words)).select(long.columns))
     return both.groupBy("image_id", "w", "h", "mask", "y", "xb").agg(F.bit_or("bits").alias("bits"))
 
 
@@ -175,15 +169,15 @@ def corner_words(filled: DataFrame) -> DataFrame:
         F.expr("a & ((b & c & ~d) | (b & ~c & d) | (~b & c & d))").alias("q3"), F.expr("a & ~al & cl & c").alias("q3l"))
 
 
-def labelled_regions(long: DataFrame, one_tile: bool | None = None, filled: bool = False,
+def labelled_regions(long: DataFrame, filled: bool = False,
                      rows: int = TILE_ROWS, words: int = TILE_WORDS) -> DataFrame:
     """Pieces of the outer regions of every mask (holes filled, 8-connected) with label and area parts."""
-    solid = long if filled else fill_holes(long, one_tile, rows, words)
+    solid = long if filled else fill_holes(long, rows, words)
     pcs = pieces(corner_words(solid), "q4", "q3", "q3l")
     m = piece_bits(F.col("x0"), F.col("x1"))
     part = lambda c: F.bit_count(F.col(c).bitwiseAND(F.col("_m")))
     pcs = pcs.withColumn("_m", m).withColumn("area2", part("q4") * 2 + part("q3") + part("q3l")).drop("_m", "q4", "q3", "q3l")
-    return label(pcs, 8, one_tile, rows, words)
+    return label(pcs, 8, rows, words)
 
 
 def region_stats(labelled: DataFrame) -> DataFrame:
@@ -242,7 +236,7 @@ def region_outline(labelled: DataFrame) -> DataFrame:
     return out.select("image_id", "mask", F.col("lab").alias("comp_id"), ring.alias("outline"))
 
 
-def components(words: DataFrame, masks: list[str], conn: int = 8, one_tile: bool | None = None,
+def components(words: DataFrame, masks: list[str], conn: int = 8,
                rows: int = TILE_ROWS, tile_words: int = TILE_WORDS) -> DataFrame:
     """Region of every piece of the masks as they are, without filling."""
-    return label(pieces(long_masks(words, masks)), conn, one_tile, rows, tile_words)
+    return label(pieces(long_masks(words, masks)), conn, rows, tile_words)

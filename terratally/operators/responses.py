@@ -64,6 +64,13 @@ def reject_bad_assets(entries: DataFrame) -> DataFrame:
         F.format_string("Asset entry #%d is invalid and was skipped.", "asset_idx").alias("warning"))
 
 
+def box_side(name: str) -> Column:
+    """Side of a stated box as text; a side stated as null is 0, a side left out stays null."""
+    value = F.try_variant_get("entry", f"$.bounding_box.{name}", "variant")
+    stated = F.is_variant_null(value)
+    return F.when(stated, F.lit("0")).otherwise(F.try_variant_get("entry", f"$.bounding_box.{name}", "string"))
+
+
 def entry_fields(entries: DataFrame) -> DataFrame:
     """Object entries as loosely typed records, ready for ``fill_asset_defaults``."""
     get = lambda p, t="string": _get(p, t, "entry")
@@ -79,7 +86,7 @@ def entry_fields(entries: DataFrame) -> DataFrame:
         F.col("response_id").alias("image_id"), "asset_idx", *[get(f"$.{n}").alias(n) for n in plain],
         obj("$.estimated_dimensions_m", ["length", "width"]).alias("estimated_dimensions_m"),
         obj("$.center_coordinates", ["x", "y"]).alias("center_coordinates"),
-        obj("$.bounding_box", ["x_min", "y_min", "x_max", "y_max"]).alias("bounding_box"),
+        F.struct(*[box_side(n).alias(n) for n in ("x_min", "y_min", "x_max", "y_max")]).alias("bounding_box"),
         pts.alias("polygon_coordinates"))
 
 

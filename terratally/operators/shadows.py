@@ -9,13 +9,11 @@ from terratally.operators.graylevel import local_mean_threshold
 from terratally.session import cut_lineage
 
 
-def shadow_pieces(px: DataFrame, min_area: float = K.SHADOW_MIN_AREA, block: int = K.SHADOW_BLOCK, c: int = K.SHADOW_C,
-                  one_tile: bool | None = None) -> tuple[DataFrame, DataFrame]:
+def shadow_pieces(px: DataFrame, min_area: float = K.SHADOW_MIN_AREA, block: int = K.SHADOW_BLOCK, c: int = K.SHADOW_C) -> tuple[DataFrame, DataFrame]:
     """Cleaned dark regions: their labelled pieces, and the regions of at least ``min_area``."""
-    one_tile = Q.fits_one_tile(px) if one_tile is None else one_tile
     words = R.banded(local_mean_threshold(px, block, c), ["dark"], 8)
     words = R.core(R.clean(words, {"dark": 3}), ["dark"])
-    lab = cut_lineage(Q.labelled_regions(R.long_masks(words, ["dark"]), one_tile))
+    lab = cut_lineage(Q.labelled_regions(R.long_masks(words, ["dark"])))
     return lab, Q.region_filter(Q.region_stats(lab), min_area=min_area)
 
 

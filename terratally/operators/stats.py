@@ -187,8 +187,12 @@ def pad_insights(texts: Column) -> Column:
 
 
 def py_number(c: Column) -> Column:
-    """Double as text with a point and no exponent for ordinary sizes, e.g. ``12.5`` and ``0.0``."""
-    return c.cast("string")
+    """Double as text with a point, and no exponent from 1e-4 up to 1e16, e.g. ``12.5`` and ``0.0``."""
+    size = F.abs(c)
+    plain = (c == 0) | ((size >= 1e-4) & (size < 1e16))
+    odd = F.isnan(c) | (size == float("inf"))
+    text = F.concat(C.plain_digits(c), F.when(c == F.floor(c), ".0").otherwise(""))
+    return F.when(plain, text).when(odd, F.lower(c.cast("string"))).otherwise(C.with_exponent(c, 2))
 
 
 def governance_insights(df: DataFrame) -> DataFrame:

@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terratally import fixed_values as K
 from terratally.operators import assets as A, frames as V, responses as P, stats as S
 from terratally.plans import asset_queries as T, modes, raster_queries as RQ
+from terratally.session import new_dir
 from terratally.sources import fixtures as X, ingest
 from terratally.streaming import video as ST
 
@@ -17,7 +17,12 @@ def parsed(spark, sf):
 
 
 def q_scan_responses(spark, sf):
-    return X.responses(spark, sf).select("response_id", F.length("raw_text").alias("chars"), "raw_text")
+    """The responses are written as text files, one folder each, and read back by the reader."""
+    path = new_dir(spark, "responses")
+    X.responses(spark, sf).select("raw_text", "response_id").write.partitionBy("response_id").option("lineSep", "").text(path)
+    read = ingest.scan_responses(spark, path + "/*")
+    number = F.regexp_extract("response_id", r"response_id=(\d+)", 1).cast("bigint")
+    return read.select(number.alias("response_id"), F.length("raw_text").alias("chars"), "raw_text")
 
 
 def q_extract_json(spark, sf):
@@ -67,7 +72,9 @@ def q_nested_payload(spark, sf):
 # ---- frames
 
 def q_read_frames(spark, sf):
-    return X.frames(spark, sf).select("video_id", "frame_idx", "ts", "category", "cnt", F.round("area_px", 6).alias("area_px"))
+    path = new_dir(spark, "frames")
+    X.frames(spark, sf).select(*[c.split()[0] for c in ingest.FRAME_SCHEMA.split(", ")]).write.parquet(path)
+    return ingest.read_frames(spark, path).select("video_id", "frame_idx", "ts", "category", "cnt", F.round("area_px", 6).alias("area_px"))
 
 
 def q_sample_frames(spark, sf):
@@ -84,6 +91,21 @@ def q_video_category_stats(spark, sf):
                       F.round("coverage_percent", 8).alias("coverage_percent"), F.round("presence_ratio", 9).alias("presence_ratio"), "confidence_percent")
 
 
+def observed(spark, sf):
+    """Frames of which a quarter show nothing: their observations are left out and come back from the frame table."""
+    f = X.frames(spark, sf)
+    return V.with_empty(f.where("cnt > 0"), f)
+
+
+def q_video_stats_with_empty(spark, sf):
+    out = V.video_category_stats(V.sample_frames(observed(spark, sf)), FRAME_PX)
+    return out.select("video_id", "ord", "category", "count", F.round("mean_area_px", 6).alias("mean_area_px"), F.round("presence_ratio", 9).alias("presence_ratio"))
+
+
+def q_carry_with_empty(spark, sf):
+    return V.carry_forward(observed(spark, sf), 3, 20).select("video_id", "frame_idx", "category", "cnt")
+
+
 def q_video_header(spark, sf):
     f = X.frames(spark, sf)
     return V.video_header(f, V.sample_frames(f, 2, 20))
@@ -138,10 +160,16 @@ def q_analyze_naming(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in covers})
 
 
+def q_naming_assets(spark, sf):
+    return A.flatten_assets(modes.naming_assets(X.boxes(spark, sf))).select(
+        "image_id", "asset_idx", "unique_id", "category", "confidence_percent", "x_min", "y_min", "x_max", "y_max", "estimated_area_sq_m")
+
+
 def q_naming_insights(spark, sf):
     b = X.boxes(spark, sf)
-    per = b.groupBy("image_id").agg(F.max("image_w").alias("image_w"), F.max("image_h").alias("image_h"),
-                                    F.count_if(F.col("conf") >= K.CONF_THRESHOLD).alias("assets"))
+    kept = modes.naming_assets(b).groupBy("image_id").agg(F.count(F.lit(1)).alias("assets"))
+    per = b.groupBy("image_id").agg(F.max("image_w").alias("image_w"), F.max("image_h").alias("image_h"))
+    per = per.join(kept, "image_id", "left").withColumn("assets", F.coalesce("assets", F.lit(0)))
     text = S.naming_insights("detector.pt")
     return per.select("image_id", *[text[i].alias(f"insight_{i + 1}") for i in range(3)], F.array_join(S.naming_warnings(), "|").alias("warnings"))
 
@@ -163,7 +191,8 @@ def q_analyze_map(spark, sf):
 
 def q_analyze_block(spark, sf):
     resp = X.responses(spark, sf)
-    return modes.analyze_block(X.pixels(spark, sf), X.images(spark, sf), resp, shadow_area=RQ.SHADOW_AREA, block=RQ.SHADOW_BLOCK)
+    out = modes.analyze_block(X.pixels(spark, sf), X.images(spark, sf), resp, shadow_area=RQ.SHADOW_AREA, block=RQ.SHADOW_BLOCK)
+    return out.withColumn("ai_insights", F.array_join("ai_insights", "|"))
 
 
 QUERIES = {name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_")}

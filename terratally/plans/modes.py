@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from terratally import fixed_values as K
 from terratally.functions import clean as C
 from terratally.operators import assets as A, blocks, boxes as B, frames as V, heights as H, masks as M, raster as R, regions as Q, responses as P, shadows as W, stats as S
+from terratally.operators.ranking import numbered
 from terratally.session import cut_lineage
 
 
@@ -24,7 +25,10 @@ def report(images: DataFrame, assets: DataFrame, stats: DataFrame, risk: DataFra
 
 
 def naming_assets(boxes: DataFrame, mpp: float = 1.0) -> DataFrame:
-    return B.boxes_to_assets(B.box_nms(B.conf_filter(B.scan_boxes(boxes))), mpp)
+    """Records of the kept boxes, numbered from 1, the most confident first."""
+    kept = B.box_nms(B.conf_filter(B.scan_boxes(boxes)))
+    kept = numbered(kept, ["image_id"], F.floor((1.0 - F.col("conf")) * 64), [F.desc("conf"), "box_idx"], "_n")
+    return B.boxes_to_assets(kept.withColumn("box_idx", F.col("_n")).drop("_n"), mpp)
 
 
 def analyze_naming(boxes: DataFrame, shadows: DataFrame | None = None, mpp: float = 1.0, additive: bool = False) -> DataFrame:
@@ -36,15 +40,15 @@ def analyze_naming(boxes: DataFrame, shadows: DataFrame | None = None, mpp: floa
         bld = H.buildings(assets.join(sized, "image_id"))
         assets = cut_lineage(H.heights_to_assets(assets, H.building_heights(bld, sh, H.box_shadow_points(sh))))
     stats = S.category_stats(assets, S.category_stats_rounded(assets) if additive else None)
-    area = C.rounded(C.to_area_m2((F.col("image_w") * F.col("image_h")).cast("double"), mpp), 2)
+    area = C.rounded(C.to_area_m2((F.col("image_w").cast("double") * F.col("image_h")), mpp), 2)
     head = sized.select("image_id", F.lit("YOLO Spatial Asset Detection").alias("scene_type"), area.alias("estimated_total_area_sq_m"),
                         F.lit("Mixed Urban").alias("dominant_land_use"))
     return report(head, assets, stats, None)
 
 
-def image_heights(px: DataFrame, assets: DataFrame, images: DataFrame, min_area: float, block: int, one_tile: bool | None) -> DataFrame:
+def image_heights(px: DataFrame, assets: DataFrame, images: DataFrame, min_area: float, block: int) -> DataFrame:
     """Write shadow heights, found in the pixels, onto building assets."""
-    lab, regions = W.shadow_pieces(px, min_area, block, one_tile=one_tile)
+    lab, regions = W.shadow_pieces(px, min_area, block)
     bld = H.buildings(assets.join(images.select("image_id", F.col("w").alias("image_w"), F.col("h").alias("image_h")), "image_id"))
     return cut_lineage(H.heights_to_assets(assets, H.building_heights(bld, W.as_shadows(regions), W.end_points(lab))))
 
@@ -52,11 +56,10 @@ def image_heights(px: DataFrame, assets: DataFrame, images: DataFrame, min_area:
 def analyze_map(px: DataFrame, images: DataFrame, scale: float = 1.0, mpp: float = 1.0, shadow_area: float = K.SHADOW_MIN_AREA,
                 block: int = K.SHADOW_BLOCK, words: DataFrame | None = None) -> DataFrame:
     """Pixels to a report row per image: masks, regions, coverage, risk, heights."""
-    one_tile = Q.fits_one_tile(images)
     if words is None:
-        words = cut_lineage(M.map_masks(px, scale, one_tile))
-    assets = cut_lineage(M.map_assets(words, scale, mpp, one_tile))
-    assets = image_heights(px, assets, images, shadow_area, block, one_tile)
+        words = cut_lineage(M.map_masks(px, scale))
+    assets = cut_lineage(M.map_assets(words, scale, mpp))
+    assets = image_heights(px, assets, images, shadow_area, block)
     counts = assets.groupBy("image_id", "category").agg(F.count(F.lit(1)).alias("count"))
     cover = R.mask_coverage(words, list(M.MAP_MASKS), mpp).withColumn("category", M._named(F.col("mask"), M.MAP_MASKS))
     stats = cover.join(counts, ["image_id", "category"], "left").select(
@@ -64,7 +67,7 @@ def analyze_map(px: DataFrame, images: DataFrame, scale: float = 1.0, mpp: float
         F.col("area_sq_m").alias("total_area_sq_m"), "coverage_percent")
     risk = S.density_labels(S.risk_flags(S.risk_inputs(stats, False), "map")).drop("built", "drains", "green", "water", "road")
     head = images.select("image_id", F.lit("CV Asset Map Analysis").alias("scene_type"),
-                         C.rounded(C.to_area_m2((F.col("w") * F.col("h")).cast("double"), mpp), 2).alias("estimated_total_area_sq_m"),
+                         C.rounded(C.to_area_m2((F.col("w").cast("double") * F.col("h")), mpp), 2).alias("estimated_total_area_sq_m"),
                          F.lit("Mixed Urban").alias("dominant_land_use"))
     return report(head, assets, stats, risk)
 
@@ -72,21 +75,27 @@ def analyze_map(px: DataFrame, images: DataFrame, scale: float = 1.0, mpp: float
 def analyze_block(px: DataFrame, images: DataFrame, responses: DataFrame, mpp: float = 1.0, shadow_area: float = K.SHADOW_MIN_AREA,
                   block: int = K.SHADOW_BLOCK) -> DataFrame:
     """Response header, risk and insights with the image's own blocks as assets."""
-    one_tile = Q.fits_one_tile(images)
     parsed = cut_lineage(P.parse_response(responses))
     local = cut_lineage(blocks.block_assets(px, images, mpp=mpp))
     stated = A.fill_asset_defaults(P.entry_fields(P.explode_assets(parsed)))
     assets = local.unionByName(stated.join(local.select("image_id").distinct(), "image_id", "left_anti"))
     assets = A.fallback_asset(images, assets.join(images.select("image_id"), "image_id", "left_semi"))
-    assets = image_heights(px, assets, images, shadow_area, block, one_tile)
+    assets = image_heights(px, assets, images, shadow_area, block)
     stats = S.category_stats(assets, P.incoming_stats(parsed).join(images.select("image_id"), "image_id", "left_semi"))
-    head = P.header_fields(parsed).drop("estimated_total_area_sq_m", "given", "ai_insights", "overall_detection_confidence_percent")
-    area = C.rounded(C.to_area_m2((F.col("w") * F.col("h")).cast("double"), mpp), 2)
-    head = images.select("image_id", area.alias("estimated_total_area_sq_m")).join(head.withColumnRenamed("response_id", "image_id"), "image_id", "left")
+    head = P.header_fields(parsed).drop("estimated_total_area_sq_m").withColumnRenamed("response_id", "image_id")
+    area = C.rounded(C.to_area_m2((F.col("w").cast("double") * F.col("h")), mpp), 2)
+    head = images.select("image_id", area.alias("estimated_total_area_sq_m")).join(head, "image_id", "left")
     texts = ["scene_type", "image_quality", "dominant_land_use", "encroachment_risk", "drainage_risk", "environmental_risk", "flood_risk"]
-    head = head.fillna("Unknown", texts)
+    head = head.fillna("Unknown", texts).withColumns({
+        "ai_insights": F.coalesce("ai_insights", F.array(*[F.lit(t) for t in K.DEFAULT_INSIGHTS])),
+        "_stated": F.coalesce("overall_detection_confidence_percent", F.lit(0.0)), "given": F.coalesce("given", F.lit(0).cast("bigint"))})
+    counts = assets.groupBy("image_id").agg(F.sum("estimated_count").alias("_counted"))
     risk = head.select("image_id", *texts[3:])
-    return report(head.drop(*texts[3:]), assets, stats, risk)
+    out = report(head.drop("overall_detection_confidence_percent", *texts[3:]), assets, stats, risk).join(counts, "image_id", "left")
+    # confidence and insights stay those of the response; the total is at least the one it states
+    return out.withColumns({
+        "overall_detection_confidence_percent": F.col("_stated"),
+        "total_assets_detected": F.greatest(F.coalesce("_counted", F.lit(0)), F.col("given"))}).drop("_stated", "_counted", "given")
 
 
 def analyze_video(frames: DataFrame, frame_px: float, mpp: float = 1.0, fps: float = 0.0) -> DataFrame:

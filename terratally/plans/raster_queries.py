@@ -12,27 +12,14 @@ from terratally.sources import fixtures as X
 
 MAP_SCALE, VIDEO_SCALE, SHADOW_AREA, SHADOW_BLOCK = 1 / 16, 1 / 40, 12.0, 31
 BANDS = ["green", "water", "road", "bright", "dark", "waste", "solar"]
-_written: dict = {}
-
-
-def _once(spark, sf, name, make):
-    """A table written to the shared folder once per session and data folder."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _written:
-        _written[key] = make()
-    return _written[key]
-
-
-def one_tile(spark, sf):
-    return Q.fits_one_tile(X.images(spark, sf))
 
 
 def map_words(spark, sf):
-    return _once(spark, sf, "map", lambda: cut_lineage(M.map_masks(X.pixels(spark, sf), MAP_SCALE, one_tile(spark, sf))))
+    return cut_lineage(M.map_masks(X.pixels(spark, sf), MAP_SCALE))
 
 
 def video_words(spark, sf):
-    return _once(spark, sf, "video", lambda: M.video_masks(X.pixels(spark, sf), VIDEO_SCALE, one_tile(spark, sf)))
+    return M.video_masks(X.pixels(spark, sf), VIDEO_SCALE)
 
 
 def bands(spark, sf):
@@ -90,21 +77,21 @@ def q_local_mean_threshold(spark, sf):
 
 
 def q_edge_map(spark, sf):
-    return out(GL.edge_map(X.pixels(spark, sf), one_tile=one_tile(spark, sf)), "bits")
+    return out(GL.edge_map(X.pixels(spark, sf)), "bits")
 
 
 def q_components(spark, sf):
-    lab = Q.components(bands(spark, sf), ["green", "bright"], 8, one_tile(spark, sf))
+    lab = Q.components(bands(spark, sf), ["green", "bright"], 8)
     return lab.groupBy("image_id", "mask", "lab").agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.col("x1") - F.col("x0") + 1).alias("n"))
 
 
 def q_fill_holes(spark, sf):
-    return Q.fill_holes(R.long_masks(bands(spark, sf), ["bright", "road"]), one_tile(spark, sf)).select("image_id", "mask", "y", "xb", "bits")
+    return Q.fill_holes(R.long_masks(bands(spark, sf), ["bright", "road"])).select("image_id", "mask", "y", "xb", "bits")
 
 
 def _regions(spark, sf):
     return _once(spark, sf, "regions", lambda: cut_lineage(
-        Q.labelled_regions(R.long_masks(bands(spark, sf), ["bright", "road"]), one_tile(spark, sf))))
+        Q.labelled_regions(R.long_masks(bands(spark, sf), ["bright", "road"]))))
 
 
 def q_region_stats(spark, sf):
@@ -155,7 +142,7 @@ def q_union_masks(spark, sf):
 
 
 def q_grid_downsample(spark, sf):
-    return blocks.grid_downsample(X.pixels(spark, sf), X.images(spark, sf)).select("image_id", "y", "x", "r", "g", "b")
+    return blocks.grid_downsample(X.pixels(spark, sf)).select("image_id", "y", "x", "r", "g", "b")
 
 
 def q_block_assets(spark, sf):
@@ -163,7 +150,7 @@ def q_block_assets(spark, sf):
 
 
 def q_map_assets(spark, sf):
-    return A.flatten_assets(M.map_assets(map_words(spark, sf), MAP_SCALE, one_tile=one_tile(spark, sf)))
+    return A.flatten_assets(M.map_assets(map_words(spark, sf), MAP_SCALE))
 
 
 def q_frame_observations(spark, sf):
@@ -181,7 +168,7 @@ def q_downscale_correction(spark, sf):
 
 
 def q_shadow_regions(spark, sf):
-    _, regions = W.shadow_pieces(X.pixels(spark, sf), SHADOW_AREA, SHADOW_BLOCK, one_tile=one_tile(spark, sf))
+    _, regions = W.shadow_pieces(X.pixels(spark, sf), SHADOW_AREA, SHADOW_BLOCK)
     return regions.drop("w", "h", "mask")
 
 

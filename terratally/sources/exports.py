@@ -8,9 +8,11 @@ from terratally.functions import clean as C
 
 
 def js_number(c: Column) -> Column:
-    """Number as a script engine prints it: whole values without a fraction."""
-    whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
-    return F.when(whole, c.cast("decimal(20,0)").cast("string")).otherwise(c.cast("string"))
+    """Number as a script engine prints it: no exponent from 1e-6 up to 1e21, whole values without a fraction."""
+    size = F.abs(c)
+    plain = (c == 0) | ((size >= 1e-6) & (size < 1e21))
+    odd = F.isnan(c) | (size == float("inf"))
+    return F.when(plain, C.plain_digits(c)).when(odd, c.cast("string")).otherwise(C.with_exponent(c))
 
 
 def to_geojson(polygons: DataFrame) -> DataFrame:

@@ -12,12 +12,22 @@ def extension(filename: Column) -> Column:
     return F.lower(F.regexp_extract(filename, r"[^./\\](\.[^./\\]+)$", 1))
 
 
-def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Names and sizes of the files under a path; contents are not read."""
+def content_type(filename: Column) -> Column:
+    """Media type that goes with a file's extension, or null."""
+    known = [F.lit(x) for kv in K.TYPE_OF_EXTENSION.items() for x in kv]
+    return F.create_map(*known)[extension(filename)]
+
+
+def file_manifest(spark: SparkSession, path: str, mode: str = K.ANALYSIS_MODES[0]) -> DataFrame:
+    """Names, types, kinds and sizes of the files under a path, ready for ``ingest_gate``; contents are not read.
+
+    The type follows from the name, as the files carry none. Files that are no video are held to the image rules.
+    """
     meta = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return meta.select(
         F.col("path").alias("file_id"), F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"),
-        F.lit(None).cast("string").alias("content_type"), F.col("length").alias("size_bytes"))
+        F.col("length").alias("size_bytes")).withColumn("content_type", content_type(F.col("filename"))).withColumn(
+        "kind", F.when(F.coalesce("content_type", F.lit("")).startswith("video/"), "video").otherwise("image")).withColumn("mode", F.lit(mode))
 
 
 def ingest_gate(files: DataFrame) -> DataFrame:

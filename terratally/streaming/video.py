@@ -3,104 +3,80 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terratally.operators import stats as S
-from terratally.operators.ranking import carry_last
+from terratally.operators import frames as V
 from terratally.session import new_dir
 
 
-def append_table(stream: DataFrame, label: str) -> DataFrame:
-    """Run the stream over what is available and return the table it appended."""
+def append_table(stream: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Run the stream over what is available and return the table that it appends to.
+
+    ``path`` names the table; its state lies beside it. The same path on the next start goes on where the last one
+    ended. Without a path the stream starts afresh in a new folder.
+    """
     spark = stream.sparkSession
-    path = new_dir(spark, label)
+    path = path or new_dir(spark, label)
     q = (stream.writeStream.outputMode("append").format("parquet").option("path", path)
          .option("checkpointLocation", path + "-state").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def upsert_table(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """Run an updating aggregation and return the latest row per key.
+def upsert_table(stream: DataFrame, keys: list[str], label: str, path: str | None = None, mode: str = "update") -> DataFrame:
+    """Run the stream and return the latest row per key, over all starts with the same path.
 
-    Every batch writes its changed rows under its own number, so a repeated batch
-    overwrites itself.
+    Every batch writes its rows under its own number, so a repeated batch overwrites itself.
     """
     spark = stream.sparkSession
-    path = new_dir(spark, label)
+    path = path or new_dir(spark, label)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    q = (stream.writeStream.outputMode("update").foreachBatch(write)
+    q = (stream.writeStream.outputMode(mode).foreachBatch(write)
          .option("checkpointLocation", path + "-state").trigger(availableNow=True).start())
     q.awaitTermination()
+    if q.lastProgress is None and not q.recentProgress:
+        spark.createDataFrame([], stream.schema).write.mode("append").parquet(f"{path}/batch=-1")
     rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(path)
     rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max(F.struct("batch", *[c for c in rest if c != "batch"])).alias("m")).select(
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rest if c != "batch"]), "batch").alias("m")).select(
         *keys, *[F.col(f"m.{c}").alias(c) for c in rest if c != "batch"])
 
 
-def stream_video_stats(frames: DataFrame) -> DataFrame:
-    """Running counts, areas and presence per video and category; one observation row per frame."""
-    aggs = [F.count(F.lit(1)).alias("frames")]
-    for i, name in enumerate(S.NAMES, 1):
-        hit = F.col("category") == name
-        aggs += [F.sum(F.when(hit, F.col("cnt")).otherwise(0)).alias(f"count_{i}"),
-                 F.sum(F.when(hit, F.col("area_px")).otherwise(0.0)).alias(f"area_sum_{i}"),
-                 F.count_if(hit & ((F.col("cnt") > 0) | (F.col("area_px") > 0))).alias(f"presence_{i}")]
-    wide = upsert_table(frames.groupBy("video_id").agg(*aggs), ["video_id"], "video-stats")
-    return S._unpivot(wide, ["video_id", "frames"], ["count", "area_sum", "presence"])
+def stream_video_stats(frames: DataFrame, path: str | None = None) -> DataFrame:
+    """Counts, areas and presence per video and category; a frame counts once, whatever it shows.
+
+    The running sums are kept per frame; they are added up as in the batch statistics.
+    """
+    wide = upsert_table(V.per_frame(frames), ["video_id", "frame_idx"], "video-stats", path)
+    return V.totals_of_frames(wide)
 
 
-def stream_window_stats(frames: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """The same sums per event-time window and category; rows later than ``late`` are dropped."""
+def stream_window_stats(frames: DataFrame, window: str = "1 day", late: str = "1 hour", path: str | None = None) -> DataFrame:
+    """The same sums per event-time window and category, open windows included; rows later than ``late`` are dropped."""
     agg = (frames.withWatermark("ts", late).groupBy(F.window("ts", window), "category")
            .agg(F.sum("cnt").alias("count"), F.sum("area_px").alias("area_sum"), F.count(F.lit(1)).alias("frames")))
-    return append_table(agg.select(F.col("window.start").alias("window_start"), "category", "count", "area_sum", "frames"), "windows")
+    agg = agg.select(F.col("window.start").alias("window_start"), "category", "count", "area_sum", "frames")
+    return upsert_table(agg, ["window_start", "category"], "windows", path)
 
 
-def stream_sample(frames: DataFrame, stride: int) -> DataFrame:
+def stream_sample(frames: DataFrame, stride: int, path: str | None = None) -> DataFrame:
     """Frame 1 and every ``stride``-th after it."""
-    return append_table(frames.where((F.col("frame_idx") - 1) % stride == 0), "sampled")
+    return append_table(frames.where((F.col("frame_idx") - 1) % stride == 0), "sampled", path)
 
 
-def stream_carry_forward(frames: DataFrame, stride: int) -> DataFrame:
-    """All frames; those not sampled show the last sampled counts of their video.
+def stream_carry_forward(frames: DataFrame, stride: int, path: str | None = None) -> DataFrame:
+    """All frames so far; those not sampled show the observations of the last sampled frame of their video.
 
-    Each batch is filled block-wise, then from a small table of the last known values per
-    video that the batch before left behind.
+    Frames may arrive in any order and in any number of batches: what arrives is appended, and the values are carried
+    over the table, block by block.
     """
-    spark = frames.sparkSession
-    path = new_dir(spark, "carried")
-    cols = ["category", "cnt", "area_px"]
-    marked = frames.withColumn("sampled", (F.col("frame_idx") - 1) % stride == 0)
-    marked = marked.withColumns({c: F.when(F.col("sampled"), F.col(c)) for c in cols})
-    state_schema = "video_id BIGINT, frame_idx INT, category STRING, cnt INT, area_px DOUBLE"
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        now = carry_last(batch, ["video_id"], "frame_idx", cols)
-        if batch_id > 0:
-            old = spark.read.schema(state_schema).parquet(f"{path}-last/{batch_id - 1}")
-        else:
-            old = spark.createDataFrame([], state_schema)
-        prev = old.select("video_id", *[F.col(c).alias("_" + c) for c in cols])
-        now = now.join(prev, "video_id", "left")
-        now = now.withColumn("_known", F.col("category").isNotNull())
-        now = now.withColumns({c: F.when(F.col("_known"), F.col(c)).otherwise(F.col("_" + c)) for c in cols})
-        now.select(frames.columns + ["sampled"]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        done = spark.read.parquet(f"{path}/batch={batch_id}").select("video_id", "frame_idx", *cols)
-        both = done.unionByName(old)
-        both.groupBy("video_id").agg(F.max_by(F.struct("frame_idx", *cols), "frame_idx").alias("m")).select(
-            "video_id", "m.*").write.mode("overwrite").parquet(f"{path}-last/{batch_id}")
-
-    q = (marked.writeStream.foreachBatch(write).option("checkpointLocation", path + "-state")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(path).drop("batch")
+    return V.carry_sampled(append_table(frames, "carried", path), (F.col("frame_idx") - 1) % stride == 0)
 
 
-def stream_ingest(parsed: DataFrame, late: str = "1 day") -> DataFrame:
-    """Parsed responses with repeated ids dropped. Needs ``ts`` and ``response_id``."""
-    return append_table(parsed.withWatermark("ts", late).dropDuplicatesWithinWatermark(["response_id"]), "ingested")
+def stream_ingest(parsed: DataFrame, path: str | None = None) -> DataFrame:
+    """Parsed responses, the newest arrival of each ``response_id``. However old a response is, none is dropped."""
+    return upsert_table(parsed, ["response_id"], "ingested", path, mode="append")
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def test_blocks(spark):
     px = X.pixels(spark, SF).where("image_id < 2")
     images = X.images(spark, SF).where("image_id < 2")
-    cells = blocks.grid_classes(px, images).collect()
+    cells = blocks.grid_classes(px).collect()
     names = sorted({c.category for c in cells})
     grid = np.zeros((2, 23, 35), int)
     for c in cells:
