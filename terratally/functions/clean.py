@@ -101,7 +101,7 @@ def plain_digits(c: Column) -> Column:
     """Shortest digits of a double written out without an exponent, and without zeros at the end of a fraction."""
     whole = c.cast("string").try_cast("decimal(38,0)").cast("string")
     cut = F.regexp_replace(c.cast("string").try_cast("decimal(38,18)").cast("string"), r"0+$", "")
-    return F.when(c == F.floor(c), whole).otherwise(cut)
+    return F.when((F.abs(c) >= 1e15) | (c == F.floor(c)), whole).otherwise(cut)
 
 
 def with_exponent(c: Column, width: int = 1) -> Column:

@@ -191,7 +191,7 @@ def py_number(c: Column) -> Column:
     size = F.abs(c)
     plain = (c == 0) | ((size >= 1e-4) & (size < 1e16))
     odd = F.isnan(c) | (size == float("inf"))
-    text = F.concat(C.plain_digits(c), F.when(c == F.floor(c), ".0").otherwise(""))
+    text = F.concat(C.plain_digits(c), F.when((size >= 1e15) | (c == F.floor(c)), ".0").otherwise(""))
     return F.when(plain, text).when(odd, F.lower(c.cast("string"))).otherwise(C.with_exponent(c, 2))
 
 

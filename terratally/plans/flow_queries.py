@@ -17,12 +17,9 @@ def parsed(spark, sf):
 
 
 def q_scan_responses(spark, sf):
-    """The responses are written as text files, one folder each, and read back by the reader."""
     path = new_dir(spark, "responses")
-    X.responses(spark, sf).select("raw_text", "response_id").write.partitionBy("response_id").option("lineSep", "").text(path)
-    read = ingest.scan_responses(spark, path + "/*")
-    number = F.regexp_extract("response_id", r"response_id=(\d+)", 1).cast("bigint")
-    return read.select(number.alias("response_id"), F.length("raw_text").alias("chars"), "raw_text")
+    X.responses(spark, sf).select("response_id", "raw_text").write.json(path)
+    return ingest.scan_responses(spark, path, lines=True).select("response_id", F.length("raw_text").alias("chars"), "raw_text")
 
 
 def q_extract_json(spark, sf):

@@ -99,7 +99,12 @@ def read_frames(spark: SparkSession, path: str, stream: bool = False) -> DataFra
     return reader.schema(FRAME_SCHEMA).parquet(path)
 
 
-def scan_responses(spark: SparkSession, path: str) -> DataFrame:
-    """One model response per text file."""
+RESPONSE_SCHEMA = "response_id BIGINT, raw_text STRING"
+
+
+def scan_responses(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Model responses: one per text file, named by its path, or with ``lines`` one JSON record per line."""
+    if lines:
+        return spark.read.schema(RESPONSE_SCHEMA).json(path)
     return spark.read.text(path, wholetext=True).select(
         F.input_file_name().alias("response_id"), F.col("value").alias("raw_text"))
