@@ -20,7 +20,8 @@ number of links.
 Groups of equal pieces are never expanded into all pairs. Small ones (up to SMALL) give their few pairs. Of a larger
 one, each member is verified against the group's first member and its neighbour in order. Members that this has not
 made one class are compared by sketches inside the task that holds the group (or, for more than TILE members, the
-pair of tiles), where pairs inside a class are skipped; first a spanning forest of the surviving pairs is verified,
+pair of tiles), where pairs inside a class are skipped; groups that share members are compared as one where that is
+less work; first a spanning forest of the surviving pairs is verified,
 then whatever still lies between classes. No link between different sets is lost.
 
 Pieces travel as packed arrays, one row for each block of documents and bucket. Their 32-bit keys only propose
@@ -293,27 +294,32 @@ def cross_pairs(pdf: pd.DataFrame, forest: bool) -> pd.DataFrame:
     n, node, tile = (pdf[c].to_numpy() for c in ("n", "node", "tile"))
     _, group = np.unique(pdf["root"].to_numpy(), return_inverse=True)
     raw = [np.frombuffer(x, "<u8") for x in pdf["sketch"]]
-    words = min(map(len, raw))
-    sketches = np.stack([folded(x, words) for x in raw])
     across = tile.min() != tile.max()
-    # partners are at least as large, up to a quarter more
+    # partners are at least as large, up to a quarter more, so their sketch is as wide or twice as wide
     most = np.searchsorted(n, n * DENOMINATOR // NUMERATOR, side="right")
+    words = np.array([len(x) for x in raw])
     us, vs = [node[:0]], [node[:0]]
-    for i in range(len(n)):
-        j = np.arange(i + 1, most[i])
-        j = j[(group[j] != group[i]) & ((tile[j] != tile[i]) | (not across))]
-        d = hamming(sketches[j], sketches[i])
-        ok = d <= bound(n[i], n[j])
-        j, d = j[ok], d[ok]
-        while len(j):
-            take = j[[np.argmin(d)]] if forest else j
-            us.append(np.full(len(take), node[i]))
-            vs.append(node[take])
-            if not forest:
-                break
-            group[group == group[take[0]]] = group[i]
-            ok = group[j] != group[i]
+    for w in np.unique(words):
+        own = np.flatnonzero(words == w)
+        first, last = own[0], most[own].max()
+        sketches = np.stack([folded(x, w) for x in raw[first:last]])
+        for i in own:
+            j = np.arange(i + 1, most[i])
+            j = j[group[j] != group[i]]
+            if across:
+                j = j[tile[j] != tile[i]]
+            d = hamming(sketches[j - first], sketches[i - first])
+            ok = d <= bound(n[i], n[j])
             j, d = j[ok], d[ok]
+            while len(j):
+                take = j[[np.argmin(d)]] if forest else j
+                us.append(np.full(len(take), node[i]))
+                vs.append(node[take])
+                if not forest:
+                    break
+                group[group == group[take[0]]] = group[i]
+                ok = group[j] != group[i]
+                j, d = j[ok], d[ok]
     u, v = np.concatenate(us), np.concatenate(vs)
     return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
@@ -368,6 +374,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = written(whole_sets(docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")), "sets")
     links = written(linked(pairs, sets), "links")
     roots = components(links)
+    members = regrouped(members, roots)
     for forest in (True, True, False):
         open_ = written(unresolved(members, roots), "open")
         if open_.isEmpty():
@@ -382,6 +389,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                       F.when(F.col("doc_id").isNotNull(), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))).alias("component_id"))
 
 
+def regrouped(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Groups that are not one class yet, joined to one group where that means fewer comparisons.
+
+    Copies of one text meet on hundreds of keys, and comparing them key by key repeats the same pairs. All groups that
+    are linked by common members form a cluster; it takes the place of its groups if its size squared is below the sum
+    of theirs. Either way every pair of members that shares a key is compared.
+    """
+    m = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = m.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("first"), F.count(F.lit(1)).alias("size"))
+    sizes = written(sizes.where("low < high").select("grp", "first", "size"), "groups-open")
+    rows = written(members.join(sizes.select("grp", "first"), "grp"), "members-open")
+    clusters = components(rows.select(F.col("node").alias("u"), F.col("first").alias("v")).distinct())
+    of = clusters.select(F.col("node").alias("first"), F.col("root").alias("cluster"))
+    rows = rows.join(of, "first", "left").withColumn("cluster", F.coalesce("cluster", "first"))
+    together = rows.select("cluster", "node", "n", "sketch").distinct()
+    apart = sizes.join(of, "first", "left").groupBy(F.coalesce("cluster", "first").alias("cluster")).agg(F.sum(F.col("size") * F.col("size")).alias("apart"))
+    whole = together.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).join(apart, "cluster").where("m * m < apart").select("cluster")
+    joined = together.join(whole, "cluster", "left_semi").select(F.concat(F.lit("c"), F.col("cluster").cast("string")).alias("grp"), "node", "n", "sketch")
+    return written(joined.unionByName(rows.join(whole, "cluster", "left_anti").select(F.col("grp").cast("string").alias("grp"), "node", "n", "sketch")), "members-regrouped")
+
+
 def unresolved(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of the groups that are not one class yet, with their class, dealt to pairs of tiles."""
     m = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
