@@ -2,9 +2,6 @@
 from __future__ import annotations
 
 import math
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,37 +9,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terratally.session import new_dir
+from terratally.session import new_dir, ship_package  # noqa: F401
 
 #: Bytes of text that a task works on at a time.
 BLOCK_BYTES = 4 << 20
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give executors this package once a session, so that workers can import it from any folder."""
-    sc = spark.sparkContext
-    if getattr(sc, "_terratally_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "terratally_package.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(root):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(path)
-    sc._terratally_shipped = True
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: later passes read it, and lost executors cost no replay."""
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """``df`` as a table in the shared folder: later passes read it, and lost executors cost no replay.
+
+    Tables that are not to be kept are noted, so that ``drop_written`` can remove them once nothing reads them.
+    """
     spark = df.sparkSession
     path = new_dir(spark, label)
     df.write.parquet(path)
+    if not keep:
+        noted(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def noted(spark: SparkSession) -> list[str]:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_terratally_written"):
+        sc._terratally_written = []
+    return sc._terratally_written
+
+
+def drop_written(spark: SparkSession, since: int = 0) -> None:
+    """Remove the noted tables from position ``since`` on. Their frames must not be read any more."""
+    paths, jvm = noted(spark), spark.sparkContext._jvm
+    for p in paths[since:]:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del paths[since:]
+
+
 def documents(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id, the text (null: empty) and the named columns; other columns go."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terratally.llm.bpe import pieces as cache_pieces
-from terratally.llm.common import blocks, components, documents, mixed, parts_for, ship_package, text_bytes, written
+from terratally.llm.common import blocks, components, documents, drop_written, mixed, noted, parts_for, ship_package, text_bytes, written
 from terratally.llm.pretokens import BASE, powers
 
 WORDS = 5
@@ -343,10 +343,12 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     spark = docs.sparkSession
+    mark = len(noted(spark))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = parts_for(size, BUCKET_BYTES, 2 * spark.sparkContext.defaultParallelism)
     table = sketched(docs, buckets)
     info = table.where("kind = 0").select("doc_id", "n", "a", "b", "sketch")
+    ids = written(info.drop("sketch"), "set-ids", keep=True)
     # one node per set: its smallest doc_id
     nodes = written(info.where("n > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
     found = written(table.where("kind = 1").select("bucket", "sets", "counts", "keys").groupBy("bucket").applyInPandas(bucket_groups, "grp long, u long, v long"), "groups")
@@ -369,21 +371,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = known(found.where("grp IS NULL").select("u", "v").distinct(), "u", "v").where("u_node <> v_node")
     pairs = written(pairs.where(possible("u_n", "v_n", "u_sketch", "v_sketch")).select(F.col("u_node").alias("u"), F.col("v_node").alias("v")), "pairs")
     # whole sets of the nodes that can have a link
-    members = written(known(found.where("grp IS NOT NULL").select("grp", "u").distinct(), "u").select("grp", F.col("u_node").alias("node"), F.col("u_n").alias("n"), F.col("u_sketch").alias("sketch")), "members")
+    members = written(found.where("grp IS NOT NULL").select("grp", F.col("u").alias("a")).distinct().join(id_of.select("a", "node"), "a").select("grp", "node"), "members")
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(members.select("node")).distinct()
     sets = written(whole_sets(docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")), "sets")
     links = written(linked(pairs, sets), "links")
     roots = components(links)
     members = regrouped(members, roots)
     for forest in (True, True, False):
-        open_ = written(unresolved(members, roots), "open")
+        open_ = written(unresolved(members, roots, nodes), "open")
         if open_.isEmpty():
             break
         more = open_.groupBy("grp", "tiles").applyInPandas(cross_pairs_of(forest), "u long, v long").distinct()
         links = written(links.unionByName(linked(more, sets)), "links")
         roots = components(links)
     class_of = nodes.select("a", "b", "node").join(roots, "node", "left").select("a", "b", F.coalesce("root", "node").alias("component_id"))
-    out = info.join(class_of, ["a", "b"], "left")
+    class_of = written(class_of, "classes", keep=True)
+    drop_written(spark, mark)
+    out = ids.join(class_of, ["a", "b"], "left")
     alone = (F.col("n") == 0) | F.col("component_id").isNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"),
                       F.when(F.col("doc_id").isNotNull(), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))).alias("component_id"))
@@ -403,14 +407,14 @@ def regrouped(members: DataFrame, roots: DataFrame) -> DataFrame:
     clusters = components(rows.select(F.col("node").alias("u"), F.col("first").alias("v")).distinct())
     of = clusters.select(F.col("node").alias("first"), F.col("root").alias("cluster"))
     rows = rows.join(of, "first", "left").withColumn("cluster", F.coalesce("cluster", "first"))
-    together = rows.select("cluster", "node", "n", "sketch").distinct()
+    together = rows.select("cluster", "node").distinct()
     apart = sizes.join(of, "first", "left").groupBy(F.coalesce("cluster", "first").alias("cluster")).agg(F.sum(F.col("size") * F.col("size")).alias("apart"))
     whole = together.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).join(apart, "cluster").where("m * m < apart").select("cluster")
-    joined = together.join(whole, "cluster", "left_semi").select(F.concat(F.lit("c"), F.col("cluster").cast("string")).alias("grp"), "node", "n", "sketch")
-    return written(joined.unionByName(rows.join(whole, "cluster", "left_anti").select(F.col("grp").cast("string").alias("grp"), "node", "n", "sketch")), "members-regrouped")
+    joined = together.join(whole, "cluster", "left_semi").select(F.concat(F.lit("c"), F.col("cluster").cast("string")).alias("grp"), "node")
+    return written(joined.unionByName(rows.join(whole, "cluster", "left_anti").select(F.col("grp").cast("string").alias("grp"), "node")), "members-regrouped")
 
 
-def unresolved(members: DataFrame, roots: DataFrame) -> DataFrame:
+def unresolved(members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     """Members of the groups that are not one class yet, with their class, dealt to pairs of tiles."""
     m = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stats = m.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
@@ -418,7 +422,7 @@ def unresolved(members: DataFrame, roots: DataFrame) -> DataFrame:
     tile = F.pmod(F.xxhash64("node"), F.col("t")).cast("int")
     # a tile meets itself and every other tile
     other = F.explode(F.sequence(F.lit(0), F.col("t") - 1))
-    m = m.withColumn("tile", tile).withColumn("other", other)
+    m = m.join(nodes.select("node", "n", "sketch"), "node").withColumn("tile", tile).withColumn("other", other)
     return m.select("grp", "node", "n", "sketch", "root", "tile", F.concat_ws("-", F.least("tile", "other"), F.greatest("tile", "other")).alias("tiles"))
 
 
