@@ -1,7 +1,7 @@
 """All check SQL by query name."""
 import re
 
-from oracle import asset_sql, flow_sql, raster_sql
+from oracle import asset_sql, flow_sql, raster_sql, region_sql
 
 
 def as_doubles(sql: str) -> str:
@@ -11,4 +11,4 @@ def as_doubles(sql: str) -> str:
     return "'".join(parts)
 
 
-SQL = {name: as_doubles(text) for name, text in {**asset_sql.SQL, **raster_sql.SQL, **flow_sql.SQL}.items()}
+SQL = {name: as_doubles(text) for name, text in {**asset_sql.SQL, **raster_sql.SQL, **region_sql.SQL, **flow_sql.SQL}.items()}

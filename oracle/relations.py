@@ -132,10 +132,11 @@ def q(select: str, *names: str) -> str:
     done: list[str] = []
 
     def need(n: str) -> None:
+        if n in done:
+            return
         for d in CTES[n][1]:
             need(d)
-        if n not in done:
-            done.append(n)
+        done.append(n)
 
     for n in names:
         need(n)

@@ -90,8 +90,7 @@ def q_fill_holes(spark, sf):
 
 
 def _regions(spark, sf):
-    return _once(spark, sf, "regions", lambda: cut_lineage(
-        Q.labelled_regions(R.long_masks(bands(spark, sf), ["bright", "road"]))))
+    return cut_lineage(Q.labelled_regions(R.long_masks(bands(spark, sf), ["bright", "road"])))
 
 
 def q_region_stats(spark, sf):
