@@ -377,11 +377,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = written(linked(pairs, sets), "links")
     roots = components(links)
     members = regrouped(members, roots)
+    spread = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     for forest in (True, True, False):
         open_ = written(unresolved(members, roots, nodes), "open")
         if open_.isEmpty():
             break
-        more = open_.groupBy("grp", "tiles").applyInPandas(cross_pairs_of(forest), "u long, v long").distinct()
+        # few bytes but many comparisons: spread over more tasks than the bytes alone would give
+        more = open_.repartition(spread, "grp", "tiles").groupBy("grp", "tiles").applyInPandas(cross_pairs_of(forest), "u long, v long").distinct()
         links = written(links.unionByName(linked(more, sets)), "links")
         roots = components(links)
     class_of = nodes.select("a", "b", "node").join(roots, "node", "left").select("a", "b", F.coalesce("root", "node").alias("component_id"))
