@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terratally.llm.common import mixed, parts_for, ship_package, written
+from terratally.llm.common import drop_written, mixed, noted, parts_for, ship_package, written
 
 #: Digests of a shard, on average, and bits of a level per key that is still unplaced.
 PER_SHARD, GAMMA = 20_000, 2
@@ -150,5 +150,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 def keep_last(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns. Rows are dropped by doc_id."""
-    gone = deduplicate(docs).where("NOT kept").select("doc_id").distinct()
+    mark = len(noted(docs.sparkSession))
+    gone = written(deduplicate(docs).where("NOT kept").select("doc_id").distinct(), "repeats", keep=True)
+    drop_written(docs.sparkSession, mark)
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

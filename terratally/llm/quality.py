@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terratally.llm.common import ship_package, written
+from terratally.llm.common import drop_written, noted, ship_package, written
 
 FOLDS, HELD_OUT = 3, 1
 #: Weights of the pooled covariance and of its diagonal in each class covariance; least variance of a statistic.
@@ -140,8 +140,9 @@ def scorer(model: Model):
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are predicted to be good, with their columns."""
-    model = fit(written(features(docs), "statistics"), labels)
-    score = scorer(model)
+    mark = len(noted(docs.sparkSession))
+    score = scorer(fit(written(features(docs), "statistics"), labels))
+    drop_written(docs.sparkSession, mark)
     ship_package(docs.sparkSession)
 
     @F.pandas_udf("array<double>")
