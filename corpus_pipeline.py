@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terratally.llm import bpe, exact_dedup, jaccard_join, packing, pii, quality
-from terratally.llm.common import drop_written, written
+from terratally.llm.common import written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,22 +41,13 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, bpe.merges_vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
 
 
-def afresh(stage):
-    """The stage, after the working tables of the stage before: its result is written by then, so nothing reads them."""
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_written(spark)
-        return stage(spark, docs, sf_dir)
-
-    return run_stage
-
-
-STAGES = [(name, afresh(stage)) for name, stage in (
+STAGES = [
     ("quality", good_quality),
     ("exact_dedup", without_copies),
     ("near_dedup", without_near_copies),
     ("pii", pseudonyms),
     ("packing", packed),
-)]
+]
 
 #: SQL can express neither the classifier nor the tokens; tests compare with brute force instead.
 ORACLE_SQL = None
