@@ -22,7 +22,7 @@ def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_dir(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if not keep:
         noted(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -72,7 +72,7 @@ def write_shards(docs: DataFrame, v: Vocabulary, path: str, key: bytes = KEY, le
                              "shard": [r[4] for r in rows]})
 
     dealt = pieces.withColumn("shard", F.expr(f"slot div {per_shard}")).repartition("shard").sortWithinPartitions("shard", "slot", "offset")
-    dealt.mapInPandas(assemble, "slot long, sequence_id long, n_tokens long, payload binary, shard long").write.partitionBy("shard").parquet(path)
+    dealt.mapInPandas(assemble, "slot long, sequence_id long, n_tokens long, payload binary, shard long").write.option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, from_slot: int = 0, per_shard: int = PER_SHARD) -> DataFrame:
