@@ -51,11 +51,11 @@ HOT = 8
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 LOW48 = np.uint64((1 << 48) - 1)
 
-TUPLE = ("<i8", "<u4", "<u4", "u1", "u1", "<u4", "<u2", "<u4", "<u2")  # doc, text, start, span, least, key (two parts), context (two parts)
-MARK = ("<i8", "<u4", "<u4", "<u4")  # doc, text, start, end
-REQUEST = ("<i8", "<u4", "<u4", "u1", "u1", "<u8", "u1")  # doc, text, start, span, least, key, hot
-EDGE = ("<i8", "<u4", "<u4", "u1", "u1", "<u8")
-WINDOW = ("<u8", "<u8", "<i8", "<u4", "<u4")  # name (two parts), doc, text, start
+TUPLE = ("<i8", "<u8", "<u4", "u1", "u1", "<u4", "<u2", "<u4", "<u2")  # doc, text, start, span, least, key (two parts), context (two parts)
+MARK = ("<i8", "<u8", "<u4", "<u4")  # doc, text, start, end
+REQUEST = ("<i8", "<u8", "<u4", "u1", "u1", "<u8", "u1")  # doc, text, start, span, least, key, hot
+EDGE = ("<i8", "<u8", "<u4", "u1", "u1", "<u8")
+WINDOW = ("<u8", "<u8", "<i8", "<u8", "<u4")  # name (two parts), doc, text, start
 
 
 def packed(arrays, kinds, extra: bytes = b"") -> bytes:
@@ -94,15 +94,20 @@ def two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def doc_bucket(doc: np.ndarray, n: int) -> np.ndarray:
-    return (mixed(doc.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int64)
+def row_names(doc: np.ndarray, text: np.ndarray) -> np.ndarray:
+    return two(mixed(doc.astype(np.int64).view(np.uint64)), text.astype(np.uint64))
+
+
+def doc_bucket(doc: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """Rows that share a doc_id but not the text (all null ids, for one) are dealt to different buckets."""
+    return (mixed(row_names(doc, text)) % np.uint64(n)).astype(np.int64)
 
 
 def rows_of(block, utf8, offsets):
-    """doc (null: LAST) and a hash of the text of each row."""
+    """doc (null: LAST) and a 64-bit hash of the text of each row."""
     doc = block.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
     raw = memoryview(np.ascontiguousarray(utf8))
-    text = np.array([int.from_bytes(hashlib.blake2b(raw[s:e], digest_size=4).digest(), "little") for s, e in zip(offsets[:-1], offsets[1:])], np.uint32)
+    text = np.array([int.from_bytes(hashlib.blake2b(raw[s:e], digest_size=8).digest(), "little") for s, e in zip(offsets[:-1], offsets[1:])], np.uint64)
     return doc, text
 
 
@@ -157,9 +162,9 @@ def sample_table(docs: DataFrame, buckets: int, doc_buckets: int) -> DataFrame:
                 same = np.append(False, n[1:] == n[:-1])
                 lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
                 keep[order[same]] = False
-                later = same & ((d != d[lead]) | (s != s[lead]))
+                later = same & ((d != d[lead]) | (t != t[lead]) | (s != s[lead]))
                 o = order[later]
-                out += by_bucket(1, doc_bucket(d[later], doc_buckets), [d[later], t[later], start[o], start[o] + span[o] + LENGTH], MARK)
+                out += by_bucket(1, doc_bucket(d[later], t[later], doc_buckets), [d[later], t[later], start[o], start[o] + span[o] + LENGTH], MARK)
             k = np.flatnonzero(keep)
             key, context = key[k], context[k]
             bucket = (mixed(key) % np.uint64(buckets)).astype(np.int64)
@@ -194,15 +199,15 @@ def elect(doc_buckets: int):
         key, context, doc, text, start, span, least = (a[order] for a in (key, context, doc, text, start, span, least))
         same = np.append(False, (key[1:] == key[:-1]) & (context[1:] == context[:-1])) if len(key) else np.zeros(0, bool)
         lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(key)))) if len(key) else np.zeros(0, np.int64)
-        later = same & ((doc != doc[lead]) | (start != start[lead]))
-        d = doc[later]
-        out = list(by_bucket(1, doc_bucket(d, doc_buckets), [d, text[later], start[later], start[later].astype(np.int64) + span[later] + LENGTH], MARK))
+        later = same & ((doc != doc[lead]) | (text != text[lead]) | (start != start[lead]))
+        d, t = doc[later], text[later]
+        out = list(by_bucket(1, doc_bucket(d, t, doc_buckets), [d, t, start[later], start[later].astype(np.int64) + span[later] + LENGTH], MARK))
         ask = ~same
         if not hot:
             _, group = np.unique(key[ask], return_inverse=True)
             ask[np.flatnonzero(ask)[np.bincount(group)[group] < 2]] = False
-        d = doc[ask]
-        out += by_bucket(2, doc_bucket(d, doc_buckets), [d, text[ask], start[ask], span[ask], least[ask], key[ask], np.full(len(d), hot)], REQUEST)
+        d, t = doc[ask], text[ask]
+        out += by_bucket(2, doc_bucket(d, t, doc_buckets), [d, t, start[ask], span[ask], least[ask], key[ask], np.full(len(d), hot)], REQUEST)
         return table_of(out)
 
     return run
@@ -236,7 +241,7 @@ def packed_docs(docs: DataFrame, doc_buckets: int) -> DataFrame:
             utf8, offsets = text_bytes(block.column("text"))
             doc, text = rows_of(block, utf8, offsets)
             void = block.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-            bucket = doc_bucket(doc, doc_buckets)
+            bucket = doc_bucket(doc, text, doc_buckets)
             sizes, out = np.diff(offsets), []
             for b in np.unique(bucket):
                 at = np.flatnonzero(bucket == b)
@@ -246,7 +251,7 @@ def packed_docs(docs: DataFrame, doc_buckets: int) -> DataFrame:
     return documents(docs).mapInArrow(run, ROWS)
 
 
-DOCS = ("<i8", "<u4", "u1", "<i8")
+DOCS = ("<i8", "<u8", "u1", "<i8")
 
 
 def bucket_docs(raws):
@@ -256,10 +261,6 @@ def bucket_docs(raws):
     return doc, text, void.astype(bool), size, np.cumsum(size) - size, data
 
 
-def row_names(doc: np.ndarray, text: np.ndarray) -> np.ndarray:
-    return two(mixed(doc.astype(np.int64).view(np.uint64)), text.astype(np.uint64))
-
-
 def fetch(edge_buckets: int):
     """By document bucket: the bytes that were asked for, by key (kind 4), or as named windows if the key is hot (kind 5)."""
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
@@ -336,7 +337,7 @@ def window_marks(doc, text, start, doc_buckets: int):
     new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (start[1:] > start[:-1] + 1)
     at = np.flatnonzero(new)
     end = start[np.append(at[1:], len(doc)) - 1] + LENGTH if len(at) else start[:0]
-    return by_bucket(1, doc_bucket(doc[at], doc_buckets), [doc[at], text[at], start[at], end], MARK)
+    return by_bucket(1, doc_bucket(doc[at], text[at], doc_buckets), [doc[at], text[at], start[at], end], MARK)
 
 
 def resolve(doc_buckets: int):

@@ -174,3 +174,18 @@ def test_substrings_repeated_rows_and_empty(make):
     got = sorted((str(r.doc_id), len(r.kept)) for r in suffix_dedup.deduplicate(make([(1, text), (1, text), (2, text), (None, text)])).collect())
     assert got == [("1", len(text)), ("1", len(text)), ("2", 0), ("None", 0)]
     assert suffix_dedup.deduplicate(make([])).count() == 0
+
+
+@pytest.mark.parametrize("parts,hot", [(1, 8), (5, 8), (5, 0.01)])
+def test_substrings_of_texts_that_share_an_id(make, monkeypatch, parts, hot):
+    """Null and repeated ids with other texts: a passage at the same place in each of them stays once."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    head = " ".join(f"common {k}" for k in range(40))
+    # the first two texts have the same 32-bit blake2b
+    texts = [head + chr(0x4E00 + k % 5000) + f" tail {k}" for k in (94376, 110901, *range(12))]
+    rows = [(None, t) for t in texts] + [(5, t + " five") for t in texts[:3]] + [(None, "x" * 300), (None, "x" * 301)]
+    order = sorted(rows, key=lambda r: (r[0] is None, int.from_bytes(hashlib.blake2b(r[1].encode(), digest_size=8).digest(), "little")))
+    expected = substrings_by_hand([(k, t) for k, (_, t) in enumerate(order)])
+    got = [(r.doc_id, r.n_bytes, len(r.starts), bytes(r.kept)) for r in suffix_dedup.deduplicate(make(rows).repartition(parts)).collect()]
+    assert sorted(got, key=str) == sorted(((i, *expected[k]) for k, (i, _) in enumerate(order)), key=str)
+    assert sum(head.encode() in r[3] for r in got) == 1
