@@ -7,7 +7,8 @@ and the kind alone, so equal values stay linked across documents, however they a
 stay different. Each task rewrites its documents by itself; nothing is shuffled.
 
 Kinds: mail addresses (local part), payment cards (Luhn), IBANs (mod 97), telephone numbers, IPv4 addresses, US
-social security numbers and dates (1900 to 2099, as y-m-d, d/m/y or m/d/y, d.m.y). Values that fail validation stay.
+social security numbers and dates (1900 to 2099, as y-m-d, also before a time, d/m/y or m/d/y, d.m.y). Values that fail
+validation stay.
 
 Defined results: a null text stays null without findings; an empty text is empty; text without values is unchanged.
 """
@@ -33,13 +34,20 @@ ANY = re.compile(r"[0-9@]")
 LOCAL, DOMAIN = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z"), re.compile(r"(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}")
 NUMBERS = re.compile(r"""
     (?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?!\w))
-  | (?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w/-]|\.[0-9]))
+  | (?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?=[Tt][0-9])
+      |(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w/-]|\.[0-9])))
   | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
   | (?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9]))
   | (?P<card>(?<![\w+.-])(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[\x20-])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})(?![\w-]|\.[0-9]))
   | (?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[\x20.-]?\([0-9]{1,4}\)[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[\x20.-]?[0-9]{2,4}){2,4}
       |\([0-9]{2,4}\)[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\w-]|\.[0-9]))
 """, re.X)
+#: Registered lengths of IBANs by country.
+IBAN_LENGTHS = {c: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in countries.split()}
+IBAN_LEAST = 15
 
 
 @lru_cache(256)
@@ -183,6 +191,19 @@ def addresses(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def ends_of(kind: str, text: str, start: int, end: int) -> list[int]:
+    """Ends to try for a value. An IBAN can run on into the words after it: the end of its country's length goes first, then the longest."""
+    if kind != "iban":
+        return [end]
+    ends, n = [], 0
+    for at in range(start, end):
+        if text[at] != " ":
+            n += 1
+        elif n >= IBAN_LEAST:
+            ends.append((n != IBAN_LENGTHS.get(text[start:start + 2]), -n, at))
+    return [e[-1] for e in sorted([*ends, (n != IBAN_LENGTHS.get(text[start:start + 2]), -n, end)])]
+
+
 def pseudonymised(text: str, key: bytes = KEY) -> tuple[str, Counter]:
     """The text rewritten, and the number of values by kind. Addresses go first; then numbers, from left to right."""
     found: Counter = Counter()
@@ -194,12 +215,13 @@ def pseudonymised(text: str, key: bytes = KEY) -> tuple[str, Counter]:
     while m := NUMBERS.search(text, at):
         while k < len(mails) and mails[k][2] <= m.start():
             k += 1
-        value = None if k < len(mails) and mails[k][0] < m.end() else RULES[kind_of(m)](key, m[0])
-        if value is None:
-            at = m.start() + 1  # a shorter value may start inside
-        else:
-            new.append((m.start(), m.end(), value, kind_of(m)))
-            at = m.end()
+        kind, at = kind_of(m), m.start() + 1  # a shorter value may start inside
+        for end in ends_of(kind, text, m.start(), m.end()):
+            value = None if k < len(mails) and mails[k][0] < end else RULES[kind](key, text[m.start():end])
+            if value is not None:
+                new.append((m.start(), end, value, kind))
+                at = end
+                break
     out, done = [], 0
     for start, end, value, kind in sorted(new):
         out += [text[done:start], value]

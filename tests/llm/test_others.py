@@ -40,6 +40,25 @@ def test_invalid_values_stay():
         assert new(text) == text
 
 
+@pytest.mark.parametrize("after", [" BIC COBADEFF", " BIC COBADEFFXXX", " 2024", " I", " 2024-01-05", " FR14 2004 1010 0505 0001 3M02 606", " MAX@mail.org", ". DE", ""])
+@pytest.mark.parametrize("value", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "NO93 8601 1117 947"])
+def test_text_after_an_iban(value, after):
+    text, found = pii.pseudonymised(f"IBAN {value}{after}")
+    assert found["iban"] == 1 + ("FR14" in after) and text[5:5 + len(value)] == new(value) != value
+    if "@" not in after and "-" not in after and "FR14" not in after:
+        assert text[5 + len(value):] == after
+    # a country without a registered length
+    ends = pii.pseudonymised("ZZ" + str(98 - pii.iban_number("ZZ00" + "1" * 14) % 97).zfill(2) + "1" * 14 + " PLEASE")[0]
+    assert ends.endswith(" PLEASE") and "1" * 14 not in ends
+
+
+def test_date_before_a_time():
+    day = new("1980-02-29")
+    for after in ("T10:00:00", "T10:00:00Z", "t1000+01:00", "T10:00:00.5 x"):
+        assert pii.pseudonymised("at 1980-02-29" + after) == (f"at {day}{after}", {"date": 1})
+    assert new("1980-02-29Time") == "1980-02-29Time" and new("1980-02-30T10:00:00") == "1980-02-30T10:00:00"
+
+
 def test_pseudonyms_are_one_to_one():
     ips = {new(f"10.0.{k // 256}.{k % 256}") for k in range(3000)}
     dates = {new((pii.FIRST_DAY + datetime.timedelta(k)).isoformat()) for k in range(0, 73049, 31)}
