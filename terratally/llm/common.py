@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terratally.session import new_dir, ship_package  # noqa: F401
@@ -44,8 +44,19 @@ def drop_written(spark: SparkSession, since: int = 0) -> None:
     del paths[since:]
 
 
-def documents(docs: DataFrame, *extra: str) -> DataFrame:
-    """doc_id, the text (null: empty) and the named columns; other columns go."""
+def text_digest() -> Column:
+    """SHA-256 of the text (null: empty)."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id (null included) and text are not in ``gone`` (gone_id, gone_digest), with their columns."""
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (text_digest() == F.col("gone_digest"))
+    return docs.join(gone, same, "left_anti").select(docs.columns)
+
+
+def documents(docs: DataFrame, *extra) -> DataFrame:
+    """doc_id, the text (null: empty) and the named or given columns; other columns go."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terratally.llm.common import drop_written, mixed, noted, parts_for, ship_package, written
+from terratally.llm.common import drop_written, mixed, noted, parts_for, ship_package, text_digest, without, written
 
 #: Digests of a shard, on average, and bits of a level per key that is still unplaced.
 PER_SHARD, GAMMA = 20_000, 2
@@ -25,7 +25,7 @@ DIGEST = 32
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("digest"))
+    return docs.select("doc_id", text_digest().alias("digest"))
 
 
 def words_of(digests) -> np.ndarray:
@@ -149,8 +149,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 
 def keep_last(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns. Rows are dropped by doc_id."""
+    """The rows of ``docs`` that stay, with their columns. Rows are dropped by doc_id (null included) and text."""
     mark = len(noted(docs.sparkSession))
-    gone = written(deduplicate(docs).where("NOT kept").select("doc_id").distinct(), "repeats", keep=True)
+    dropped = deduplicate(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.unhex("text_sha256").alias("gone_digest"))
+    gone = written(dropped.distinct(), "repeats", keep=True)
     drop_written(docs.sparkSession, mark)
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, gone)

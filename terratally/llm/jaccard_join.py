@@ -5,7 +5,8 @@ white space); with fewer words the whole sequence is the one shingle. Two docume
 100 * |A and B| >= 80 * |A or B|. The result is one row per document with the smallest doc_id it is linked to over any
 number of links.
 
-* Sets of the same shingles are one node, so exact copies never multiply.
+* Sets of the same shingles are one node, so exact copies never multiply. Nodes have numbers of their own, so texts that
+  share a doc_id stay different nodes.
 * Size bands: linked sets differ in size by at most a quarter, so a set of band b meets bands b and b - 1 only. In
   join band b the symmetric difference of linked sets is at most D(b) = 2 * (largest size) / 9.
 * Parity sketch: the range of shingle hashes is cut into P(b) > D(b) pieces, and a piece's sketch is the XOR of its
@@ -28,7 +29,7 @@ Pieces travel as packed arrays, one row for each block of documents and bucket.
 candidates, so a clash costs a comparison and no error. Identity of sets rests on two 64-bit sums.
 
 Defined results: no words or null: size 0, its own class. A null doc_id stays without class; a repeated doc_id has a row
-for each of its rows; an empty table gives no rows.
+for each of its rows, with the class of that row's text; an empty table gives no rows.
 """
 from __future__ import annotations
 
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terratally.llm.bpe import pieces as cache_pieces
-from terratally.llm.common import blocks, components, documents, drop_written, mixed, noted, parts_for, ship_package, text_bytes, written
+from terratally.llm.common import blocks, components, documents, drop_written, mixed, noted, parts_for, ship_package, text_bytes, text_digest, without, written
 from terratally.llm.pretokens import BASE, powers
 
 WORDS = 5
@@ -180,14 +181,14 @@ def block_keys(shingles: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 
 
 def sketched(docs: DataFrame, buckets: int) -> DataFrame:
-    """Written table with a row per document (kind 0: doc_id, n, a, b, sketch) and packed pieces (kind 1: bucket, sets, counts, keys)."""
+    """Written table with a row per document (kind 0: doc_id, digest, n, a, b, sketch) and packed pieces (kind 1: bucket, sets, counts, keys)."""
     ship_package(docs.sparkSession)
-    source = documents(docs)
+    source = documents(docs, text_digest().alias("digest"))
     schema = T.StructType([
-        T.StructField("kind", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()),
+        T.StructField("kind", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()),
         T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("sketch", T.BinaryType()),
         T.StructField("bucket", T.LongType()), T.StructField("sets", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("keys", T.BinaryType())])
-    types = [pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.int64(), *[pa.binary()] * 3]
+    types = [pa.int32(), pa.int64(), pa.binary(), *[pa.int64()] * 3, pa.binary(), pa.int64(), *[pa.binary()] * 3]
     names = [f.name for f in schema]
 
     def rows(*columns):
@@ -200,7 +201,7 @@ def sketched(docs: DataFrame, buckets: int) -> DataFrame:
             sizes = np.diff(offsets)
             a, b = identities(shingles, offsets)
             sketches = [bit_sketch(shingles[s:e]) for s, e in zip(offsets[:-1], offsets[1:])]
-            yield rows(np.zeros(len(sizes), np.int32), block.column("doc_id").cast(pa.int64()), sizes, a, b, sketches, None, None, None, None)
+            yield rows(np.zeros(len(sizes), np.int32), block.column("doc_id").cast(pa.int64()), block.column("digest").cast(pa.binary()), sizes, a, b, sketches, None, None, None, None)
             _, one = np.unique(a, return_index=True)  # a set is sent once a block
             lone = np.zeros(len(sizes), bool)
             lone[one] = True
@@ -219,7 +220,7 @@ def sketched(docs: DataFrame, buckets: int) -> DataFrame:
                 counts.append(np.diff(np.append(new, len(d))).astype("<i4").tobytes())
                 keys.append(k.astype("<u4").tobytes())
             if which:
-                yield rows(np.ones(len(which), np.int32), None, None, None, None, None, which, sets, counts, keys)
+                yield rows(np.ones(len(which), np.int32), None, None, None, None, None, None, which, sets, counts, keys)
 
     return written(source.mapInArrow(run, schema), "sketches")
 
@@ -342,15 +343,21 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
+    return classes(docs).drop("digest")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, digest of the text, n_shingles and component_id of every row of ``docs``."""
     spark = docs.sparkSession
     mark = len(noted(spark))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = parts_for(size, BUCKET_BYTES, 2 * spark.sparkContext.defaultParallelism)
     table = sketched(docs, buckets)
-    info = table.where("kind = 0").select("doc_id", "n", "a", "b", "sketch")
+    info = table.where("kind = 0").select("doc_id", "digest", "n", "a", "b", "sketch")
     ids = written(info.drop("sketch"), "set-ids", keep=True)
-    # one node per set: its smallest doc_id
-    nodes = written(info.where("n > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
+    # one node per set, numbered, with the row of its smallest doc_id
+    nodes = info.where("n > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min(F.struct("doc_id", "digest")).alias("row"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "a", "b", "row.doc_id", "row.digest", "n", "sketch"), "nodes")
     found = written(table.where("kind = 1").select("bucket", "sets", "counts", "keys").groupBy("bucket").applyInPandas(bucket_groups, "grp long, u long, v long"), "groups")
     id_of = nodes.select("a", "node", "n", "sketch")
 
@@ -373,7 +380,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # whole sets of the nodes that can have a link
     members = written(found.where("grp IS NOT NULL").select("grp", F.col("u").alias("a")).distinct().join(id_of.select("a", "node"), "a").select("grp", "node"), "members")
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(members.select("node")).distinct()
-    sets = written(whole_sets(docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")), "sets")
+    sets = written(whole_sets(docs, nodes.select("node", "doc_id", "digest").join(wanted, "node")), "sets")
     links = written(linked(pairs, sets), "links")
     roots = components(links)
     members = regrouped(members, roots)
@@ -386,12 +393,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         more = open_.repartition(spread, "grp", "tiles").groupBy("grp", "tiles").applyInPandas(cross_pairs_of(forest), "u long, v long").distinct()
         links = written(links.unionByName(linked(more, sets)), "links")
         roots = components(links)
-    class_of = nodes.select("a", "b", "node").join(roots, "node", "left").select("a", "b", F.coalesce("root", "node").alias("component_id"))
-    class_of = written(class_of, "classes", keep=True)
+    rooted = written(nodes.join(roots, "node", "left").select("a", "b", "doc_id", F.coalesce("root", "node").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    class_of = written(rooted.join(least, "root").select("a", "b", "component_id"), "classes", keep=True)
     drop_written(spark, mark)
     out = ids.join(class_of, ["a", "b"], "left")
     alone = (F.col("n") == 0) | F.col("component_id").isNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"),
+    return out.select("doc_id", "digest", F.col("n").alias("n_shingles"),
                       F.when(F.col("doc_id").isNotNull(), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))).alias("component_id"))
 
 
@@ -428,17 +436,22 @@ def unresolved(members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFr
     return m.select("grp", "node", "n", "sketch", "root", "tile", F.concat_ws("-", F.least("tile", "other"), F.greatest("tile", "other")).alias("tiles"))
 
 
-def whole_sets(docs: DataFrame) -> DataFrame:
-    """node (the doc_id) and the sorted shingle hashes of its text."""
+def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and the sorted shingle hashes of its text. wanted: node, and doc_id and digest of a row with its set."""
+    # documents repeat doc_id and text at times; one row of each is read
+    asked = wanted.select("node", F.col("doc_id").alias("asked_id"), F.col("digest").alias("asked_digest"))
+    rows = docs.select("doc_id", "text").join(asked, (F.col("doc_id") == F.col("asked_id")) & (text_digest() == F.col("asked_digest")))
+    rows = rows.dropDuplicates(["asked_id", "asked_digest"])
+
     def run(batches):
         for block in blocks(batches):
             shingles, offsets = block_sets(*text_bytes(block.column("text")))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), pa.array([shingles[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:])], pa.binary())], ["node", "set"])
+            yield pa.RecordBatch.from_arrays([block.column("node"), pa.array([shingles[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:])], pa.binary())], ["node", "set"])
 
-    return documents(docs).mapInArrow(run, "node long, set binary")
+    return documents(rows, "node").mapInArrow(run, "node long, set binary")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its class, with their columns."""
-    gone = near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` whose doc_id is the smallest of their text's class, with their columns. Rows without doc_id stay."""
+    gone = classes(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
+    return without(docs, gone)

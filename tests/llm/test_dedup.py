@@ -189,3 +189,26 @@ def test_substrings_of_texts_that_share_an_id(make, monkeypatch, parts, hot):
     got = [(r.doc_id, r.n_bytes, len(r.starts), bytes(r.kept)) for r in suffix_dedup.deduplicate(make(rows).repartition(parts)).collect()]
     assert sorted(got, key=str) == sorted(((i, *expected[k]) for k, (i, _) in enumerate(order)), key=str)
     assert sum(head.encode() in r[3] for r in got) == 1
+
+
+def kept_rows(df, columns):
+    assert df.columns == columns
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+
+def test_keep_last_goes_by_row(make):
+    rows = [(1, "one"), (None, "one"), (None, "one"), (None, "nobody"), (None, None), (3, ""), (4, "four"), (4, "five"), (5, "five"), (5, "five"), (None, "four")]
+    docs = make(rows).repartition(3)
+    expected = [(1, "one"), (None, "nobody"), (3, ""), (4, "four"), (5, "five"), (5, "five")]
+    assert kept_rows(exact_dedup.keep_last(docs), docs.columns) == sorted(expected, key=str)
+
+
+def test_keep_first_goes_by_row(make):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    # two classes meet under id 7 only; id 8 has a copy and a text of its own
+    rows = [(7, a), (7, b), (2, a + " end"), (9, b + " end"), (9, b + " end"), (8, b + " other"), (8, c), (None, a), (None, c), (8, c)]
+    docs = make(rows).repartition(3)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs).collect() if r.doc_id is not None) == sorted(
+        [(7, 56, 2), (7, 56, 7), (2, 57, 2), (9, 57, 7), (9, 57, 7), (8, 57, 7), (8, 56, 8), (8, 56, 8)])
+    expected = [(7, b), (2, a + " end"), (8, c), (8, c), (None, a), (None, c)]
+    assert kept_rows(jaccard_join.keep_first(docs), docs.columns) == sorted(expected, key=str)
