@@ -212,3 +212,8 @@ def test_keep_first_goes_by_row(make):
         [(7, 56, 2), (7, 56, 7), (2, 57, 2), (9, 57, 7), (9, 57, 7), (8, 57, 7), (8, 56, 8), (8, 56, 8)])
     expected = [(7, b), (2, a + " end"), (8, c), (8, c), (None, a), (None, c)]
     assert kept_rows(jaccard_join.keep_first(docs), docs.columns) == sorted(expected, key=str)
+
+
+def test_substrings_of_whole_long_texts(make, awkward):
+    assert max(len(t or "") for _, t in awkward) > 100_000
+    assert substring_rows(make(awkward).repartition(3)) == substrings_by_hand(awkward)

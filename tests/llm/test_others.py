@@ -159,3 +159,19 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in pieces} == set(expected)
 
 
+def test_pipeline_pieces(spark):
+    """The pieces of the last stage, with their places, lengths and ids, on the texts that brute force expects."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tests.llm.test_dedup import exact_by_hand, near_by_hand
+    from tests.llm.test_tokens import check_pieces
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    good = {r.doc_id for r in quality.classify(docs, labels).collect() if r.predicted}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in good}
+    texts = {i: texts[i] for i, *_, kept, _ in exact_by_hand(list(texts.items())) if kept}
+    classes = near_by_hand(list(texts.items()))
+    encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder.encode_special_tokens = True
+    ids = {i: encoder.encode(new(t), add_special_tokens=False).ids + [1] for i, t in texts.items() if classes[i][1] == i}
+    check_pieces(corpus_pipeline.run(spark, SF).collect(), ids, 2048)
