@@ -3,8 +3,12 @@
 ``winners`` groups the digests of a history (map-side first, so a text that fills a third of all rows is a few rows);
 ``build_index`` deals the distinct ones to shards. A shard is one row: the bits of a level-wise minimal perfect hash, and
 slots with the full digest, the winner's doc_id and the number of copies. ``look_up`` sends the digests of documents
-to the shards, hashes them to slots and compares all bytes of the digest there: members get the slot's winner, and
-nonmembers are grouped separately. Shards with many lookups are replicated and their lookups split over the replicas.
+to the shards, hashes them to slots and compares all bytes of the digest there: members get the slot's winner,
+nonmembers get nulls. Shards with many lookups are replicated and their lookups split over the replicas.
+
+``deduplicate`` takes no earlier history: its history is the digests that ``winners`` finds more than once in the same
+table. So the groupBy decides and the hash looks its answers up, and a nonmember stands once. Nonmembers of an earlier
+history would still have to be grouped among themselves; nothing here does that.
 
 Texts are equal when they are identical; null counts as empty. Of equal texts the row with the largest doc_id stays.
 Defined results: rows with a null doc_id stay only if all their copies have null ids; rows that repeat the winner's
