@@ -60,6 +60,11 @@ def documents(docs: DataFrame, *extra) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
 
+def renewed(df: DataFrame) -> DataFrame:
+    """``df`` with columns of its own, for meeting a table that it was made from."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def parts_for(bytes_: int, target: int, least: int = 1) -> int:
     return max(least, math.ceil(bytes_ / target))
 
