@@ -179,6 +179,8 @@ def search(q: np.ndarray, qp: np.ndarray, q_ids: np.ndarray, bound: np.ndarray,
         d = np.full(at.shape, np.inf)
         d[x, y] = distances(q[going[x]], c[at[x, y]])
         d[d > kth[going][:, None]] = np.inf
+        better = np.isfinite(d).any(axis=1)
+        going, d, at = going[better], d[better], at[better]
         all_d = np.concatenate([dist[going], d], axis=1)
         all_i = np.concatenate([ids[going], np.where(np.isfinite(d), c_ids[at], np.iinfo(np.int64).max)], axis=1)
         top = np.lexsort((all_i, all_d), axis=1)[:, :k]
