@@ -9,7 +9,7 @@ CTES["cut_json"] = (f"""SELECT response_id, raw_text, CASE WHEN raw_text = '' TH
     WHEN strpos(raw_text, '{{') > 0 THEN substr(raw_text, strpos(raw_text, '{{'), length(raw_text) - strpos(reverse(raw_text), '}}') + 2 - strpos(raw_text, '{{'))
     ELSE {TRIM.format('raw_text')} END AS j FROM responses""", ["responses"])
 CTES["fixed_json"] = ("""SELECT response_id, raw_text, regexp_replace(regexp_replace(j, '[\\x00-\\x1f\\x7f]', '', 'g'), ',\\s*([}\\]])', '\\1', 'g') AS j FROM cut_json""", ["cut_json"])
-CTES["docs"] = (f"""SELECT response_id, CASE WHEN raw_text <> '' AND json_valid(j) AND json_type(CASE WHEN json_valid(j) THEN j END) = 'OBJECT' THEN j END AS doc,
+CTES["docs"] = (f"""SELECT response_id, raw_text, CASE WHEN raw_text <> '' AND json_valid(j) AND json_type(CASE WHEN json_valid(j) THEN j END) = 'OBJECT' THEN j END AS doc,
     CASE WHEN raw_text = '' THEN '{K.WARN_EMPTY}' WHEN NOT json_valid(j) THEN '{K.WARN_PARSE}' WHEN json_type(CASE WHEN json_valid(j) THEN j END) <> 'OBJECT' THEN '{K.WARN_NOT_OBJECT}' END AS parse_warning FROM fixed_json""", ["fixed_json"])
 CTES["entries"] = ("""SELECT response_id, CAST(i AS INT) AS asset_idx, json_extract(doc, '$.detected_assets[' || CAST(i - 1 AS VARCHAR) || ']') AS e
     FROM (SELECT response_id, doc, unnest(range(1, CAST(json_array_length(doc, '$.detected_assets') AS BIGINT) + 1)) AS i FROM docs WHERE json_type(doc, '$.detected_assets') = 'ARRAY')""", ["docs"])
@@ -85,7 +85,10 @@ SQL = {
         GROUP BY 1, 2""", "frames0"),
     "stream_sample": q("SELECT video_id, CAST(event_id + 1 AS INT) AS frame_idx, category, cnt FROM frames0 WHERE event_id % 3 = 0", "frames0"),
     "stream_carry_forward": q("""SELECT a.video_id, a.frame_idx, a.hit AS sampled, b.category, b.cnt FROM carried a LEFT JOIN carried b ON b.video_id = a.video_id AND b.frame_idx = a.src""", "carried"),
-    "stream_ingest": q("SELECT response_id, parse_warning, json_extract_string(doc, '$.image_analysis.scene_type') AS scene_type FROM docs", "docs"),
+    "stream_ingest": q("""SELECT response_id, status, CAST(CASE status WHEN 'accepted' THEN 200 WHEN 'file_too_large' THEN 413 ELSE 400 END AS INT) AS http_code,
+        CASE WHEN status = 'accepted' THEN parse_warning END AS parse_warning, CASE WHEN status = 'accepted' THEN json_extract_string(doc, '$.image_analysis.scene_type') END AS scene_type
+        FROM (SELECT *, CASE WHEN response_id % 11 = 0 THEN 'invalid_analysis_mode' WHEN response_id % 7 = 0 THEN 'invalid_image_type' WHEN raw_text = '' THEN 'empty_file'
+            WHEN response_id % 5 = 0 AND length(raw_text) * 1000000 > 50 * 1048576 THEN 'file_too_large' ELSE 'accepted' END AS status FROM docs)""", "docs"),
     "naming_assets": q("""SELECT image_id, n AS asset_idx, 'naming_asset_' || CAST(n AS VARCHAR) AS unique_id, category, confidence_percent, round_even(xa, 4) AS x_min, round_even(ya, 4) AS y_min, round_even(xb, 4) AS x_max, round_even(yb, 4) AS y_max, estimated_area_sq_m FROM (
         SELECT a.*, CAST(row_number() OVER (PARTITION BY a.image_id ORDER BY b.conf DESC, b.box_idx) AS INT) AS n FROM named_assets a JOIN kept_ids k ON k.image_id = a.image_id AND k.box_idx = a.asset_idx
         JOIN boxes b ON b.image_id = a.image_id AND b.box_idx = a.asset_idx)""", "named_assets", "kept_ids", "boxes"),

@@ -35,15 +35,15 @@ def is_list(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
 
 
-def parse_response(responses: DataFrame) -> DataFrame:
-    """``doc`` (VARIANT, null when unusable) and the parse warning, if any."""
+def parse_response(responses: DataFrame, *kept: str) -> DataFrame:
+    """``doc`` (VARIANT, null when unusable) and the parse warning, if any; ``kept`` names further columns to keep."""
     repaired = repair_json(extract_json(F.col("raw_text")))
     df = responses.withColumn("_v", F.try_parse_json(repaired))
     empty = F.coalesce("raw_text", F.lit("")) == ""
     warning = (F.when(empty, K.WARN_EMPTY).when(F.col("_v").isNull(), K.WARN_PARSE)
                .when(~is_object(F.col("_v")), K.WARN_NOT_OBJECT))
     doc = F.when(~empty & is_object(F.col("_v")), F.col("_v"))
-    return df.select("response_id", doc.alias("doc"), warning.alias("parse_warning"))
+    return df.select("response_id", doc.alias("doc"), warning.alias("parse_warning"), *kept)
 
 
 def _get(path: str, typ: str = "string", col: str = "doc") -> Column:
@@ -97,16 +97,20 @@ def response_assets(parsed: DataFrame) -> DataFrame:
 
 
 def incoming_stats(parsed: DataFrame) -> DataFrame:
-    """Category statistics the response itself states, coerced; zero where absent."""
-    def item(i: int, name: str) -> Column:
-        p = f"$.category_statistics['{name}']"
-        return F.struct(
-            F.lit(i).alias("ord"), F.lit(name).alias("category"),
-            F.greatest(C.safe_int(_get(p + ".count")), F.lit(0).cast("bigint")).alias("count"),
-            F.greatest(C.safe_float(_get(p + ".total_area_sq_m")), F.lit(0.0)).alias("total_area_sq_m"),
-            C.clamp(_get(p + ".coverage_percent")).alias("coverage_percent"))
-    rows = F.array(*[item(i, n) for i, n in enumerate(S.NAMES, 1)])
-    return parsed.select(F.col("response_id").alias("image_id"), F.inline(rows))
+    """Category statistics the response itself states, coerced; one row for each known category it names.
+
+    The entries are taken apart once, as a lateral table, and only those of known categories are looked into.
+    """
+    number = F.create_map(*[F.lit(x) for i, n in enumerate(S.NAMES, 1) for x in (n, i)])
+    stated = F.when(is_object(_get("$.category_statistics", "variant")), _get("$.category_statistics", "variant"))
+    docs = parsed.select(F.col("response_id").alias("image_id"), stated.alias("_stated")).where("_stated IS NOT NULL")
+    rows = docs.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("_stated").outer())).withColumn("ord", number[F.col("key")]).where("ord IS NOT NULL")
+    get = lambda p: _get(p, col="value")
+    return rows.select(
+        "image_id", "ord", F.col("key").alias("category"),
+        F.greatest(C.safe_int(get("$.count")), F.lit(0).cast("bigint")).alias("count"),
+        F.greatest(C.safe_float(get("$.total_area_sq_m")), F.lit(0.0)).alias("total_area_sq_m"),
+        C.clamp(get("$.coverage_percent")).alias("coverage_percent"))
 
 
 def header_fields(parsed: DataFrame) -> DataFrame:

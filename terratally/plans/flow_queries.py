@@ -138,14 +138,17 @@ def q_stream_carry_forward(spark, sf):
 
 
 def q_stream_ingest(spark, sf):
+    """Orders as uploads: some have a wrong mode or type, no content, or too much of it."""
     orders = ST.table_stream(spark, sf, "orders.parquet")
     resp = X.relation(spark, sf, X.RESPONSES.replace("SELECT o_orderkey AS response_id", "SELECT o_orderdate, o_orderkey AS response_id")
                       .replace("FROM (SELECT o_orderkey,", "FROM (SELECT o_orderdate, o_custkey, o_orderkey,"), {"orders": orders})
-    ts = F.col("o_orderdate").cast("timestamp")
-    docs = P.parse_response(resp.withColumn("response_id", F.struct("response_id", ts.alias("ts"))))
-    flat = docs.select(F.col("response_id.response_id").alias("response_id"), F.col("response_id.ts").alias("ts"), "parse_warning",
-                       F.try_variant_get("doc", "$.image_analysis.scene_type", "string").alias("scene_type"))
-    return ST.stream_ingest(flat).select("response_id", "parse_warning", "scene_type")
+    key = F.col("response_id")
+    arrivals = resp.select(
+        "response_id", "raw_text", F.col("o_orderdate").cast("timestamp").alias("ts"), F.lit("image").alias("kind"), F.concat(F.lit("shot_"), key.cast("string")).alias("filename"),
+        F.when(key % 11 == 0, "heat_analysis").otherwise("block_analysis").alias("mode"), F.when(key % 7 == 0, "image/gif").otherwise("image/jpeg").alias("content_type"),
+        (F.length("raw_text") * F.when(key % 5 == 0, 1000000).otherwise(1)).cast("bigint").alias("size_bytes"))
+    out = ST.stream_ingest(arrivals)
+    return out.select("response_id", "status", "http_code", "parse_warning", F.get_json_object("document", "$.image_analysis.scene_type").alias("scene_type"))
 
 
 # ---- modes

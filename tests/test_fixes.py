@@ -1,15 +1,11 @@
 """Cases at the edges: tall images, frames without detections, several stream batches, number texts, large sizes."""
-import datetime
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from terratally.operators import blocks, boxes as B, frames as V, masks as M, regions as Q, responses as P, stats as S
 from terratally.plans import modes
-from terratally.session import new_dir
 from terratally.sources import exports, fixtures as X, ingest
-from terratally.streaming import video as ST
 
 
 def test_tall_image_is_one_block(spark):
@@ -48,48 +44,6 @@ def test_frames_without_detections(spark):
     assert carried[3] == carried[4] == carried[7] == {(None, 0)} and carried[6] == {("Water Bodies", 1)}
 
 
-def test_streams_resume_and_equal_the_batch(spark):
-    folder, out = new_dir(spark, "arriving"), new_dir(spark, "streams")
-    schema = FRAMES.replace("category", "ts timestamp, category")
-    start = datetime.datetime(2024, 1, 1)
-    names = ["Water Bodies", "Solar Panels"]
-    rows = [(v, i, start + datetime.timedelta(minutes=i), names[(i + k) % 2], (i * v) % 3, float(i + k)) for v in (1, 2) for i in range(1, 31) for k in range(1 + i % 2)]
-    rows[0], rows[40] = rows[40], rows[0]  # not in order
-
-    def stream():
-        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-
-    def run():
-        return {
-            "stats": ST.stream_video_stats(stream(), out + "/stats"), "windows": ST.stream_window_stats(stream(), "10 minutes", "1 day", out + "/windows"),
-            "sample": ST.stream_sample(stream(), 3, out + "/sample"), "carry": ST.stream_carry_forward(stream(), 3, out + "/carry")}
-
-    parts = [rows[:25], rows[25:50], rows[50:]]
-    for p in parts[:2]:
-        spark.createDataFrame(p, schema).coalesce(1).write.mode("append").parquet(folder)
-    run()
-    spark.createDataFrame(parts[2], schema).coalesce(1).write.mode("append").parquet(folder)
-    got = run()
-    batch = spark.createDataFrame(rows, schema)
-    hit = (F.col("frame_idx") - 1) % 3 == 0
-    expected = {
-        "stats": V.video_totals_by_category(batch), "sample": batch.where(hit), "carry": V.carry_sampled(batch, hit),
-        "windows": batch.groupBy(F.window("ts", "10 minutes").alias("w"), "category").agg(F.sum("cnt").alias("count"), F.sum("area_px").alias("area_sum"), F.count(F.lit(1)).alias("frames")).select(
-            F.col("w.start").alias("window_start"), "category", "count", "area_sum", "frames")}
-    for k, df in expected.items():
-        assert sorted(map(str, got[k].select(df.columns).collect())) == sorted(map(str, df.collect())), k
-
-
-def test_ingest_keeps_old_and_replaces_repeated(spark):
-    folder, out = new_dir(spark, "arriving"), new_dir(spark, "ingested")
-    schema = "response_id bigint, ts timestamp, text string"
-    day = datetime.datetime(2024, 5, 5)
-    for part in ([(1, day, "a"), (2, day, "b")], [(3, day - datetime.timedelta(90), "old"), (1, day, "again")]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
-        got = ST.stream_ingest(spark.readStream.schema(schema).parquet(folder), out)
-    assert sorted((r.response_id, r.text) for r in got.collect()) == [(1, "again"), (2, "b"), (3, "old")]
-
-
 def test_number_texts(spark):
     values = [0.0004, 12345678.5, 0.00001, 1e-7, 2.5e-7, 1e21, 1.5e22, 123456789012345680000.0, 5.0, -0.25, 0.0, 100.0, 1e16, 0.0001, 1234.5]
     df = spark.createDataFrame([(v,) for v in values], "v double")
