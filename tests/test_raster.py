@@ -98,7 +98,7 @@ def test_clean(spark):
 @pytest.mark.parametrize("conn", [4, 8])
 def test_components(spark, rows, words, conn):
     m = blobs(3, (2, 23, 140))
-    got = G.components(words_of(spark, {"m": m}), ["m"], conn, None, rows, words).collect()
+    got = G.components(words_of(spark, {"m": m}), ["m"], conn, rows, words).collect()
     want = [flood(a, conn) for a in m]
     assert sum(r.x1 - r.x0 + 1 for r in got) == m.sum()
     for r in got:
@@ -108,7 +108,7 @@ def test_components(spark, rows, words, conn):
 @pytest.mark.parametrize("rows,words", [(1024, 16), (6, 1)])
 def test_regions(spark, rows, words):
     m = blobs(4, (2, 26, 140), 0.5)
-    lab = G.labelled_regions(R.long_masks(words_of(spark, {"m": m}), ["m"]), None, False, rows, words)
+    lab = G.labelled_regions(R.long_masks(words_of(spark, {"m": m}), ["m"]), False, rows, words)
     got = {(r.image_id, r.comp_id): r for r in G.region_stats(lab).collect()}
     count = 0
     for i, a in enumerate(m):
