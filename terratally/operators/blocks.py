@@ -14,59 +14,83 @@ CLASSES = {
     "c_water": "Water Bodies", "c_road": "Roads & Footpaths"}
 
 
-def axis_weights(pos, n, m):
-    """Cells that a position takes part in, with weights, as an array of (cell, k).
+#: Cells of all distinct sizes up to which their table is broadcast (8 bytes each).
+BROADCAST_CELLS = 1_000_000
 
-    Triangle filter in 22-bit fixed point. ``n`` positions shrink (or grow) to ``m`` cells: a cell's weights are those of
-    the positions within one cell width of its centre, divided by their sum. The cells near a position and the positions
-    of a cell follow from the sizes, so no table of weights is needed.
-    """
-    scale = n / m
-    wide = F.greatest(scale, F.lit(1.0))
 
-    def centre(cell):
-        return (cell + 0.5) * scale
+def _centre(cell, n, m):
+    return (cell + 0.5) * (n / m)
+
 
-    def weight(p, cell):
-        return F.greatest(F.lit(0.0), 1.0 - F.abs((p - centre(cell) + 0.5) / wide))
+def _weight(p, cell, n, m):
+    return F.greatest(F.lit(0.0), 1.0 - F.abs((p - _centre(cell, n, m) + 0.5) / F.greatest(n / m, F.lit(1.0))))
+
+
+def cell_totals(n, m):
+    """Summed weights of all positions, as an array over the ``m`` cells that ``n`` positions shrink (or grow) to."""
+    wide = F.greatest(n / m, F.lit(1.0))
 
     def total(cell):
-        first = F.greatest(F.lit(0), (centre(cell) - wide + 0.5).cast("int"))
-        last = F.least(n, (centre(cell) + wide + 0.5).cast("int")) - 1
-        return F.aggregate(F.sequence(first, last), F.lit(0.0), lambda s, p: s + weight(p, cell))
+        first = F.greatest(F.lit(0), (_centre(cell, n, m) - wide + 0.5).cast("int"))
+        last = F.least(n, (_centre(cell, n, m) + wide + 0.5).cast("int")) - 1
+        return F.aggregate(F.sequence(first, last), F.lit(0.0), lambda s, p: s + _weight(p, cell, n, m))
+
+    return F.transform(F.sequence(F.lit(0), m - 1), total)
 
-    low = F.greatest(F.lit(0), F.floor((pos + 0.5 - wide) / scale - 0.5).cast("int"))
-    high = F.least(m - 1, F.ceil((pos + 0.5 + wide) / scale - 0.5).cast("int"))
-    cells = F.transform(F.sequence(low, high), lambda cell: F.struct(
-        cell.alias("cell"), F.floor(weight(pos, cell) / total(cell) * 4194304.0 + 0.5).cast("bigint").alias("k")))
-    return F.filter(cells, lambda c: c["k"] > 0)
 
+def _cells(pos, n, m):
+    """First and last cell within one cell width of a position, whose weights are not zero."""
+    scale = n / m
+    wide = F.greatest(scale, F.lit(1.0))
+    low = F.floor((pos + 0.5 - wide) / scale - 0.5).cast("int") + 1
+    high = F.ceil((pos + 0.5 + wide) / scale - 0.5).cast("int") - 1
+    return F.greatest(F.lit(0), low), F.least(m - 1, high)
+
+
+def size_table(sizes: DataFrame, gx: int) -> DataFrame:
+    """Distinct sizes (w, h) with their grid and the totals of both axes. Broadcast while it is small."""
+    gh = F.greatest(F.lit(1), F.floor(F.lit(gx) * (F.col("h") / F.col("w"))).cast("int"))
+    sizes = sizes.select("w", "h").distinct().withColumns({"gw": F.lit(gx), "gh": gh})
+    cells = sizes.agg(F.coalesce(F.sum(F.col("gw") + F.col("gh")), F.lit(0))).first()[0]
+    out = sizes.withColumns({"tx": cell_totals(F.col("w"), F.col("gw")), "ty": cell_totals(F.col("h"), F.col("gh"))})
+    return F.broadcast(out) if cells <= BROADCAST_CELLS else out
 
-def _shrink(df: DataFrame, size: str, target: str, pos: str, keys: list[str]) -> DataFrame:
-    tone = lambda c: F.least(F.greatest(F.shiftright(F.sum(F.col(c) * F.col("_at.k")) + 2097152, 22), F.lit(0)), F.lit(255)).cast("int").alias(c)
-    spread = df.withColumn("_at", F.explode(axis_weights(F.col(pos), F.col(size), F.col(target))))
-    return spread.groupBy(*keys, F.col("_at.cell").alias("_cell")).agg(tone("r"), tone("g"), tone("b")).withColumnRenamed("_cell", pos)
+
+def _shrink(df: DataFrame, size: str, target: str, totals: str, pos: str, keys: list[str]) -> DataFrame:
+    """Triangle filter in 22-bit fixed point along one axis.
+
+    A cell's weights are those of the positions within one cell width of its centre, divided by their sum. The cells near
+    a position follow from the sizes and the sums from ``totals``, so a pixel costs the same however wide its image is,
+    and all of it is plain columns.
+    """
+    n, m, cell = F.col(size), F.col(target), F.col("_cell")
+    spread = df.withColumn("_cell", F.explode(F.sequence(*_cells(F.col(pos), n, m))))
+    spread = spread.withColumn("_k", F.floor(_weight(F.col(pos), cell, n, m) / F.get(totals, cell) * 4194304.0 + 0.5).cast("bigint")).where("_k > 0")
+    tone = lambda c: F.least(F.greatest(F.shiftright(F.sum(F.col(c) * F.col("_k")) + 2097152, 22), F.lit(0)), F.lit(255)).cast("int").alias(c)
+    return spread.groupBy(*keys, "_cell").agg(tone("r"), tone("g"), tone("b")).withColumnRenamed("_cell", pos)
 
 
-def grid_downsample(px: DataFrame, gx: int = K.GRID_COLUMNS) -> DataFrame:
+def grid_downsample(px: DataFrame, gx: int = K.GRID_COLUMNS, images: DataFrame | None = None) -> DataFrame:
     """Image to ``gx`` columns of cells with a triangle filter: across first, then down.
 
-    Two partial aggregations and no join: the pixel rows carry the size of their image.
+    Two partial aggregations; the filter's sums come from a table of the distinct sizes, taken from ``images`` (or else from
+    the pixel rows, which carry the size of their image).
     """
-    df = px.withColumns({"gw": F.lit(gx), "gh": F.greatest(F.lit(1), F.floor(F.lit(gx) * (F.col("h") / F.col("w"))).cast("int"))})
-    keys = ["image_id", "w", "h", "gw", "gh"]
-    df = _shrink(df, "w", "gw", "x", keys + ["y"])
-    return _shrink(df, "h", "gh", "y", keys + ["x"])
+    table = size_table(px if images is None else images, gx)
+    keys = ["image_id", "w", "h"]
+    across = _shrink(px.select(*keys, "y", "x", "r", "g", "b").join(table, ["w", "h"]), "w", "gw", "tx", "x", keys + ["y"])
+    down = _shrink(across.join(table, ["w", "h"]), "h", "gh", "ty", "y", keys + ["x"])
+    return down.join(table.select("w", "h", "gw", "gh"), ["w", "h"]).select(*keys, "gw", "gh", "x", "y", "r", "g", "b")
 
 
-def grid_classes(px: DataFrame, gx: int = K.GRID_COLUMNS) -> DataFrame:
-    g = grid_downsample(px, gx)
+def grid_classes(px: DataFrame, gx: int = K.GRID_COLUMNS, images: DataFrame | None = None) -> DataFrame:
+    g = grid_downsample(px, gx, images)
     return g.withColumn("category", classify_rgb(F.col("r"), F.col("g"), F.col("b")))
 
 
 def block_assets(px: DataFrame, images: DataFrame, gx: int = K.GRID_COLUMNS, mpp: float = 1.0) -> DataFrame:
     """One asset per 4-connected block of equal class, numbered from 0 in reading order."""
-    cells = grid_classes(px, gx).select(
+    cells = grid_classes(px, gx, images).select(
         "image_id", F.col("gw").alias("w"), F.col("gh").alias("h"), "x", "y", "category")
     words = R.pixel_words(cells, {m: F.col("category") == c for m, c in CLASSES.items()})
     lab = Q.components(words, list(CLASSES), 4)

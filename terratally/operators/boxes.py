@@ -1,14 +1,12 @@
 """Detector boxes: class names, confidence, overlap suppression, asset records."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from terratally import fixed_values as K
 from terratally.functions import clean as C, geometry as G
 from terratally.operators.spatial import rect_join
-from terratally.session import cut_lineage
+from terratally.operators.suppress import suppress
 
 
 def class_names(spark, names: dict[int, str] = K.DETECTOR_CLASSES) -> DataFrame:
@@ -81,29 +79,12 @@ def iou_pairs(boxes: DataFrame, threshold: float = K.IOU_THRESHOLD) -> DataFrame
 def box_nms(boxes: DataFrame, threshold: float = K.IOU_THRESHOLD) -> DataFrame:
     """Greedy suppression: a box goes when a better kept box of its class overlaps it.
 
-    Boxes without a better undecided neighbour are kept, their weaker neighbours go, and
-    the remaining overlaps are looked at again until none is left. The pairs, not the
-    images, are what is distributed, and every round is written out. Boxes without area
-    overlap nothing and all stay.
+    Exact copies stand as one box. Boxes without area and boxes with a side that is no finite number overlap nothing and
+    all stay.
     """
-    shapes = cut_lineage(_shapes(boxes))
-    key = ["image_id", "cls_id"]
-    open_pairs = cut_lineage(_overlapping_shapes(shapes, threshold).select(
-        *key, F.col("idx_l").alias("hi"), F.col("idx_r").alias("lo")))
-    dropped = []
-    while not open_pairs.isEmpty():
-        waiting = open_pairs.select(*key, F.col("lo").alias("hi")).distinct()
-        out = cut_lineage(open_pairs.join(waiting, [*key, "hi"], "left_anti").select(*key, "lo").distinct())
-        dropped.append(out)
-        open_pairs = cut_lineage(
-            open_pairs.join(out, [*key, "lo"], "left_anti")
-            .join(out.withColumnRenamed("lo", "hi"), [*key, "hi"], "left_anti").select(*key, "hi", "lo"))
-    keep = shapes.select(*key, "box_idx")
-    if dropped:
-        lost = reduce(DataFrame.unionByName, dropped).withColumnRenamed("lo", "box_idx")
-        keep = keep.join(lost, [*key, "box_idx"], "left_anti")
-    flat = (F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1"))
-    return boxes.where(~flat).join(keep, [*key, "box_idx"], "left_semi").unionByName(boxes.where(flat))
+    flat = ~((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")) & (F.abs(F.col("x1")) + F.abs(F.col("y1")) + F.abs(F.col("x2")) + F.abs(F.col("y2")) < float("inf")))
+    keep = suppress(_shapes(boxes.where(~flat)), threshold).select("image_id", "cls_id", "box_idx")
+    return boxes.where(~flat).join(keep, ["image_id", "cls_id", "box_idx"], "left_semi").unionByName(boxes.where(flat))
 
 
 def boxes_to_assets(boxes: DataFrame, mpp=1.0) -> DataFrame:

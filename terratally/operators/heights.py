@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from terratally import fixed_values as K
 from terratally.functions import clean as C, geometry as G
-from terratally.operators.spatial import match_shadows
+from terratally.operators.shadow_search import match_shadows
 from terratally.session import cut_lineage
 
 

@@ -95,13 +95,13 @@ def _border_links(out: DataFrame, reach: int, rows: int, words: int) -> DataFram
     return down.unionByName(across).where("u <> v").distinct()
 
 
-def contract(links: DataFrame) -> DataFrame:
-    """Smallest label of every linked group, by alternating large-star and small-star steps.
+def contract(links: DataFrame, g: list[str] = ("image_id", "mask")) -> DataFrame:
+    """Smallest label of every linked group inside ``g``, by alternating large-star and small-star steps.
 
     Nothing but link pairs moves; each round is written to the shared folder, and its count and hash sum tell whether
     anything moved. Without links the first count ends it.
     """
-    g = ["image_id", "mask"]
+    g = list(g)
 
     def step(df: DataFrame) -> tuple[DataFrame, tuple]:
         df = cut_lineage(df.where("u <> v").distinct())

@@ -1,4 +1,4 @@
-"""Rectangle overlap joins and nearest-region matching.
+"""Rectangle overlap joins.
 
 Rectangles meet on the cells of a few grids (32, 128, 512 and 2048 wide) instead of on
 their image alone, so an image that holds a large share of all rows is spread over
@@ -9,9 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from terratally import fixed_values as K
-from terratally.functions import geometry as G
-
 BASE, STEP, LEVELS = 32.0, 4.0, 4
 
 
@@ -65,46 +62,3 @@ def rect_join(left: DataFrame, right: DataFrame, keys: list[str], up: int = LEVE
         )
         .drop("_lv", "_gx", "_gy", "_w", "_lown", "_rown")
     )
-
-
-def match_shadows(
-    buildings: DataFrame, shadows: DataFrame,
-    factor: float = K.SHADOW_DISTANCE_FACTOR, pad: float = K.SHADOW_PADDING,
-) -> DataFrame:
-    """Nearest plausible shadow per building, by score, first shadow on ties.
-
-    ``buildings``: image_id, asset_idx, x1, y1, x2, y2 (pixels).
-    ``shadows``: image_id, shadow_id, cx, cy, sx0, sy0, sx1, sy1 (centroid and bounds).
-    Identical boxes are matched once and identical shadows compared once; the copies
-    share the answer. Returns only matched buildings.
-    """
-    b_geo = ["x1", "y1", "x2", "y2"]
-    s_geo = ["cx", "cy", "sx0", "sy0", "sx1", "sy1"]
-    size = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.lit(1)).cast("double")
-    reach = F.greatest(size * factor, F.lit(float(pad)))
-    shapes = buildings.select("image_id", *b_geo).distinct()
-    left = shapes.select(
-        "*", size.alias("size"),
-        (F.col("x1") - reach).alias("l_x0"), (F.col("y1") - reach).alias("l_y0"),
-        (F.col("x2") + reach).alias("l_x1"), (F.col("y2") + reach).alias("l_y1"),
-    )
-    right = shadows.groupBy("image_id", *s_geo).agg(F.min("shadow_id").alias("shadow_id")).select(
-        "*", *[F.col(s).cast("double").alias(r) for s, r in
-               (("sx0", "r_x0"), ("sy0", "r_y0"), ("sx1", "r_x1"), ("sy1", "r_y1"))]
-    )
-    cx, cy = F.col("cx"), F.col("cy")
-    zero = F.lit(0.0)
-    gap_x = F.greatest(F.col("x1") - cx, zero, cx - F.col("x2"))
-    gap_y = F.greatest(F.col("y1") - cy, zero, cy - F.col("y2"))
-    dist = F.sqrt(gap_x * gap_x + gap_y * gap_y)
-    touches = (
-        (F.col("sx1") >= F.col("x1") - pad) & (F.col("sx0") <= F.col("x2") + pad)
-        & (F.col("sy1") >= F.col("y1") - pad) & (F.col("sy0") <= F.col("y2") + pad)
-    )
-    radial = G.distance(cx, cy, (F.col("x1") + F.col("x2")) / 2.0, (F.col("y1") + F.col("y2")) / 2.0)
-    score = dist + F.when(touches, 0.0).otherwise(15.0) + 0.05 * radial
-    pairs = rect_join(left, right, ["image_id"]).where((dist <= F.col("size") * factor) | touches)
-    best = pairs.withColumn("score", score).groupBy("image_id", *b_geo).agg(
-        F.min(F.struct("score", "shadow_id", *s_geo)).alias("m")
-    ).select("image_id", *b_geo, "m.*")
-    return buildings.join(best, ["image_id", *b_geo])

@@ -141,7 +141,7 @@ def q_union_masks(spark, sf):
 
 
 def q_grid_downsample(spark, sf):
-    return blocks.grid_downsample(X.pixels(spark, sf)).select("image_id", "y", "x", "r", "g", "b")
+    return blocks.grid_downsample(X.pixels(spark, sf), images=X.images(spark, sf)).select("image_id", "y", "x", "r", "g", "b")
 
 
 def q_block_assets(spark, sf):
