@@ -52,3 +52,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder so that lost executors cost no replay of earlier rounds."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a file scan over at least as many partitions as there are cores.
+
+    Small files are read by one task, however much work their rows bring; they are dealt out first. A scan that has
+    enough partitions stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

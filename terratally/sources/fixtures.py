@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terratally.operators.ranking import numbered
+from terratally.session import spread
 
 IMAGE_W, IMAGE_H = 96, 64
 
@@ -141,7 +142,7 @@ def sql_text(template: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def relation(spark: SparkSession, sf_dir: str, template: str, tables: dict | None = None) -> DataFrame:
