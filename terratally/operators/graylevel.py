@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from terratally import fixed_values as K
 from terratally.functions.color import gray
 from terratally.operators.raster import KEY, long_masks
-from terratally.operators.regions import label, pieces, to_words, piece_bits
+from terratally.operators.regions import label, packed, pieces, to_words, piece_bits
 from terratally.session import ship_package
 
 TILE = 512
@@ -83,7 +83,7 @@ def tile_masks(px: DataFrame, block: int | None = None, c: int = K.SHADOW_C, edg
     margin = max(2 + block // 2 if block else 0, 2)
     names = (["dark"] if block else []) + (["weak", "strong"] if edges else [])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
         image, w, h, ty, tx = (int(pdf[k].iloc[0]) for k in ("image_id", "w", "h", "_ty", "_tx"))
         y0, x0 = max(ty * TILE - margin, 0), max(tx * TILE - margin, 0)
         y9, x9 = min(ty * TILE + TILE + margin, h), min(tx * TILE + TILE + margin, w)
@@ -105,9 +105,12 @@ def tile_masks(px: DataFrame, block: int | None = None, c: int = K.SHADOW_C, edg
             out[n] = np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()
         return pd.DataFrame(out)
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([one(t) for _, t in pdf.groupby(["image_id", "_ty", "_tx"], sort=False)])
+
     schema = "image_id bigint, w int, h int, y int, xb int, " + ", ".join(f"{n} bigint" for n in names)
     ship_package(px.sparkSession)
-    return _tiles(px, margin).groupBy("image_id", "_ty", "_tx").applyInPandas(run, schema)
+    return _tiles(px, margin).groupBy(packed(px, "image_id", "_ty", "_tx")).applyInPandas(run, schema)
 
 
 def local_mean_threshold(px: DataFrame, block: int = K.SHADOW_BLOCK, c: int = K.SHADOW_C) -> DataFrame:

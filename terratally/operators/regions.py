@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from terratally.operators.raster import KEY, inside, long_masks
-from terratally.session import cut_lineage
+from terratally.session import cut_lineage, ship_package
 
 TILE_ROWS, TILE_WORDS = 1024, 16
 PIECE = ["image_id", "w", "h", "mask", "y", "x0", "x1"]
@@ -33,32 +33,46 @@ def pieces(long: DataFrame, *extra: Column) -> DataFrame:
     return df.select("image_id", "w", "h", "mask", "y", (base + F.col("s")).alias("x0"), (base + F.col("e")).alias("x1"), *extra)
 
 
-def label_tile(reach: int):
-    """Labels inside one tile: each piece gets the raster index of its region's first pixel."""
+def packed(df: DataFrame, *tile: str) -> Column:
+    """Key that many small tiles share: about four groups for each shuffle partition, so calls grow with pixels, not tiles."""
+    groups = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return F.pmod(F.xxhash64(*tile), F.lit(groups)).alias("_pack")
+
+
+def united(code: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, reach) -> np.ndarray:
+    """First piece of the region of each piece. Pieces are sorted by (code, y, x0); only pieces of one code are joined.
+
+    ``reach`` is 1 where diagonal neighbours count.
+    """
+    wide = np.int64(x1.max() + 4)
+    row = code * (y.max() + 2) + y
+    near = np.flatnonzero((row[1:] == row[:-1]) & (x0[1:] == x1[:-1] + 1))
+    lo = np.searchsorted(row * wide + x1 + 1, (row + 1) * wide + x0 + 1 - reach)
+    hi = np.searchsorted(row * wide + x0 + 1, (row + 1) * wide + x1 + 1 + reach, side="right")
+    n = np.where(y < y.max(), np.maximum(hi - lo, 0), 0)
+    a = np.concatenate([near, np.repeat(np.arange(len(y)), n)])
+    b = np.concatenate([near + 1, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)])
+    root = np.arange(len(y))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def label_tiles(reach: int):
+    """Labels inside tiles: each piece gets the raster index of its region's first pixel in the tile."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        codes, _ = pd.factorize(pdf["mask"], sort=True)
-        pdf = pdf.iloc[np.lexsort((pdf["x0"], pdf["y"], codes))]
-        codes = np.sort(codes)
-        y, x0, x1 = (pdf[c].to_numpy(np.int64) for c in ("y", "x0", "x1"))
-        wide = np.int64(x1.max() + 4)
-        row = codes * (y.max() + 2) + y
-        near = np.flatnonzero((row[1:] == row[:-1]) & (x0[1:] == x1[:-1] + 1))
-        lo = np.searchsorted(row * wide + x1 + 1, (row + 1) * wide + x0 + 1 - reach)
-        hi = np.searchsorted(row * wide + x0 + 1, (row + 1) * wide + x1 + 1 + reach, side="right")
-        n = np.where(y < y.max(), np.maximum(hi - lo, 0), 0)
-        a = np.concatenate([near, np.repeat(np.arange(len(y)), n)])
-        b = np.concatenate([near + 1, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)])
-        root = np.arange(len(y))
-        while True:
-            low = np.minimum(root[a], root[b])
-            new = root.copy()
-            np.minimum.at(new, root[a], low)
-            np.minimum.at(new, root[b], low)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        return pdf.assign(lab=y[root] * pdf["w"].to_numpy(np.int64) + x0[root])
+        code = pdf.groupby(["image_id", "_ty", "_tx", "mask"], sort=False).ngroup().to_numpy()
+        order = np.lexsort((pdf["x0"], pdf["y"], code))
+        pdf = pdf.iloc[order]
+        y, x0, x1, w = (pdf[c].to_numpy(np.int64) for c in ("y", "x0", "x1", "w"))
+        root = united(code[order], y, x0, x1, reach)
+        return pdf.assign(lab=y[root] * w + x0[root])
 
     return run
 
@@ -69,16 +83,16 @@ def label(pcs: DataFrame, conn: int = 8,
     reach = 1 if conn == 8 else 0
     df = pcs.withColumns({"_ty": F.floor(F.col("y") / rows), "_tx": F.floor(F.col("x0") / (64 * words))})
     schema = T.StructType(df.schema.fields + [T.StructField("lab", T.LongType())])
-    out = df.groupBy("image_id", "_ty", "_tx").applyInPandas(label_tile(reach), schema)
-    out = cut_lineage(out)
-    links = _border_links(out, reach, rows, words)
+    ship_package(df.sparkSession)
+    out = cut_lineage(df.groupBy(packed(df, "image_id", "_ty", "_tx")).applyInPandas(label_tiles(reach), schema))
+    links = border_links(out, reach, rows, words)
     roots = contract(links)
     key = ["image_id", "mask", "lab"]
     return (out.drop("_ty", "_tx").join(roots, key, "left")
             .withColumn("lab", F.coalesce("root", "lab")).drop("root"))
 
 
-def _border_links(out: DataFrame, reach: int, rows: int, words: int) -> DataFrame:
+def border_links(out: DataFrame, reach: int, rows: int, words: int) -> DataFrame:
     """Label pairs of pieces that touch across a tile border."""
     p = out.select("image_id", "mask", "y", "x0", "x1", "lab")
     side = words * 64
@@ -120,15 +134,6 @@ def contract(links: DataFrame, g: list[str] = ("image_id", "mask")) -> DataFrame
     return e.select(*g, F.col("u").alias("lab"), F.col("v").alias("root"))
 
 
-def holes(long: DataFrame, rows: int = TILE_ROWS, words: int = TILE_WORDS) -> DataFrame:
-    """Pieces of background that no 4-connected path links to the image border."""
-    back = long.withColumn("bits", F.bitwise_not(F.col("bits")).bitwiseAND(inside()))
-    lab = label(pieces(back), 4, rows, words)
-    edge = (F.col("y") == 0) | (F.col("y") == F.col("h") - 1) | (F.col("x0") == 0) | (F.col("x1") == F.col("w") - 1)
-    outer = lab.where(edge).select("image_id", "mask", "lab").distinct()
-    return lab.join(outer, ["image_id", "mask", "lab"], "left_anti")
-
-
 def to_words(pcs: DataFrame) -> DataFrame:
     """Pieces back to words: (image_id, w, h, mask, y, xb, bits)."""
     return pcs.groupBy("image_id", "w", "h", "mask", "y", F.floor(F.col("x0") / 64).cast("int").alias("xb")).agg(
@@ -137,7 +142,10 @@ def to_words(pcs: DataFrame) -> DataFrame:
 
 def fill_holes(long: DataFrame, rows: int = TILE_ROWS, words: int = TILE_WORDS) -> DataFrame:
     """Masks with interior holes set."""
-    both = long.unionByName(to_words(holes(long, rows, words)).select(long.columns))
+    from terratally.operators.enclosure import filled_pieces
+
+    empty = long.withColumn("bits", F.lit(0).cast("bigint"))
+    both = empty.unionByName(to_words(filled_pieces(long, rows, words)).select(long.columns))
     return both.groupBy("image_id", "w", "h", "mask", "y", "xb").agg(F.bit_or("bits").alias("bits"))
 
 
@@ -171,13 +179,18 @@ def corner_words(filled: DataFrame) -> DataFrame:
 
 def labelled_regions(long: DataFrame, filled: bool = False,
                      rows: int = TILE_ROWS, words: int = TILE_WORDS) -> DataFrame:
-    """Pieces of the outer regions of every mask (holes filled, 8-connected) with label and area parts."""
-    solid = long if filled else fill_holes(long, rows, words)
-    pcs = pieces(corner_words(solid), "q4", "q3", "q3l")
-    m = piece_bits(F.col("x0"), F.col("x1"))
-    part = lambda c: F.bit_count(F.col(c).bitwiseAND(F.col("_m")))
-    pcs = pcs.withColumn("_m", m).withColumn("area2", part("q4") * 2 + part("q3") + part("q3l")).drop("_m", "q4", "q3", "q3l")
-    return label(pcs, 8, rows, words)
+    """Pieces of the outer regions of every mask (holes filled, 8-connected) with label and area parts.
+
+    With ``filled`` the masks have no holes and are only labelled.
+    """
+    from terratally.operators.enclosure import filled_pieces
+
+    pcs = label(pieces(long), 8, rows, words) if filled else filled_pieces(long, rows, words)
+    pcs = pcs.withColumn("xb", F.floor(F.col("x0") / 64).cast("int"))
+    at = ["image_id", "mask", "y", "xb"]
+    corners = corner_words(to_words(pcs)).select(*at, "q4", "q3", "q3l")
+    part = lambda c: F.bit_count(F.col(c).bitwiseAND(piece_bits(F.col("x0"), F.col("x1"))))
+    return pcs.join(corners, at).withColumn("area2", part("q4") * 2 + part("q3") + part("q3l")).drop("xb", "q4", "q3", "q3l")
 
 
 def region_stats(labelled: DataFrame) -> DataFrame:
