@@ -75,10 +75,30 @@ _dark = cleaned("SELECT b.image_id, i.w, i.h, b.y, b.x, b.v - m.mean <= -7 AS da
 CTES["darks"] = (_dark, ["blurred", "local_mean", "images"])
 filled("dk", "SELECT * FROM darks", {"dark": "dark"}, ["darks"])
 
-OUTLINE = """SELECT image_id, mask, lab AS comp_id, array_to_string(list_transform(list_filter(pts, lambda p, i: i = list_position(pts, p)), lambda p: CAST(p.x * 1000 AS VARCHAR) || ' ' || CAST(p.y * 1000 AS VARCHAR)), ';') AS outline FROM (
-    SELECT image_id, mask, lab, list_concat(list({{'x': CAST(l AS BIGINT), 'y': CAST(y AS BIGINT)}} ORDER BY y) FILTER (tl), list({{'x': CAST(r AS BIGINT), 'y': CAST(y AS BIGINT)}} ORDER BY y DESC) FILTER (tr)) AS pts FROM (
-    SELECT *, coalesce(lag(l) OVER g <> l OR lead(l) OVER g <> l, true) AS tl, coalesce(lag(r) OVER g <> r OR lead(r) OVER g <> r, true) AS tr FROM (
-    SELECT image_id, mask, lab, y, min(x0) AS l, max(x1) AS r FROM {name}_lab GROUP BY ALL) WINDOW g AS (PARTITION BY image_id, mask, lab ORDER BY y)) GROUP BY ALL)"""
+# border following pixel by pixel; directions run counterclockwise from east, nb has a bit for each set neighbour
+_dx, _dy = "[1, 1, 0, -1, -1, -1, 0, 1]", "[0, -1, -1, -1, 0, 1, 1, 1]"
+_go = "((back + list_filter([1, 2, 3, 4, 5, 6, 7, 8], lambda k: (nb >> CAST((back + k) % 8 AS INT)) & 1 = 1)[1]) % 8)"
+
+
+def outline(name: str) -> str:
+    CTES[f"{name}_nb"] = (f"""SELECT p.image_id, p.mask, p.lab, p.w, p.y, p.x, CAST(sum(CASE WHEN n.x IS NULL THEN 0 ELSE 1 << d END) AS INT) AS nb
+        FROM {name}_px p CROSS JOIN range(8) AS r(d) LEFT JOIN {name}_px n ON n.image_id = p.image_id AND n.mask = p.mask AND n.x = p.x + {_dx}[d + 1] AND n.y = p.y + {_dy}[d + 1]
+        GROUP BY ALL HAVING nb <> 255""", [f"{name}_px"])
+    CTES[f"{name}_first"] = (f"""SELECT image_id, mask, lab, x, y, nb, CAST(CASE WHEN nb & 1 = 1 THEN 0 WHEN nb & 128 = 128 THEN 7 WHEN nb & 64 = 64 THEN 6 ELSE 5 END AS BIGINT) AS back
+        FROM {name}_nb WHERE lab = CAST(y AS BIGINT) * w + x""", [f"{name}_nb"])
+    state = "image_id, mask, lab, step, x, y, back, nb, x9, y9, back9"
+    CTES[f"{name}_walk_rec({state})"] = (f"""SELECT image_id, mask, lab, 0, x, y, back, nb, x, y, back FROM {name}_first WHERE nb <> 0 UNION ALL
+        SELECT t.image_id, t.mask, t.lab, t.step + 1, n.x, n.y, (t.go + 4) % 8, n.nb, x9, y9, back9 FROM (SELECT *, {_go} AS go FROM {name}_walk_rec) t
+        JOIN {name}_nb n ON n.image_id = t.image_id AND n.mask = t.mask AND n.x = t.x + {_dx}[t.go + 1] AND n.y = t.y + {_dy}[t.go + 1]
+        WHERE NOT (n.x = x9 AND n.y = y9 AND (t.go + 4) % 8 = back9)""", [f"{name}_first", f"{name}_nb"])
+    walk = f"{name}_walk_rec({state})"
+    CTES[f"{name}_corners"] = (f"""SELECT image_id, mask, lab, step, x, y FROM (
+        SELECT *, coalesce(lag(go) OVER g, last_value(go) OVER (PARTITION BY image_id, mask, lab ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS came
+        FROM (SELECT *, {_go} AS go FROM {name}_walk_rec) WINDOW g AS (PARTITION BY image_id, mask, lab ORDER BY step)) WHERE go <> came
+        UNION ALL SELECT image_id, mask, lab, 0, x, y FROM {name}_first WHERE nb = 0""", [walk, f"{name}_first"])
+    return q(f"""SELECT image_id, mask, lab AS comp_id, string_agg(CAST(x * 1000 AS VARCHAR) || ' ' || CAST(y * 1000 AS VARCHAR), ';' ORDER BY step) AS outline
+        FROM {name}_corners GROUP BY image_id, mask, lab""", f"{name}_corners")
+
 
 CTES["cells"] = (f"""SELECT image_id, 35 AS w, max(gh) AS h, CAST(a.cell AS INT) AS y, x, {tone('r')}, {tone('g')}, {tone('b')} FROM (
     SELECT image_id, h, max(greatest(1, CAST(floor(35 * (h / w)) AS INT))) AS gh, y, CAST(a.cell AS INT) AS x, {tone('r')}, {tone('g')}, {tone('b')} FROM px JOIN ax a ON a.n = w AND a.pos = x GROUP BY image_id, h, y, a.cell) p
@@ -164,13 +184,46 @@ SQL = {
     "fill_holes": q(" UNION ALL ".join(f"SELECT image_id, '{m}' AS mask, y, xb, bits FROM ({words(f'''SELECT p.image_id, p.y, p.x, s.x IS NOT NULL AS set_ FROM px p LEFT JOIN br_solid s ON s.image_id = p.image_id AND s.y = p.y AND s.x = p.x AND s.mask = '{m}' ''', bits='set_')})" for m in ("bright", "road")), "px", "br_solid"),
     "region_stats": q("SELECT image_id, mask, comp_id, n, area, min_x, min_y, max_x, max_y, cx, cy, bw, bh FROM br_stats", "br_stats"),
     "region_area": q("SELECT image_id, mask, comp_id, n AS pixels, area AS outline_area FROM br_stats", "br_stats"),
-    "region_outline": q(OUTLINE.format(name="br"), "br_lab"),
+    "region_outline": outline("br"),
     "edge_map": q(without_zero(words("SELECT * FROM edges", bits="edges")), "edges"),
     "shadow_regions": q(f"SELECT image_id, comp_id, n, area, min_x, min_y, max_x, max_y, cx, cy, bw, bh FROM dk_stats WHERE area >= {SHADOW_AREA}", "dk_stats"),
     "frame_observations": q(f"""SELECT a.image_id, a.category, count(r.mask) AS cnt, a.area_px FROM ({_areas}) a LEFT JOIN frame_regions r ON r.image_id = a.image_id AND r.mask = a.mask
-        WHERE a.area_px > 0 GROUP BY a.image_id, a.category, a.area_px""", "frame_last", "frame_regions"),
+        WHERE a.area_px > 0 GROUP BY a.image_id, a.category, a.area_px
+        UNION ALL SELECT image_id, NULL, 0, 0.0 FROM ({_areas}) GROUP BY image_id HAVING max(area_px) = 0""", "frame_last", "frame_regions"),
     "class_map_blend": q(f"""SELECT image_id, y, {', '.join(f'CAST(sum({c}) AS BIGINT) AS sum_{c}, CAST(sum({c} * x) AS BIGINT) AS moment_{c}' for c in 'rgb')} FROM (
         SELECT m.image_id, m.y, m.x, {', '.join(blend(i, c) for i, c in enumerate('rgb'))} FROM map_last m JOIN px p ON p.image_id = m.image_id AND p.y = m.y AND p.x = m.x) GROUP BY image_id, y""", "map_last", "px"),
 }
 SQL |= {f"mask_map_{m}": q(words("SELECT * FROM map_last", bits=m), "map_last") for m in MASKS if m not in ("green", "water")}
 SQL |= {f"mask_video_{m}": q(words("SELECT * FROM frame_last", bits=m), "frame_last") for m in MASKS if m != "green"}
+
+# asset records of blocks and of map regions
+_text = lambda c: f"CAST(CAST(round_even({c} * 1000, 0) AS BIGINT) AS VARCHAR)"
+_ring = "array_to_string([" + ", ".join(f"{_text(x)} || ' ' || {_text(y)}" for x, y in (("x_min", "y_min"), ("x_max", "y_min"), ("x_max", "y_max"), ("x_min", "y_max"))) + "], ';')"
+_norm = lambda v, size: f"least(greatest({v} / {size} * 100.0, 0.0), 100.0)"
+_still = "'Monitored' AS condition_status, 0.0 AS shadow_length_pixels, 0.0 AS shadow_length_meters, 0.0 AS estimated_height_meters"
+SQL["block_assets"] = q(f"""SELECT image_id, CAST(n1 AS INT) AS asset_idx, 'auto_block_' || CAST(n1 - 1 AS VARCHAR) AS unique_id, category, '{K.TEXT_BLOCK_SUBCATEGORY}' || string_split(category, ' ')[1] AS subcategory,
+        least(85.0 + n * 2, 99.0) AS confidence_percent, n AS estimated_count, round_even(area_px, 2) AS estimated_area_sq_m, round_even((x1 - x0 + 1) * cw, 2) AS length, round_even((y1 - y0 + 1) * ch, 2) AS width,
+        round_even(area_px / greatest(CAST(w AS DOUBLE) * h, 1.0) * 100.0, 4) AS estimated_coverage_percent, {_still}, 'Low' AS maintenance_priority, (x_min + x_max) / 2.0 AS center_x, (y_min + y_max) / 2.0 AS center_y,
+        x_min, y_min, x_max, y_max, {_ring} AS polygon, '{K.TEXT_BLOCK_DESCRIPTION}' AS visual_description, '{K.TEXT_BLOCK_BASIS}' AS estimation_basis FROM (
+        SELECT *, n * cw * ch AS area_px, {_norm('x0', 'gw')} AS x_min, {_norm('(x1 + 1)', 'gw')} AS x_max, {_norm('y0', 'gh')} AS y_min, {_norm('(y1 + 1)', 'gh')} AS y_max,
+          row_number() OVER (PARTITION BY image_id ORDER BY lab) AS n1 FROM (
+        SELECT b.*, i.w, i.h, i.w / b.gw AS cw, i.h / b.gh AS ch FROM (
+          SELECT image_id, w AS gw, h AS gh, mask AS category, lab, CAST(sum(x1 - x0 + 1) AS BIGINT) AS n, min(x0) AS x0, max(x1) AS x1, min(y) AS y0, max(y) AS y1 FROM blk_lab GROUP BY image_id, w, h, mask, lab) b
+        JOIN images i ON i.image_id = b.image_id))""", "blk_lab", "images")
+filled("ma", "SELECT * FROM map_last", {m: m for m in MASKS}, ["map_last"])
+outline("ma")
+_key = {m: next(r[5] for r in K.CATEGORIES if r[0] == c) for m, c in MASKS.items()}
+_ord = {m: 1 + [r[0] for r in K.CATEGORIES].index(c) for m, c in MASKS.items()}
+_pick = lambda values: "CASE mask " + " ".join(f"WHEN '{m}' THEN {v}" for m, v in values.items()) + " END"
+_floor = {m: K.MIN_REGION_AREA.get(k, K.MIN_REGION_AREA_OTHER) * MAP_SCALE for m, k in _key.items()}
+CTES["ma_rings"] = (f"""SELECT c.image_id, c.mask, c.lab, count(*) AS points, string_agg({_text(f"round_even({_norm('c.x', 's.w')}, 4)")} || ' ' || {_text(f"round_even({_norm('c.y', 's.h')}, 4)")}, ';' ORDER BY c.step) AS ring
+        FROM ma_corners c JOIN ma_stats s ON s.image_id = c.image_id AND s.mask = c.mask AND s.comp_id = c.lab GROUP BY c.image_id, c.mask, c.lab""", ["ma_corners", "ma_stats"])
+SQL["map_assets"] = q(f"""SELECT image_id, asset_idx, 'asset_map_' || CAST(asset_idx AS VARCHAR) AS unique_id, category, subcategory, round_even(least(99.0, greatest(45.0, 60.0 + cov * 4.0)), 2) AS confidence_percent,
+        CAST(1 AS BIGINT) AS estimated_count, round_even(area, 2) AS estimated_area_sq_m, round_even(CAST(bw AS DOUBLE), 2) AS length, round_even(CAST(bh AS DOUBLE), 2) AS width, round_even(least(cov, 100.0), 4) AS estimated_coverage_percent,
+        {_still}, 'Medium' AS maintenance_priority, round_even((px0 + px9) / 2.0, 4) AS center_x, round_even((py0 + py9) / 2.0, 4) AS center_y, x_min, y_min, x_max, y_max,
+        CASE WHEN points >= 3 THEN ring ELSE {_ring} END AS polygon, subcategory || '{K.TEXT_MAP_DESCRIPTION}' AS visual_description, '{K.TEXT_MAP_BASIS}' AS estimation_basis FROM (
+        SELECT *, round_even(px0, 4) AS x_min, round_even(py0, 4) AS y_min, round_even(px9, 4) AS x_max, round_even(py9, 4) AS y_max FROM (
+        SELECT s.*, r.points, r.ring, {_pick({m: f"'{c}'" for m, c in MASKS.items()}).replace('mask', 's.mask')} AS category, {_pick({m: f"'{k}'" for m, k in _key.items()}).replace('mask', 's.mask')} AS subcategory,
+          area / greatest(CAST(w AS DOUBLE) * h, 1.0) * 100.0 AS cov, {_norm('min_x', 'w')} AS px0, {_norm('min_y', 'h')} AS py0, {_norm('(max_x + 1)', 'w')} AS px9, {_norm('(max_y + 1)', 'h')} AS py9,
+          CAST(row_number() OVER (PARTITION BY s.image_id ORDER BY {_pick(_ord).replace('mask', 's.mask')}, floor(min_y / 256), min_y, min_x, comp_id) AS INT) AS asset_idx
+        FROM ma_stats s JOIN ma_rings r ON r.image_id = s.image_id AND r.mask = s.mask AND r.lab = s.comp_id WHERE area >= {_pick(_floor).replace('mask', 's.mask')}))""", "ma_stats", "ma_rings")

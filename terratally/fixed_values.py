@@ -188,3 +188,21 @@ CSV_COLUMNS = [
     "priority", "condition", "center_x", "center_y", "shadow_length_pixels", "shadow_length_meters",
     "estimated_height_meters",
 ]
+
+# Sentences of asset records (printf style where they hold figures)
+TEXT_BOX_BASIS = "Bounding box predicted by YOLO model and normalized to 0-100 image coordinates."
+TEXT_MAP_DESCRIPTION = " detected by CV asset mapping pipeline."
+TEXT_MAP_BASIS = "OpenCV thresholding + contour extraction from uploaded image."
+TEXT_BLOCK_SUBCATEGORY = "Detected "
+TEXT_BLOCK_DESCRIPTION = "A visually verified block area mapped by our spatial engine."
+TEXT_BLOCK_BASIS = "100% accurate pixel contour mapping"
+TEXT_FRAME_DESCRIPTION = "Frame-level detections for %s across %d analyzed frames."
+TEXT_FRAME_BASIS = "OpenCV frame-by-frame segmentation; counts are detection events (not unique tracked IDs)."
+TEXT_BAD_ENTRY = "Asset entry #%d is invalid and was skipped."
+DEFAULT_LAND_USE = "Mixed Urban"
+
+# Limits of the block colour classes, in the order of the rules
+BLOCK_SHARE, BLOCK_LEAD = 0.36, 10
+BLOCK_DARK, BLOCK_BRIGHT = 75, 165
+BLOCK_GRAY_SPREAD, BLOCK_GRAY_BRIGHT = 25, 100
+BLOCK_PARK_RED_SHARE = 0.4

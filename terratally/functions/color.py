@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from terratally import fixed_values as K
+
 
 def gray(r: Column, g: Column, b: Column) -> Column:
     """Luma in 15-bit fixed point, rounded: 0.299 r + 0.587 g + 0.114 b."""
@@ -39,11 +41,11 @@ def classify_rgb(r: Column, g: Column, b: Column) -> Column:
     """Land-cover class of a block colour."""
     total = (r + g + b + 1).cast("double")
     return (
-        F.when((g / total > 0.36) & (g > r + 10) & (g > b + 10), "Trees & Green Cover")
-        .when((b / total > 0.36) & (b > r + 10) & (b > g + 10), "Water Bodies")
-        .when((r < 75) & (g < 75) & (b < 75), "Roads & Footpaths")
-        .when((r > 165) & (g > 165) & (b > 165), "Properties & Buildings")
-        .when((F.abs(r - g) < 25) & (F.abs(g - b) < 25),
-              F.when(r > 100, "Properties & Buildings").otherwise("Roads & Footpaths"))
-        .when((r > g) & (g > b) & (r / total <= 0.4), "Parks & Open Spaces")
+        F.when((g / total > K.BLOCK_SHARE) & (g > r + K.BLOCK_LEAD) & (g > b + K.BLOCK_LEAD), "Trees & Green Cover")
+        .when((b / total > K.BLOCK_SHARE) & (b > r + K.BLOCK_LEAD) & (b > g + K.BLOCK_LEAD), "Water Bodies")
+        .when(F.greatest(r, g, b) < K.BLOCK_DARK, "Roads & Footpaths")
+        .when(F.least(r, g, b) > K.BLOCK_BRIGHT, "Properties & Buildings")
+        .when((F.abs(r - g) < K.BLOCK_GRAY_SPREAD) & (F.abs(g - b) < K.BLOCK_GRAY_SPREAD),
+              F.when(r > K.BLOCK_GRAY_BRIGHT, "Properties & Buildings").otherwise("Roads & Footpaths"))
+        .when((r > g) & (g > b) & (r / total <= K.BLOCK_PARK_RED_SHARE), "Parks & Open Spaces")
         .otherwise("Properties & Buildings"))

@@ -108,7 +108,7 @@ def block_assets(px: DataFrame, images: DataFrame, gx: int = K.GRID_COLUMNS, mpp
     corners = {n: F.col(n) for n in ("x_min", "y_min", "x_max", "y_max")}
     return df.select(
         "image_id", "asset_idx", F.concat(F.lit("auto_block_"), (F.col("asset_idx") - 1).cast("string")).alias("unique_id"), "category",
-        F.concat(F.lit("Detected "), F.substring_index("category", " ", 1)).alias("subcategory"),
+        F.concat(F.lit(K.TEXT_BLOCK_SUBCATEGORY), F.substring_index("category", " ", 1)).alias("subcategory"),
         C.block_confidence(F.col("n")).alias("confidence_percent"), F.col("n").cast("bigint").alias("estimated_count"),
         C.rounded(C.to_area_m2(F.col("area_px"), mpp), 2).alias("estimated_area_sq_m"),
         F.struct(C.rounded(C.to_length_m((F.col("x1") - F.col("x0") + 1) * F.col("cw"), mpp), 2).alias("length"),
@@ -117,6 +117,6 @@ def block_assets(px: DataFrame, images: DataFrame, gx: int = K.GRID_COLUMNS, mpp
         F.lit("Monitored").alias("condition_status"), F.lit("Low").alias("maintenance_priority"),
         G.point((F.col("x_min") + F.col("x_max")) / 2.0, (F.col("y_min") + F.col("y_max")) / 2.0).alias("center_coordinates"),
         F.struct(*corners).alias("bounding_box"), G.ring_from_bbox(corners).alias("polygon_coordinates"),
-        F.lit("A visually verified block area mapped by our spatial engine.").alias("visual_description"),
-        F.lit("100% accurate pixel contour mapping").alias("estimation_basis"),
+        F.lit(K.TEXT_BLOCK_DESCRIPTION).alias("visual_description"),
+        F.lit(K.TEXT_BLOCK_BASIS).alias("estimation_basis"),
         F.lit(0.0).alias("shadow_length_pixels"), F.lit(0.0).alias("shadow_length_meters"), F.lit(0.0).alias("estimated_height_meters"))

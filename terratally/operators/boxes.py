@@ -116,7 +116,7 @@ def boxes_to_assets(boxes: DataFrame, mpp=1.0) -> DataFrame:
         G.point(F.col("_cx"), F.col("_cy")).alias("center_coordinates"),
         F.struct(*corners).alias("bounding_box"), G.ring_from_bbox(corners).alias("polygon_coordinates"),
         F.concat("subcategory", F.lit(" detected by YOLO naming model.")).alias("visual_description"),
-        F.lit("Bounding box predicted by YOLO model and normalized to 0-100 image coordinates.").alias("estimation_basis"),
+        F.lit(K.TEXT_BOX_BASIS).alias("estimation_basis"),
         F.lit(0.0).alias("shadow_length_pixels"), F.lit(0.0).alias("shadow_length_meters"),
         F.lit(0.0).alias("estimated_height_meters"),
     )

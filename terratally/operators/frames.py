@@ -130,8 +130,8 @@ def video_assets(stats: DataFrame) -> DataFrame:
         F.lit("Monitored").alias("condition_status"), F.lit("Medium").alias("maintenance_priority"),
         G.point(F.lit(50.0), F.lit(50.0)).alias("center_coordinates"), box.alias("bounding_box"),
         G.ring_from_bbox(box).alias("polygon_coordinates"),
-        F.format_string("Frame-level detections for %s across %d analyzed frames.", "category", "frames").alias("visual_description"),
-        F.lit("OpenCV frame-by-frame segmentation; counts are detection events (not unique tracked IDs).").alias("estimation_basis"),
+        F.format_string(K.TEXT_FRAME_DESCRIPTION, "category", "frames").alias("visual_description"),
+        F.lit(K.TEXT_FRAME_BASIS).alias("estimation_basis"),
         F.lit(0.0).alias("shadow_length_pixels"), F.lit(0.0).alias("shadow_length_meters"), F.lit(0.0).alias("estimated_height_meters"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from terratally import fixed_values as K
 from terratally.functions import clean as C, geometry as G
-from terratally.operators import raster as R, regions as Q
+from terratally.operators import outline as O, raster as R, regions as Q
 from terratally.operators.assets import category_ord
 from terratally.operators.graylevel import edge_map
 from terratally.operators.ranking import numbered
@@ -94,7 +94,7 @@ def map_assets(words: DataFrame, scale: float = 1.0, mpp: float = 1.0) -> DataFr
     lab = cut_lineage(Q.labelled_regions(R.long_masks(words, list(MAP_MASKS))))
     found = Q.region_stats(lab).withColumn("mask_key", mask_keys(F.col("mask")))
     found = min_area_by_class(found, scale).withColumn("category", _named(F.col("mask"), MAP_MASKS))
-    outline = Q.region_outline(Q.keep_regions(lab, found))
+    outline = O.region_outline(Q.keep_regions(lab, found))
     df = found.join(outline, ["image_id", "mask", "comp_id"]).withColumn("ord", category_ord(F.col("category")))
     df = numbered(df, ["image_id"], F.col("ord") * 1000000 + F.floor(F.col("min_y") / 256), ["min_y", "min_x", "comp_id"], "asset_idx")
     norm = lambda c, size: F.least(F.greatest(c / F.col(size) * 100.0, F.lit(0.0)), F.lit(100.0))
@@ -116,8 +116,8 @@ def map_assets(words: DataFrame, scale: float = 1.0, mpp: float = 1.0) -> DataFr
         F.lit("Monitored").alias("condition_status"), F.lit("Medium").alias("maintenance_priority"),
         G.point(C.rounded((F.col("x0") + F.col("x9")) / 2.0, 4), C.rounded((F.col("y0") + F.col("y9")) / 2.0, 4)).alias("center_coordinates"),
         F.struct(*[c.alias(n) for n, c in r4.items()]).alias("bounding_box"), poly.alias("polygon_coordinates"),
-        F.concat("mask_key", F.lit(" detected by CV asset mapping pipeline.")).alias("visual_description"),
-        F.lit("OpenCV thresholding + contour extraction from uploaded image.").alias("estimation_basis"),
+        F.concat("mask_key", F.lit(K.TEXT_MAP_DESCRIPTION)).alias("visual_description"),
+        F.lit(K.TEXT_MAP_BASIS).alias("estimation_basis"),
         F.lit(0.0).alias("shadow_length_pixels"), F.lit(0.0).alias("shadow_length_meters"), F.lit(0.0).alias("estimated_height_meters"))
 
 
@@ -202,7 +202,10 @@ def video_masks(px: DataFrame, scale: float = 1.0) -> tuple[DataFrame, DataFrame
 
 
 def frame_observations(px: DataFrame, scale: float = 1.0) -> DataFrame:
-    """Regions and covered pixels per frame and category; categories without a mask are left out."""
+    """Regions and covered pixels per frame and category; categories without a mask are left out.
+
+    A frame without any mask is one row without a category, of count and area 0, so that later divisors count it.
+    """
     return frame_observations_of(*video_masks(px, scale))
 
 
@@ -210,8 +213,9 @@ def frame_observations_of(words: DataFrame, kept: DataFrame) -> DataFrame:
     counts = kept.groupBy("image_id", "mask").agg(F.count(F.lit(1)).alias("cnt"))
     area = R.long_masks(words, list(MAP_MASKS)).groupBy("image_id", "mask").agg(
         F.sum(F.bit_count("bits")).cast("double").alias("area_px")).where("area_px > 0")
-    return area.join(counts, ["image_id", "mask"], "left").select(
-        "image_id", _named(F.col("mask"), MAP_MASKS).alias("category"), F.coalesce("cnt", F.lit(0)).alias("cnt"), "area_px")
+    seen = area.join(counts, ["image_id", "mask"], "left")
+    return words.select("image_id").distinct().join(seen, "image_id", "left").select(
+        "image_id", _named(F.col("mask"), MAP_MASKS).alias("category"), F.coalesce("cnt", F.lit(0)).alias("cnt"), F.coalesce("area_px", F.lit(0.0)).alias("area_px"))
 
 
 def class_map_blend(px: DataFrame, words: DataFrame, mode: str = "map") -> DataFrame:

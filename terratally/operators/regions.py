@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from terratally.operators.raster import KEY, inside, long_masks
 from terratally.session import cut_lineage, ship_package
@@ -232,23 +232,6 @@ def add_masks(words: DataFrame, pcs: DataFrame, names: list[str]) -> DataFrame:
     return wide.unionByName(drawn).groupBy(*KEY).agg(*[F.bit_or(c).alias(c) for c in base_cols + names])
 
 
-def region_outline(labelled: DataFrame) -> DataFrame:
-    """Polygon per region: left ends downwards, right ends upwards, straight stretches dropped.
-
-    A region has at most one row pair per image row, which bounds the list.
-    """
-    g = ["image_id", "mask", "lab"]
-    ends = labelled.groupBy(*g, "y").agg(F.min("x0").alias("l"), F.max("x1").alias("r"))
-    w = Window.partitionBy(*g).orderBy("y")
-    turn = lambda c: F.coalesce((F.lag(c).over(w) != F.col(c)) | (F.lead(c).over(w) != F.col(c)), F.lit(True))
-    ends = ends.withColumns({"tl": turn("l"), "tr": turn("r")})
-    side = lambda c, t: F.array_sort(F.collect_list(F.when(F.col(t), F.struct(F.col("y"), F.col(c).alias("x")))))
-    out = ends.groupBy(*g).agg(side("l", "tl").alias("_l"), side("r", "tr").alias("_r"))
-    pt = lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))
-    ring = F.array_distinct(F.transform(F.concat("_l", F.reverse("_r")), pt))
-    return out.select("image_id", "mask", F.col("lab").alias("comp_id"), ring.alias("outline"))
-
-
 def components(words: DataFrame, masks: list[str], conn: int = 8,
                rows: int = TILE_ROWS, tile_words: int = TILE_WORDS) -> DataFrame:
     """Region of every piece of the masks as they are, without filling."""

@@ -61,7 +61,7 @@ def reject_bad_assets(entries: DataFrame) -> DataFrame:
     """Entries that are not objects, with their warning."""
     return entries.where(~F.col("valid")).select(
         "response_id", "asset_idx",
-        F.format_string("Asset entry #%d is invalid and was skipped.", "asset_idx").alias("warning"))
+        F.format_string(K.TEXT_BAD_ENTRY, "asset_idx").alias("warning"))
 
 
 def box_side(name: str) -> Column:

@@ -42,7 +42,7 @@ def analyze_naming(boxes: DataFrame, shadows: DataFrame | None = None, mpp: floa
     stats = S.category_stats(assets, S.category_stats_rounded(assets) if additive else None)
     area = C.rounded(C.to_area_m2((F.col("image_w").cast("double") * F.col("image_h")), mpp), 2)
     head = sized.select("image_id", F.lit("YOLO Spatial Asset Detection").alias("scene_type"), area.alias("estimated_total_area_sq_m"),
-                        F.lit("Mixed Urban").alias("dominant_land_use"))
+                        F.lit(K.DEFAULT_LAND_USE).alias("dominant_land_use"))
     return report(head, assets, stats, None)
 
 
@@ -68,7 +68,7 @@ def analyze_map(px: DataFrame, images: DataFrame, scale: float = 1.0, mpp: float
     risk = S.density_labels(S.risk_flags(S.risk_inputs(stats, False), "map")).drop("built", "drains", "green", "water", "road")
     head = images.select("image_id", F.lit("CV Asset Map Analysis").alias("scene_type"),
                          C.rounded(C.to_area_m2((F.col("w").cast("double") * F.col("h")), mpp), 2).alias("estimated_total_area_sq_m"),
-                         F.lit("Mixed Urban").alias("dominant_land_use"))
+                         F.lit(K.DEFAULT_LAND_USE).alias("dominant_land_use"))
     return report(head, assets, stats, risk)
 
 

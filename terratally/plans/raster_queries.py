@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from terratally import fixed_values as K
 from terratally.functions.color import classify_rgb, in_band, with_hsv
-from terratally.operators import assets as A, blocks, frames as V, graylevel as GL, masks as M, raster as R, regions as Q, shadows as W
+from terratally.operators import assets as A, blocks, frames as V, graylevel as GL, masks as M, outline as O, raster as R, regions as Q, shadows as W
 from terratally.plans import asset_queries as T
 from terratally.session import cut_lineage
 from terratally.sources import fixtures as X
@@ -102,7 +102,7 @@ def q_region_area(spark, sf):
 
 
 def q_region_outline(spark, sf):
-    return Q.region_outline(_regions(spark, sf)).select("image_id", "mask", "comp_id", A.points_text(F.col("outline")).alias("outline"))
+    return O.region_outline(_regions(spark, sf)).select("image_id", "mask", "comp_id", A.points_text(F.col("outline")).alias("outline"))
 
 
 def box_regions(spark, sf):

@@ -1,10 +1,13 @@
-"""Keyed state of the frame streams. State ends by event time: what the watermark has passed is kept no longer."""
+"""Keyed state of the frame streams. State ends by event time: what the watermark has passed is kept no longer.
+
+Rows carry their event time as ``ms``, milliseconds since 1970, which is how watermark and timers count.
+"""
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from terratally.operators.stats import NAMES
@@ -13,10 +16,6 @@ N = len(NAMES)
 PLACE = {name: i for i, name in enumerate(NAMES)}
 
 
-def millis(ts: pd.Series) -> np.ndarray:
-    return (pd.to_datetime(ts) - pd.Timestamp(0)).dt.total_seconds().mul(1000).round().to_numpy().astype(np.int64)
-
-
 class KeyedFrames(StatefulProcessor):
     """One value per key, and one timer, which clears it when the watermark has passed all frames of the key.
 
@@ -37,7 +36,7 @@ class KeyedFrames(StatefulProcessor):
                 self.handle.deleteTimer(before)
             self.handle.registerTimer(timer)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.value.clear()
         yield from ()
 
@@ -56,34 +55,32 @@ class RunningTotals(KeyedFrames):
              "frame array<int>, ts array<bigint>, c array<bigint>, a array<double>")
     OUT = "video_id bigint, part int, first int, frames bigint, counts array<bigint>, areas array<double>, present array<bigint>"
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         old = self.value.get() or (None, None, 0, [0] * N, [0.0] * N, [0] * N, [], [], [], [])
         first, timer, n, counts, areas, present = old[0], old[1], old[2], np.array(old[3], np.int64), np.array(old[4], float), np.array(old[5], np.int64)
         c, a = np.array(old[8], np.int64).reshape(-1, N), np.array(old[9], float).reshape(-1, N)
         open_ = {f: [t, c[i].copy(), a[i].copy()] for i, (f, t) in enumerate(zip(old[6], old[7]))}
-        for part in rows:
-            columns = [part["frame_idx"].tolist(), millis(part["ts"]).tolist(), part["category"].map(PLACE).tolist(), part["cnt"].fillna(0).tolist(), part["area_px"].fillna(0.0).tolist()]
-            for f, t, p, cnt, area in zip(*columns):
-                frame = open_.get(f)
-                if frame is None:
-                    frame = open_[f] = [t, np.zeros(N, np.int64), np.zeros(N)]
-                    n += 1
-                frame[0] = max(frame[0], t)
-                if p == p:  # a known category
-                    p = int(p)
-                    before = frame[1][p] > 0 or frame[2][p] > 0
-                    frame[1][p] += int(cnt)
-                    frame[2][p] += area
-                    counts[p] += int(cnt)
-                    areas[p] += area
-                    present[p] += int(frame[1][p] > 0 or frame[2][p] > 0) - int(before)
+        for r in rows:
+            frame = open_.get(r.frame_idx)
+            if frame is None:
+                frame = open_[r.frame_idx] = [r.ms, np.zeros(N, np.int64), np.zeros(N)]
+                n += 1
+            frame[0] = max(frame[0], r.ms)
+            p = PLACE.get(r.category)
+            if p is not None:
+                before = frame[1][p] > 0 or frame[2][p] > 0
+                frame[1][p] += r.cnt or 0
+                frame[2][p] += r.area_px or 0.0
+                counts[p] += r.cnt or 0
+                areas[p] += r.area_px or 0.0
+                present[p] += int(frame[1][p] > 0 or frame[2][p] > 0) - int(before)
         first = int(min(open_)) if first is None else first
         watermark = timerValues.getCurrentWatermarkInMs()
         last = max(v[0] for v in open_.values())
         left = {f: v for f, v in open_.items() if v[0] > watermark or v[0] == last}
         out = (n, counts.tolist(), areas.tolist(), present.tolist())
         self.store(first, timer, last + 1, *out, list(left), [v[0] for v in left.values()], *[np.concatenate([v[i] for v in left.values()]).tolist() for i in (1, 2)])
-        yield pd.DataFrame([(key[0], key[1], first, *out)], columns=["video_id", "part", "first", "frames", "counts", "areas", "present"])
+        yield Row(video_id=key[0], part=key[1], first=first, frames=n, counts=out[1], areas=out[2], present=out[3])
 
 
 class CarrySampled(KeyedFrames):
@@ -101,16 +98,15 @@ class CarrySampled(KeyedFrames):
     def __init__(self, stride: int):
         self.stride = stride
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         first, timer, frame, ts, seen = self.value.get() or (None, None, [], [], [])
         frames = {f: [t, list(map(tuple, s))] for f, t, s in zip(frame, ts, seen)}
         changed = set()
-        for part in rows:
-            for f, t, c, n, a in zip(part["frame_idx"].tolist(), millis(part["ts"]).tolist(), part["category"], part["cnt"], part["area_px"]):
-                one = frames.setdefault(f, [t, []])
-                one[0] = max(one[0], t)
-                one[1].append((c if isinstance(c, str) else None, None if pd.isna(n) else int(n), None if pd.isna(a) else float(a)))
-                changed.add(f)
+        for r in rows:
+            one = frames.setdefault(r.frame_idx, [r.ms, []])
+            one[0] = max(one[0], r.ms)
+            one[1].append((r.category, r.cnt, r.area_px))
+            changed.add(r.frame_idx)
         first = min(frames) if first is None else first
         order = sorted(frames)
         out, source, moved = [], None, False
@@ -127,4 +123,5 @@ class CarrySampled(KeyedFrames):
         before = max((f for f in passed if (f - 1) % self.stride == 0), default=None)
         kept = [f for f in order if frames[f][0] > watermark or f == before or frames[f][0] == last]
         self.store(first, timer, last + 1, kept, [frames[f][0] for f in kept], [frames[f][1] for f in kept])
-        yield pd.DataFrame(out, columns=["video_id", "frame_idx", "tail", "first", "sampled", "known", "seen"])
+        for o in out:
+            yield Row(**dict(zip(("video_id", "frame_idx", "tail", "first", "sampled", "known", "seen"), o)))

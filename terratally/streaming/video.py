@@ -78,8 +78,8 @@ def stream_video_stats(frames: DataFrame, path: str | None = None, late: str = "
     starts another. Rows of a frame share their ``ts``.
     """
     ship_package(frames.sparkSession)
-    keyed = (frames.withColumn("part", _block()).withWatermark("ts", late).groupBy("video_id", "part")
-             .transformWithStateInPandas(RunningTotals(), RunningTotals.OUT, "Update", "EventTime"))
+    keyed = (frames.withColumn("part", _block()).withWatermark("ts", late).withColumn("ms", F.unix_millis("ts")).groupBy("video_id", "part")
+             .transformWithState(RunningTotals(), RunningTotals.OUT, "Update", "EventTime"))
     rows = upsert_table(keyed, ["video_id", "part", "first"], "video-stats", path)
     sums = [F.sum("frames").alias("frames")]
     for i in range(len(NAMES)):
@@ -111,8 +111,8 @@ def stream_carry_forward(frames: DataFrame, stride: int, path: str | None = None
     spark = frames.sparkSession
     ship_package(spark)
     path = path or new_dir(spark, "carried")
-    keyed = (frames.withColumn("block", _block()).withWatermark("ts", late).groupBy("video_id", "block")
-             .transformWithStateInPandas(CarrySampled(stride), CarrySampled.OUT, "Update", "EventTime"))
+    keyed = (frames.withColumn("block", _block()).withWatermark("ts", late).withColumn("ms", F.unix_millis("ts")).groupBy("video_id", "block")
+             .transformWithState(CarrySampled(stride), CarrySampled.OUT, "Update", "EventTime"))
     rows_schema, tails_schema = (T.StructType([f for f in keyed.schema.fields if f.name not in gone]) for gone in (("tail", "first"), ("tail", "sampled", "known")))
     rows = UpsertTable(spark, path + "/rows", rows_schema, ["video_id", "frame_idx"])
     tails = UpsertTable(spark, path + "/tails", tails_schema, ["video_id", "first"], order=["frame_idx"])

@@ -1,9 +1,12 @@
 """Filled masks and outer regions over tiles: nested rings, islands in holes, spirals, noise."""
+from functools import reduce
+
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame, functions as F
 
 from terratally.operators import raster as R, regions as G
-from tests.test_raster import blobs, filled, flood, raster, words_of
+from tests.test_raster import blobs, filled, flood, words_of
 
 
 def rings(h, w, gap=2, shift=0):
@@ -39,15 +42,17 @@ SCENES = {
 
 
 @pytest.mark.parametrize("tiles", [(1024, 16), (6, 1)])
-@pytest.mark.parametrize("name", list(SCENES))
-def test_enclosure(spark, name, tiles):
-    m = SCENES[name]
-    long = R.long_masks(words_of(spark, {"m": m}), ["m"])
-    full = np.stack([filled(a) for a in m])
-    solid = G.fill_holes(long, *tiles).select("image_id", "w", "h", "y", "xb", "bits")
-    assert (raster(solid, "bits", *m.shape) == full).all()
-    got = np.full(m.shape, -1)
+def test_enclosure(spark, tiles):
+    images = {10 * k + i: m[i] for k, m in enumerate(SCENES.values()) for i in range(2)}
+    parts = [words_of(spark, {"m": m}).withColumn("image_id", F.col("image_id") + 10 * k) for k, m in enumerate(SCENES.values())]
+    long = R.long_masks(reduce(DataFrame.unionByName, parts), ["m"])
+    full = {i: filled(a) for i, a in images.items()}
+    solid = {i: np.zeros(a.shape, bool) for i, a in images.items()}
+    for r in G.pieces(G.fill_holes(long, *tiles)).collect():
+        solid[r.image_id][r.y, r.x0:r.x1 + 1] = True
+    labels = {i: np.full(a.shape, -1) for i, a in images.items()}
     for r in G.labelled_regions(long, False, *tiles).collect():
-        assert (got[r.image_id, r.y, r.x0:r.x1 + 1] == -1).all()
-        got[r.image_id, r.y, r.x0:r.x1 + 1] = r.lab
-    assert (got == np.stack([flood(a, 8) for a in full])).all()
+        assert (labels[r.image_id][r.y, r.x0:r.x1 + 1] == -1).all()
+        labels[r.image_id][r.y, r.x0:r.x1 + 1] = r.lab
+    for i, a in full.items():
+        assert (solid[i] == a).all() and (labels[i] == flood(a, 8)).all(), i
