@@ -59,6 +59,13 @@ SQL = {
         coalesce(parks, 0.0) AS open_space_percent, total AS total_assets_detected FROM docs d JOIN rcov r ON r.image_id = d.response_id""", "docs", "rcov"),
     "nested_payload": q("""SELECT image_id, CAST(0 AS INT) AS part, count(*) AS rows, CAST(count(*) AS INT) AS in_document, arg_min(unique_id, asset_idx) AS first_id, CAST(sum(estimated_count) AS BIGINT) AS total
         FROM assets GROUP BY image_id""", "assets"),
+    "result_document": q("""SELECT s.image_id, CAST(0 AS INT) AS part, a.n AS rows, CAST(s.total_assets_detected AS BIGINT) AS total, round(s.green_cover_percent, 6) AS green, c.pie, c.area, a.n AS prioritised, r.f AS flood_risk,
+        CAST(a.n AS INT) AS polygons, CAST(a.n AS INT) AS markers, CAST(a.n AS INT) AS points, 28.6139 AS lat, a.first_row AS first_marker, a.first_row,
+        'Detected ' || CAST(CAST(s.total_assets_detected AS BIGINT) AS VARCHAR) || ' assets across ' || CAST(c.classes AS VARCHAR) || ' classes.' AS governance, r.f AS flood_again
+        FROM summary s JOIN (SELECT image_id, count(*) AS n, arg_min(unique_id, asset_idx) AS first_row FROM assets GROUP BY image_id) a ON a.image_id = s.image_id
+        JOIN (SELECT image_id, string_agg(h.category || ':' || CAST("count" AS VARCHAR) || h.color, '|' ORDER BY d.ord) AS pie, round(sum(area_sq_m), 4) AS area, count(*) AS classes
+          FROM chart h JOIN dim d ON d.category = h.category GROUP BY image_id) c ON c.image_id = s.image_id
+        JOIN (SELECT image_id, CASE WHEN water >= 5 THEN 'Moderate' ELSE 'Low' END AS f FROM risk_in) r ON r.image_id = s.image_id""", "summary", "assets", "chart", "dim", "risk_in"),
     "read_frames": q("SELECT video_id, frame_idx, ts, category, cnt, round(area_px, 6) AS area_px FROM frames", "frames"),
     "sample_frames": q("""SELECT video_id, frame_idx, k AS stride, category, cnt FROM (SELECT *, CAST(greatest(2, floor(max(frame_idx) OVER (PARTITION BY video_id) / 20.0)) AS INT) AS k FROM frames) WHERE (frame_idx - 1) % k = 0""", "frames"),
     "carry_forward": q("""SELECT a.video_id, a.frame_idx, a.frame_idx = b.frame_idx AS sampled, b.category, b.cnt, round(b.area_px, 6) AS area_px

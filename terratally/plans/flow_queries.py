@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terratally.operators import assets as A, frames as V, responses as P, stats as S
-from terratally.plans import asset_queries as T, modes, raster_queries as RQ
+from terratally.plans import asset_queries as T, document, modes, raster_queries as RQ
 from terratally.session import new_dir
 from terratally.sources import fixtures as X, ingest
 from terratally.streaming import video as ST
@@ -66,6 +66,29 @@ def q_nested_payload(spark, sf):
                     F.variant_get("v", "$.analytics_cards.total_assets_detected", "bigint").alias("total"))
 
 
+def q_result_document(spark, sf):
+    """Documents of the cleaned records, with map risks; figures are read back from the JSON."""
+    assets = T.fixed_assets(spark, sf)
+    stats = S.category_stats(assets)
+    risk = S.risk_flags(S.risk_inputs(stats, False), "map").drop("built", "drains", "green", "water", "road")
+    report = S.urban_density(S.image_summary(stats)).join(risk, "image_id").withColumns({
+        "overall_detection_confidence_percent": F.lit(50.0), "estimated_total_area_sq_m": F.lit(100.0), "ai_insights": F.array(F.lit("one"), F.lit("two"))})
+    doc = F.parse_json("payload")
+    get = lambda p, t: F.variant_get(doc, p, t)
+    size = lambda p: F.size(get(p, "array<variant>"))
+    pie = get("$.chart_data.pie_chart_data", "array<struct<name: string, value: bigint, color: string>>")
+    area = get("$.chart_data.area_distribution_data", "array<struct<name: string, area_sq_m: double>>")
+    return document.result_document(report, assets, stats).select(
+        "image_id", "part", "rows", get("$.analytics_cards.total_assets_detected", "bigint").alias("total"), F.round(get("$.analytics_cards.green_cover_percent", "double"), 6).alias("green"),
+        F.array_join(F.transform(pie, lambda p: F.concat(p["name"], F.lit(":"), p["value"].cast("string"), p["color"])), "|").alias("pie"),
+        F.round(F.aggregate(area, F.lit(0.0), lambda s, p: s + p["area_sq_m"]), 4).alias("area"),
+        F.aggregate(F.map_values(get("$.asset_statistics.maintenance_priorities", "map<string, bigint>")), F.lit(0).cast("bigint"), lambda s, v: s + v).alias("prioritised"),
+        get("$.asset_statistics.risk_indicators.flood_risk", "string").alias("flood_risk"), size("$.gis_mapping.leaflet_polygons").alias("polygons"),
+        size("$.gis_mapping.leaflet_markers").alias("markers"), size("$.gis_mapping.heatmap_points").alias("points"), F.round(get("$.gis_mapping.map_center.lat", "double"), 4).alias("lat"),
+        get("$.gis_mapping.leaflet_markers[0].id", "string").alias("first_marker"), get("$.asset_table_rows[0].id", "string").alias("first_row"),
+        get("$.dashboard_insights.governance_insights[0]", "string").alias("governance"), get("$.dashboard_insights.environmental_risks[1]", "string").alias("flood_again"))
+
+
 # ---- frames
 
 def q_read_frames(spark, sf):
