@@ -45,13 +45,13 @@ def micro(x: str) -> str:
 CTES: dict[str, tuple[str, list[str]]] = {
     "dim": (f"SELECT * FROM (VALUES {NINE}) AS t(ord, category, layer_id, color)", []),
     "boxes0": (X.sql_text(X.BOXES), []),
-    "boxes": ("""SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS box_idx,
+    "boxes": ("""SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY l_linenumber, l_partkey, l_suppkey, x2, y2, conf) AS INT) AS box_idx,
         cls_id, conf, x1, y1, x2, y2, image_w, image_h FROM boxes0""", ["boxes0"]),
     "named": ("""SELECT *, CASE cls_id WHEN 0 THEN 'buildings' WHEN 1 THEN 'trees' WHEN 2 THEN 'parks_open_spaces' WHEN 3 THEN 'water'
         ELSE 'class_' || CAST(cls_id AS VARCHAR) END AS class_name FROM boxes""", ["boxes"]),
     "good": ("SELECT * FROM named WHERE conf >= 0.25", ["named"]),
     "raw0": (X.sql_text(X.RAW_ASSETS), []),
-    "raw": ("""SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS asset_idx FROM raw0""", ["raw0"]),
+    "raw": ("""SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY l_linenumber, l_partkey, l_suppkey, bx1, by1, estimated_area_sq_m, estimated_coverage_percent) AS INT) AS asset_idx FROM raw0""", ["raw0"]),
     "fixed": (f"""SELECT image_id, asset_idx,
         CASE WHEN unique_id IS NULL OR trim(unique_id) = '' THEN 'asset_' || CAST(asset_idx AS VARCHAR) ELSE trim(unique_id) END AS unique_id,
         {norm('category')} AS category,

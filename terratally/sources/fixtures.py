@@ -154,14 +154,14 @@ def relation(spark: SparkSession, sf_dir: str, template: str, tables: dict | Non
 
 def boxes(spark, sf_dir) -> DataFrame:
     df = relation(spark, sf_dir, BOXES)
-    df = numbered(df, ["image_id"], F.col("l_linenumber"), ["l_linenumber", "l_partkey", "l_suppkey"], "box_idx")
+    df = numbered(df, ["image_id"], F.col("l_linenumber"), ["l_linenumber", "l_partkey", "l_suppkey", "x2", "y2", "conf"], "box_idx")
     return df.drop("l_linenumber", "l_partkey", "l_suppkey")
 
 
 def raw_assets(spark, sf_dir) -> DataFrame:
     """Loosely typed asset records: texts for numbers, partial boxes, short polygons."""
     df = relation(spark, sf_dir, RAW_ASSETS)
-    df = numbered(df, ["image_id"], F.col("l_linenumber"), ["l_linenumber", "l_partkey", "l_suppkey"], "asset_idx")
+    df = numbered(df, ["image_id"], F.col("l_linenumber"), ["l_linenumber", "l_partkey", "l_suppkey", "bx1", "by1", "estimated_area_sq_m", "estimated_coverage_percent"], "asset_idx")
     pts = F.array(*[
         F.struct((F.col("px") + dx).cast("string").alias("x"), (F.col("py") + dy).cast("string").alias("y"))
         for dx, dy in ((0, 0), (9, 1), (7, 8), (-3, 6))
