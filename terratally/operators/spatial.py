@@ -1,15 +1,15 @@
 """Rectangle overlap joins.
 
-Rectangles meet on the cells of a few grids (32, 128, 512 and 2048 wide) instead of on
-their image alone, so an image that holds a large share of all rows is spread over
-its cells and only neighbours are ever compared. Larger rectangles cover several cells
-of the widest grid.
+Rectangles meet on the cells of grids (32, 128, 512, ... wide, up to more than 100 million)
+instead of on their image alone, so an image that holds a large share of all rows is spread
+over its cells and only neighbours are ever compared. A rectangle has a grid as wide as
+itself, so it covers at most four cells of it.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-BASE, STEP, LEVELS = 32.0, 4.0, 4
+BASE, STEP, LEVELS = 32.0, 4.0, 12
 
 
 def _level(extent: Column) -> Column:
