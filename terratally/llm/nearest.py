@@ -232,9 +232,10 @@ def nearest(vectors: DataFrame, queries, k: int = 10, sure: float = SURE) -> Dat
 
     many = per_cell([parts_for(r.n, PART) for r in cells])
     index = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), many))
-    # queries of one cell open much the same cells, so they form the groups
+    # queries of neighbouring cells open much the same cells: about GROUP of them form a group
+    first = np.cumsum([0] + [r.asked for r in cells])
     own = placed.where(queries).groupBy("vec_id").agg(F.min(F.struct("v", "p", "size", "cell")).alias("m")).select("vec_id", "m.*")
-    own = own.withColumn("grp", F.struct("cell", F.pmod(F.xxhash64("vec_id"), per_cell([parts_for(r.asked, GROUP) for r in cells])).alias("sub")))
+    own = own.withColumn("grp", F.struct(per_cell([int(x) // GROUP for x in first[:-1]]).alias("group"), F.pmod(F.xxhash64("vec_id"), per_cell([parts_for(r.asked, GROUP) for r in cells])).alias("sub")))
     keys = ["cell", "part", "size", "grp"]
 
     def visit(asking: DataFrame) -> DataFrame:
