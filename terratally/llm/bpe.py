@@ -182,6 +182,31 @@ def pieces(offsets: np.ndarray, limit: int = 1 << 19):
         first = to
 
 
+def told_apart(utf8: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seen: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``at`` with a place for each word that only shares another word's hash; ``seen`` then names that place.
+
+    Every occurrence is compared with the first word of its hash, byte by byte.
+    """
+    first = at[seen]
+    odd = lengths != lengths[first]
+    again = np.flatnonzero(~odd & (first != np.arange(len(seen))))
+    for a in range(0, len(again), TOGETHER):
+        own = again[a:a + TOGETHER]
+        n = lengths[own]
+        differs = utf8[ragged(starts[own], n)] != utf8[ragged(starts[first[own]], n)]
+        if differs.any():
+            odd[own] = np.logical_or.reduceat(differs, np.cumsum(n) - n)
+    places: dict[bytes, int] = {}
+    more = []
+    for i in np.flatnonzero(odd):
+        word = utf8[starts[i]:starts[i] + lengths[i]].tobytes()
+        if word not in places:
+            places[word] = len(at) + len(more)
+            more.append(i)
+        seen[i] = places[word]
+    return np.append(at, np.array(more, np.int64))
+
+
 class BlockIds:
     """The ids of a block of documents: ``ids`` all in a row, ``offsets`` of the documents in it."""
 
@@ -204,6 +229,7 @@ class BlockIds:
         at = np.zeros(len(distinct), np.int64)
         at[seen[::-1]] = np.arange(len(seen))[::-1]  # where each distinct word stands first
         lengths = np.diff(np.append(byte_starts, len(utf8)))
+        at = told_apart(utf8, byte_starts, lengths, seen, at)
         n = lengths[at]
         words = utf8[ragged(byte_starts[at], n)]
         tokens, counts = encode_words(v, words, np.cumsum(n) - n)

@@ -29,3 +29,10 @@ def awkward():
     long = " ".join(rnd.choice(words) for _ in range(40_000))
     texts = ["", None, " ", "a", "a", "a b c", "A B C", long, long, long + " end", *some, some[0], some[1], "one two three four five six"]
     return list(enumerate(texts))
+
+
+@pytest.fixture(scope="session")
+def clashing():
+    """Two words of 1024 letters that a polynomial hash modulo 2**64 cannot tell apart, whatever its base."""
+    parity = [k.bit_count() % 2 for k in range(1024)]
+    return "".join("ab"[p] for p in parity), "".join("ba"[p] for p in parity)

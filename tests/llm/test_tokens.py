@@ -45,6 +45,17 @@ def test_round_trip(make, awkward, ranks, library):
         assert got[i] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
 
 
+def test_clashing_words(make, ranks, merges, library, other, clashing):
+    """Different words with one hash in a block keep their own ids, in every operator that encodes."""
+    a, b = clashing
+    texts = [f"x {a} y", f"x {b} y", f"{b} {a}", a, b, b]
+    encoded = bpe.encode(make(list(enumerate(texts))).coalesce(1), merges)
+    assert {r.doc_id: r.ids for r in encoded.collect()} == {i: other.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    block = token_counts.encoded(ranks, texts)
+    for k, t in enumerate(texts):
+        assert block.ids[block.offsets[k]:block.offsets[k + 1]].tolist() == library.encode_ordinary(t)
+
+
 def test_encode_and_decode(make, awkward, merges, other):
     encoded = bpe.encode(make(awkward), merges)
     got = {r.doc_id: r.ids for r in encoded.collect()}
