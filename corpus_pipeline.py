@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terratally.llm import bpe, exact_dedup, jaccard_join, packing, pii, quality
-from terratally.llm.common import written
+from terratally.llm.common import unused, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,9 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced; n_chars follows a changed text."""
-    before = docs.withColumn("_before", F.col("text"))
-    after = pii.pseudonymise(before)
-    n = F.when(F.col("text").eqNullSafe(F.col("_before")), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    before = unused("before", docs)
+    after = pii.pseudonymise(docs.withColumn(before, F.col("text")))
+    n = F.when(F.col("text").eqNullSafe(F.col(before)), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
     return after.withColumn("n_chars", n).select(docs.columns)
 
 
