@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import math
+import threading
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,36 +24,64 @@ def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._terratally_path = path
     if not keep:
         noted(spark).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return out
 
 
 def noted(spark: SparkSession) -> list[str]:
+    """Paths noted by this thread, so that operators in other threads keep theirs."""
     sc = spark.sparkContext
     if not hasattr(sc, "_terratally_written"):
-        sc._terratally_written = []
-    return sc._terratally_written
+        sc._terratally_written = threading.local()
+    if not hasattr(sc._terratally_written, "paths"):
+        sc._terratally_written.paths = []
+    return sc._terratally_written.paths
 
 
 def drop_written(spark: SparkSession, since: int = 0) -> None:
-    """Remove the noted tables from position ``since`` on. Their frames must not be read any more."""
-    paths, jvm = noted(spark), spark.sparkContext._jvm
+    """Remove the noted tables of this thread from position ``since`` on. Their frames must not be read any more."""
+    paths = noted(spark)
     for p in paths[since:]:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, p)
     del paths[since:]
 
 
+def done_with(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made, as soon as nothing reads them any more."""
+    for t in tables:
+        remove(t.sparkSession, t._terratally_path)
+        paths = noted(t.sparkSession)
+        if t._terratally_path in paths:
+            paths.remove(t._terratally_path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_digest() -> Column:
     """SHA-256 of the text (null: empty)."""
     return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, lengthened until ``df`` has no column of that name in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id (null included) and text are not in ``gone`` (gone_id, gone_digest), with their columns."""
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (text_digest() == F.col("gone_digest"))
-    return docs.join(gone, same, "left_anti").select(docs.columns)
+    gone_id, gone_digest = unused("gone_id", docs), unused("gone_digest", docs)
+    gone = gone.select(F.col("gone_id").alias(gone_id), F.col("gone_digest").alias(gone_digest))
+    same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (text_digest() == F.col(gone_digest))
+    return docs.join(gone, same, "left_anti")
 
 
 def documents(docs: DataFrame, *extra) -> DataFrame:
@@ -142,6 +171,7 @@ def components(links: DataFrame) -> DataFrame:
 
     e, mark = step(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     while mark[0]:
+        before = e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -149,6 +179,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u")
         new, moved = step(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))))
         e, same = new, moved == mark
+        done_with(before)  # the new round is written
         mark = moved
         if same:
             break

@@ -26,7 +26,10 @@ less work; first a spanning forest of the surviving pairs is verified,
 then whatever still lies between classes. No link between different sets is lost.
 
 Pieces travel as packed arrays, one row for each block of documents and bucket. Their 32-bit keys only propose
-candidates, so a clash costs a comparison and no error. Identity of sets rests on two 64-bit sums.
+candidates, so a clash costs a comparison and no error. Identity of sets rests on two 64-bit sums, and that of shingles
+on 64 bits mixed from the names of their words: words of up to 7 bytes are their own name, longer ones go by BLAKE2b.
+
+Groups and clusters can hold a third of all sets, so rows meet the one row of their group or cluster in parts (SPLIT).
 
 Defined results: no words or null: size 0, its own class. A null doc_id stays without class; a repeated doc_id has a row
 for each of its rows, with the class of that row's text; an empty table gives no rows.
@@ -34,6 +37,7 @@ for each of its rows, with the class of that row's text; an empty table gives no
 from __future__ import annotations
 
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -43,12 +47,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terratally.llm.bpe import pieces as cache_pieces
-from terratally.llm.common import blocks, components, documents, drop_written, mixed, noted, parts_for, ship_package, text_bytes, text_digest, without, written
-from terratally.llm.pretokens import BASE, powers
+from terratally.llm.common import blocks, components, documents, done_with, drop_written, mixed, noted, parts_for, ship_package, text_bytes, text_digest, without, written
+from terratally.llm.pretokens import BASE
 
 WORDS = 5
+#: Bytes of a word that its name holds as they are.
+PACKED = 7
 NUMERATOR, DENOMINATOR = 80, 100
 SMALL, TILE = 8, 1024
+#: Members of a group that meet its row in one part, and parts of every cluster.
+SPLIT, CLUSTER_PARTS = 4096, 16
+#: Groups of up to FEW members share calls, with about PER_DEAL rows in each.
+FEW, PER_DEAL = 256, 4096
 BUCKET_BYTES = 4 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -81,6 +91,22 @@ def block_sets(utf8: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64), np.append(0, np.cumsum(sizes))
 
 
+def word_names(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit name of each word: up to PACKED bytes as they are with their number, longer words by a cryptographic digest."""
+    lengths = ends - starts
+    padded = np.append(text, np.zeros(PACKED, np.uint8))
+    names = np.minimum(lengths, PACKED + 1).astype(np.uint64) << np.uint64(8 * PACKED)
+    for k in range(PACKED):
+        names |= np.where(lengths > k, padded[starts + k], 0).astype(np.uint64) << np.uint64(8 * k)
+    long = np.flatnonzero(lengths > PACKED)
+    raw = text.tobytes()
+    words = [raw[s:e] for s, e in zip(starts[long].tolist(), ends[long].tolist())]
+    digests = {w: int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in set(words)}
+    names = mixed(names)
+    names[long] = np.array([digests[w] for w in words], np.uint64)
+    return names
+
+
 def piece_sets(utf8: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of a few documents, and the sizes of their sets."""
     n = len(utf8)
@@ -93,10 +119,7 @@ def piece_sets(utf8: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     end = word.copy()
     end[:-1] &= ~word[1:] | first[1:n]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    up, down = powers(1 << max(16, int(n).bit_length()))
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((text + np.uint64(1)) * up[:n], out=total[1:])
-    h = mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * BASE)
+    h = word_names(text, starts, ends)
     of = np.searchsorted(starts, offsets)
     chain = h.copy()
     for k in range(1, WORDS):
@@ -226,7 +249,7 @@ def sketched(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def bucket_groups(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of sets with an equal key, from small groups, and the members of larger ones (v null) under a group id."""
+    """Pairs of sets with an equal key, from small groups, and the members of larger ones (v null) under a group id with the group's size."""
     sets = [np.frombuffer(x, "<i8") for x in pdf["sets"]]
     counts = [np.frombuffer(x, "<i4") for x in pdf["counts"]]
     key = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["keys"]])
@@ -246,7 +269,7 @@ def bucket_groups(pdf: pd.DataFrame) -> pd.DataFrame:
                 us.append(member[s + i])
                 vs.append(member[s + j])
     bucket = int(pdf["bucket"].iloc[0])
-    seen, gs, ms = set(), [], []
+    seen, gs, ms, sizes = set(), [], [], []
     for s, m in zip(at[size > SMALL], size[size > SMALL]):
         own = member[s:s + m]
         mark = hash(own.tobytes())
@@ -255,13 +278,15 @@ def bucket_groups(pdf: pd.DataFrame) -> pd.DataFrame:
         seen.add(mark)
         gs.append(np.full(m, (bucket << 32) + int(key[s])))
         ms.append(own)
+        sizes.append(np.full(m, m))
         us += [np.full(m - 1, own[0]), own[1:-1]]
         vs += [own[1:], own[2:]]
     u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
     pairs = pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
-    g, m = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (gs, ms))
-    return pd.concat([pd.DataFrame({"grp": pd.array([None] * len(pairs), "Int64"), "u": pairs["u"].to_numpy(), "v": pd.array(pairs["v"].to_numpy(), "Int64")}),
-                      pd.DataFrame({"grp": pd.array(g, "Int64"), "u": m, "v": pd.array([None] * len(g), "Int64")})])
+    g, m, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (gs, ms, sizes))
+    none = pd.array([None] * len(pairs), "Int64")
+    return pd.concat([pd.DataFrame({"grp": none, "u": pairs["u"].to_numpy(), "v": pd.array(pairs["v"].to_numpy(), "Int64"), "size": none}),
+                      pd.DataFrame({"grp": pd.array(g, "Int64"), "u": m, "v": pd.array([None] * len(g), "Int64"), "size": pd.array(size, "Int64")})])
 
 
 def bound(na, nb):
@@ -291,15 +316,24 @@ def cross_pairs_of(forest: bool):
 
 def cross_pairs(pdf: pd.DataFrame, forest: bool) -> pd.DataFrame:
     """Pairs of members in different classes that sizes and sketches let through; of these a spanning forest on demand."""
-    pdf = pdf.sort_values("n", kind="stable")
-    n, node, tile = (pdf[c].to_numpy() for c in ("n", "node", "tile"))
-    _, group = np.unique(pdf["root"].to_numpy(), return_inverse=True)
+    pdf = pdf.sort_values(["grp", "n"], kind="stable")
+    n, node, tile, root, grp = (pdf[c].to_numpy() for c in ("n", "node", "tile", "root", "grp"))
     raw = [np.frombuffer(x, "<u8") for x in pdf["sketch"]]
+    cuts = np.flatnonzero(grp[1:] != grp[:-1]) + 1
+    us, vs = [node[:0]], [node[:0]]
+    for a, b in zip([0, *cuts], [*cuts, len(grp)]):
+        pairs_of_group(n[a:b], node[a:b], tile[a:b], root[a:b], raw[a:b], forest, us, vs)
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+
+def pairs_of_group(n, node, tile, root, raw, forest: bool, us: list, vs: list) -> None:
+    """Add the pairs of one group, whose members come in order of size, to ``us`` and ``vs``."""
+    _, group = np.unique(root, return_inverse=True)
     across = tile.min() != tile.max()
     # partners are at least as large, up to a quarter more, so their sketch is as wide or twice as wide
     most = np.searchsorted(n, n * DENOMINATOR // NUMERATOR, side="right")
     words = np.array([len(x) for x in raw])
-    us, vs = [node[:0]], [node[:0]]
     for w in np.unique(words):
         own = np.flatnonzero(words == w)
         first, last = own[0], most[own].max()
@@ -321,8 +355,6 @@ def cross_pairs(pdf: pd.DataFrame, forest: bool) -> pd.DataFrame:
                 group[group == group[take[0]]] = group[i]
                 ok = group[j] != group[i]
                 j, d = j[ok], d[ok]
-    u, v = np.concatenate(us), np.concatenate(vs)
-    return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -358,7 +390,8 @@ def classes(docs: DataFrame) -> DataFrame:
     # one node per set, numbered, with the row of its smallest doc_id
     nodes = info.where("n > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min(F.struct("doc_id", "digest")).alias("row"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "a", "b", "row.doc_id", "row.digest", "n", "sketch"), "nodes")
-    found = written(table.where("kind = 1").select("bucket", "sets", "counts", "keys").groupBy("bucket").applyInPandas(bucket_groups, "grp long, u long, v long"), "groups")
+    found = written(table.where("kind = 1").select("bucket", "sets", "counts", "keys").groupBy("bucket").applyInPandas(bucket_groups, "grp long, u long, v long, size long"), "groups")
+    done_with(table)
     id_of = nodes.select("a", "node", "n", "sketch")
 
     def known(df: DataFrame, *columns: str) -> DataFrame:
@@ -378,20 +411,25 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = known(found.where("grp IS NULL").select("u", "v").distinct(), "u", "v").where("u_node <> v_node")
     pairs = written(pairs.where(possible("u_n", "v_n", "u_sketch", "v_sketch")).select(F.col("u_node").alias("u"), F.col("v_node").alias("v")), "pairs")
     # whole sets of the nodes that can have a link
-    members = written(found.where("grp IS NOT NULL").select("grp", F.col("u").alias("a")).distinct().join(id_of.select("a", "node"), "a").select("grp", "node"), "members")
+    members = written(found.where("grp IS NOT NULL").select("grp", "size", F.col("u").alias("a")).join(id_of.select("a", "node"), "a").select("grp", "size", "node"), "members")
+    done_with(found)
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(members.select("node")).distinct()
     sets = written(whole_sets(docs, nodes.select("node", "doc_id", "digest").join(wanted, "node")), "sets")
     links = written(linked(pairs, sets), "links")
+    done_with(pairs)
     roots = components(links)
-    members = regrouped(members, roots)
+    all_members, members = members, regrouped(members, roots)
+    done_with(all_members)
     spread = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    deals = parts_for(members.count(), PER_DEAL, spread)
     for forest in (True, True, False):
-        open_ = written(unresolved(members, roots, nodes), "open")
+        open_ = written(unresolved(members, roots, nodes, deals), "open")
         if open_.isEmpty():
             break
         # few bytes but many comparisons: spread over more tasks than the bytes alone would give
-        more = open_.repartition(spread, "grp", "tiles").groupBy("grp", "tiles").applyInPandas(cross_pairs_of(forest), "u long, v long").distinct()
-        links = written(links.unionByName(linked(more, sets)), "links")
+        more = open_.repartition(spread, "deal").groupBy("deal").applyInPandas(cross_pairs_of(forest), "u long, v long").distinct()
+        before, links = links, written(links.unionByName(linked(more, sets)), "links")
+        done_with(before, open_)
         roots = components(links)
     rooted = written(nodes.join(roots, "node", "left").select("a", "b", "doc_id", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -411,29 +449,44 @@ def regrouped(members: DataFrame, roots: DataFrame) -> DataFrame:
     of theirs. Either way every pair of members that shares a key is compared.
     """
     m = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = m.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("first"), F.count(F.lit(1)).alias("size"))
-    sizes = written(sizes.where("low < high").select("grp", "first", "size"), "groups-open")
-    rows = written(members.join(sizes.select("grp", "first"), "grp"), "members-open")
+    groups = m.groupBy("grp", "size").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("first"))
+    groups = written(groups.where("low < high").select("grp", "first", "size"), "groups-open")
+    rows = written(of_groups(members, groups.drop("size")), "members-open")
     clusters = components(rows.select(F.col("node").alias("u"), F.col("first").alias("v")).distinct())
-    of = clusters.select(F.col("node").alias("first"), F.col("root").alias("cluster"))
-    rows = rows.join(of, "first", "left").withColumn("cluster", F.coalesce("cluster", "first"))
-    together = rows.select("cluster", "node").distinct()
-    apart = sizes.join(of, "first", "left").groupBy(F.coalesce("cluster", "first").alias("cluster")).agg(F.sum(F.col("size") * F.col("size")).alias("apart"))
-    whole = together.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).join(apart, "cluster").where("m * m < apart").select("cluster")
-    joined = together.join(whole, "cluster", "left_semi").select(F.concat(F.lit("c"), F.col("cluster").cast("string")).alias("grp"), "node")
-    return written(joined.unionByName(rows.join(whole, "cluster", "left_anti").select(F.col("grp").cast("string").alias("grp"), "node")), "members-regrouped")
-
-
-def unresolved(members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Members of the groups that are not one class yet, with their class, dealt to pairs of tiles."""
+    # clusters decide once; the decision is attached to their groups, and from there to the rows
+    groups = groups.join(clusters.select(F.col("node").alias("first"), F.col("root").alias("cluster")), "first", "left")
+    groups = written(groups.withColumn("cluster", F.coalesce("cluster", "first")), "groups-clustered")
+    cluster_of = rows.select("node").distinct().join(clusters, "node", "left").select(F.coalesce("root", "node").alias("cluster"))
+    apart = groups.groupBy("cluster").agg(F.sum(F.col("size") * F.col("size")).alias("apart"))
+    whole = cluster_of.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).join(apart, "cluster").where("m * m < apart").select("cluster", "m")
+    whole = whole.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(CLUSTER_PARTS - 1))))
+    decided = groups.withColumn("part", F.pmod(F.xxhash64("grp"), F.lit(CLUSTER_PARTS)).cast("int")).join(whole, ["cluster", "part"], "left")
+    decided = written(decided.select("grp", "cluster", "m"), "groups-decided")
+    rows = of_groups(rows, decided)
+    name = F.when(F.col("m").isNull(), F.col("grp").cast("string")).otherwise(F.concat(F.lit("c"), F.col("cluster").cast("string")))
+    return written(rows.select(name.alias("grp"), F.coalesce("m", "size").alias("size"), "node").distinct(), "members-regrouped")
+
+
+def of_groups(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """``members`` (with grp, size, node) of the given groups, with the columns of their group's row; a large group's members meet it in parts."""
+    parts = F.ceil(F.col("size") / SPLIT).cast("int")
+    sized = groups.join(members.where(f"size > {SPLIT}").groupBy("grp").agg(F.max(parts).alias("parts")), "grp", "left")
+    split = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return members.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).join(split, ["grp", "part"]).drop("part")
+
+
+def unresolved(members: DataFrame, roots: DataFrame, nodes: DataFrame, deals: int) -> DataFrame:
+    """Members of the groups that are not one class yet, with their class, dealt to calls: several small groups, or a pair of tiles of a large one."""
     m = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stats = m.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
-    m = m.join(stats.select("grp", F.ceil(F.col("size") / TILE).cast("int").alias("t")), "grp")
+    stats = m.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("grp")
+    m = of_groups(m, stats).withColumn("t", F.ceil(F.col("size") / TILE).cast("int"))
     tile = F.pmod(F.xxhash64("node"), F.col("t")).cast("int")
     # a tile meets itself and every other tile
     other = F.explode(F.sequence(F.lit(0), F.col("t") - 1))
     m = m.join(nodes.select("node", "n", "sketch"), "node").withColumn("tile", tile).withColumn("other", other)
-    return m.select("grp", "node", "n", "sketch", "root", "tile", F.concat_ws("-", F.least("tile", "other"), F.greatest("tile", "other")).alias("tiles"))
+    tiles = F.concat_ws("-", "grp", F.least("tile", "other"), F.greatest("tile", "other"))
+    deal = F.when(F.col("size") <= FEW, F.concat(F.lit("d"), F.pmod(F.xxhash64("grp"), F.lit(deals)).cast("string"))).otherwise(tiles)
+    return m.select("grp", "node", "n", "sketch", "root", "tile", deal.alias("deal"))
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terratally.llm.common import ship_package
+from terratally.llm.common import ship_package, unused
 from terratally.llm.feistel import displaced, round_keys
 
 KEY = b"pseudonyms-1"
@@ -245,5 +245,6 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         rows = [pseudonymised(t, key) if t is not None else (None, Counter()) for t in texts]
         return pd.DataFrame({"text": [r[0] for r in rows], **{f"n_{k}": [r[1][k] for r in rows] for k in KINDS}})
 
-    done = base.withColumn("_new", run("text"))
-    return done.select(*(F.col("_new.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in base.columns), *(f"_new.{c}" for c in counts))
+    new = unused("new", base)
+    done = base.withColumn(new, run("text"))
+    return done.select(*(F.col(f"{new}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in base.columns), *(f"{new}.{c}" for c in counts))

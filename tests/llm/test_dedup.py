@@ -69,10 +69,12 @@ def test_near_awkward(make, awkward):
     assert near_rows(make(awkward)) == near_by_hand(awkward)
 
 
-@pytest.mark.parametrize("small,tile", [(3, 16), (8, 2048)])
-def test_near_with_large_groups(make, monkeypatch, small, tile):
+@pytest.mark.parametrize("small,tile,few,split", [(3, 16, 6, 5), (8, 2048, 256, 4096)])
+def test_near_with_large_groups(make, monkeypatch, small, tile, few, split):
     monkeypatch.setattr(jaccard_join, "SMALL", small)
     monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    monkeypatch.setattr(jaccard_join, "SPLIT", split)
     rnd = random.Random(3)
     words = [f"w{k}" for k in range(400)]
     line, texts = [rnd.choice(words) for _ in range(14)], []
@@ -116,6 +118,14 @@ def test_linked_sets_share_a_key():
             assert set(key[doc == 0].tolist()) & set(key[doc == 1].tolist())
 
 
+def test_near_tells_clashing_words_apart(make, clashing):
+    """Words whose sums modulo 2**64 agree for every base, and words that only end differently."""
+    a, b = clashing
+    rows = [(1, f"one two {a} four five"), (2, f"one two {b} four five"), (3, f"one two {b} four five"), (4, "one two abcdefg four five"), (5, "one two abcdefgh four five"),
+            (6, "one two abcdefgh\0 four five"), (7, "one two a\0 four five"), (8, "one two a four five")]
+    assert near_rows(make(rows)) == near_by_hand(rows)
+
+
 def test_near_empty_and_null_ids(make):
     assert jaccard_join.near_duplicates(make([])).count() == 0
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (2, "a b c d e f")]
@@ -203,6 +213,14 @@ def test_keep_last_goes_by_row(make):
     assert kept_rows(exact_dedup.keep_last(docs), docs.columns) == sorted(expected, key=str)
 
 
+def test_filters_with_clashing_names(make):
+    docs = make([(1, "a b c d e"), (2, "a b c d e"), (3, "f")]).selectExpr("*", "'x' AS gone_id", "'y' AS GONE_DIGEST")
+    for keep, ids in ((exact_dedup.keep_last, [2, 3]), (jaccard_join.keep_first, [1, 3])):
+        out = keep(docs)
+        assert out.columns == docs.columns
+        assert sorted((r.doc_id, r.gone_id) for r in out.collect()) == [(i, "x") for i in ids]
+
+
 def test_keep_first_goes_by_row(make):
     a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
     # two classes meet under id 7 only; id 8 has a copy and a text of its own
