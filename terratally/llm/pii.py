@@ -4,7 +4,8 @@ Found values are validated (check digits, ranges, calendar), mapped to a number
 permuted there by a keyed Feistel network without fixed points, and written back in the same format: separators,
 length, letter case, country and mail domain stay, check digits are right again. The permutation depends on the key
 and the kind alone, so equal values stay linked across documents, however they are punctuated, and different values
-stay different. Each task rewrites its documents by itself; nothing is shuffled.
+stay different. Telephone numbers keep the country code, which the numbering plan cuts off; a number without it links with the
+same national digits. Dates keep to their half of the month (up to the 12th or after it). Each task rewrites its documents by itself; nothing is shuffled.
 
 Kinds: mail addresses (local part), payment cards (Luhn), IBANs (mod 97), telephone numbers, IPv4 addresses, US
 social security numbers and dates (1900 to 2099, as y-m-d, also before a time, d/m/y or m/d/y, d.m.y). Values that fail
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import datetime
 import re
+from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
 
@@ -48,6 +50,8 @@ IBAN_LENGTHS = {c: n for n, countries in {
     23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
     28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in countries.split()}
 IBAN_LEAST = 15
+#: Country codes of two digits in the public numbering plan; 1 and 7 stand alone, all others have three.
+TWO_DIGIT_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 
 @lru_cache(256)
@@ -118,14 +122,19 @@ def iban(key, text):
     return "".join(c if c == " " else next(new) for c in text)
 
 
+def country_digits(digits: str) -> int:
+    """Digits of the country code that an international number starts with."""
+    return 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_CODES else 3
+
+
 def phone(key, text):
-    country = re.match(r"\+[0-9]{1,3}", text)
-    at = country.end() if country else 0
-    digits = re.sub(r"\D", "", text[at:])
-    if not 6 <= len(digits) <= 14:
+    digits = re.sub(r"\D", "", text)
+    at = country_digits(digits) if text[0] == "+" else 0
+    n = len(digits) - at
+    if not 6 <= n <= 14:
         return None
-    new = permuted(key, f"phone {len(digits)}", int(digits), 10 ** len(digits))
-    return text[:at] + refill(text[at:], str(new).zfill(len(digits)))
+    new = permuted(key, f"phone {n}", int(digits[at:]), 10**n)
+    return refill(text, digits[:at] + str(new).zfill(n))
 
 
 def ip(key, text):
@@ -147,6 +156,12 @@ def ssn(key, text):
     return f"{area + (area >= 666):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
+@lru_cache(2)
+def days_of(late: bool) -> list[int]:
+    """Days since the first one that fall after the 12th of their month, or up to it."""
+    return [k for k in range(DAYS) if ((FIRST_DAY + datetime.timedelta(k)).day > 12) == late]
+
+
 def date(key, text):
     sep = next(c for c in text if not c.isdigit())
     parts = [int(x) for x in text.split(sep)]
@@ -161,15 +176,12 @@ def date(key, text):
             day = datetime.date(*(parts[i] for i in o))
         except ValueError:
             continue
-        # month-first readings keep to days after the 12th, so that the new date is read the same way again
-        if not 0 <= (day - FIRST_DAY).days < DAYS:
-            return None
         value = (day - FIRST_DAY).days
-        while True:
-            value = permuted(key, "date", value, DAYS)
-            new = FIRST_DAY + datetime.timedelta(value)
-            if o == (2, 1, 0) or sep != "/" or new.day > 12:
-                break
+        if not 0 <= value < DAYS:
+            return None
+        # days after the 12th stay among themselves in every format, so that a month-first date is read the same way again
+        among = days_of(day.day > 12)
+        new = FIRST_DAY + datetime.timedelta(among[permuted(key, f"date {len(among)}", bisect_left(among, value), len(among))])
         fields = {o[0]: f"{new.year:04d}", o[1]: f"{new.month:02d}", o[2]: f"{new.day:02d}"}
         return sep.join(fields[i] for i in range(3))
     return None

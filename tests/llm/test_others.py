@@ -70,6 +70,33 @@ def test_month_first_dates_stay_month_first():
         assert int(new(f"01/{k}/1999").split("/")[1]) > 12
 
 
+def test_pii_links_by_value():
+    """One value, however written, has one pseudonym; every telephone number and every day has its own."""
+    def digits(text):
+        return re.sub(r"\D", "", new(text))
+
+    for forms in (["+1 555 123 4567", "+15551234567", "+1-555-123-4567", "+1 (555) 123-4567"], ["+44 20 7946 0958", "+442079460958"], ["+420 601 234 567", "+420601234567"]):
+        assert len({digits(f) for f in forms}) == 1 and digits(forms[0]) != re.sub(r"\D", "", forms[0])
+    assert digits("+1 555 123 4567")[1:] == digits("(555) 123-4567")
+    days, months_first = set(), set()
+    for k in range(73049):
+        d = pii.FIRST_DAY + datetime.timedelta(k)
+        y, m, day = map(int, new(d.isoformat()).split("-"))
+        days.add((y, m, day))
+        assert (day > 12) == (d.day > 12) and (y, m, day) != (d.year, d.month, d.day)
+        if k % 97 == 0:
+            assert new(f"{d.day:02d}/{d.month:02d}/{d.year}") == f"{day:02d}/{m:02d}/{y}" and new(f"{d.day}.{d.month}.{d.year}") == f"{day:02d}.{m:02d}.{y}"
+            if d.day > 12:
+                assert new(f"{d.month:02d}/{d.day:02d}/{d.year}") == f"{m:02d}/{day:02d}/{y}"
+    assert len(days) == 73049
+
+
+def test_pii_with_a_clashing_name(make):
+    docs = make([(1, "call +1 555 123 4567"), (2, None)]).selectExpr("*", "'x' AS new", "'y' AS _new")
+    rows = {r.doc_id: r for r in pii.pseudonymise(docs).collect()}
+    assert rows[1].new == "x" and rows[1]._new == "y" and rows[1].n_phone == 1 and rows[2].text is None
+
+
 def test_pii_table(make, awkward):
     rows = awkward + [(500, "mail a.b@c.org"), (501, "1.2.3.4 and 1.2.3.4")]
     got = {r.doc_id: r for r in pii.pseudonymise(make(rows)).collect()}
