@@ -6,9 +6,10 @@ slots with the full digest, the winner's doc_id and the number of copies. ``look
 to the shards, hashes them to slots and compares all bytes of the digest there: members get the slot's winner,
 nonmembers get nulls. Shards with many lookups are replicated and their lookups split over the replicas.
 
-``deduplicate`` takes no earlier history: its history is the digests that ``winners`` finds more than once in the same
-table. So the groupBy decides and the hash looks its answers up, and a nonmember stands once. Nonmembers of an earlier
-history would still have to be grouped among themselves; nothing here does that.
+``deduplicate`` looks documents up in a history: an earlier one (digest, winner, copies), or else the distinct digests of
+one half of the rows, against which the other half is looked up. Members add to the group of their slot, whose winner is
+the larger doc_id; nonmembers are grouped among themselves. Every row then reads the answer of its repeated group from a
+second hash. Group sizes count the rows of the history as well, and the row that stays may be one of them.
 
 Texts are equal when they are identical; null counts as empty. Of equal texts the row with the largest doc_id stays.
 Defined results: rows with a null doc_id stay only if all their copies have null ids; rows that repeat the winner's
@@ -134,18 +135,29 @@ def look_up(lookups: DataFrame, index: DataFrame, shards: int, n: int) -> DataFr
         match, "doc_id long, digest binary, winner long, copies long")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of every row.
+def deduplicate(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of every row of ``docs``.
 
-    The history is the digests that occur more than once; rows whose digest is in it are resolved by the hash,
-    the others are their own group.
+    ``history``: distinct digests of earlier documents with their winner and copies, as ``winners`` gives them. An empty
+    one is allowed.
     """
     rows = written(digest_rows(docs), "digests")
-    n = rows.count()
-    shards = parts_for(n, PER_SHARD, rows.sparkSession.sparkContext.defaultParallelism)
-    index = build_index(winners(rows).where("copies > 1"), shards)
-    found = look_up(rows, index, shards, n)
-    # digests that the history lacks stand once, so each is a group of its own
+    n, least = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    batch, own = rows, history is None
+    if own:
+        early = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(2)) == 0
+        history, batch = winners(rows.where(early)), rows.where(~early)
+    history = written(history.select("digest", "winner", "copies"), "history")
+    shards = parts_for(history.count(), PER_SHARD, least)
+    probed = written(look_up(batch, build_index(history, shards), shards, n), "probed")
+    member = F.col("copies").isNotNull()
+    members = probed.where(member).groupBy("digest").agg(F.max(F.greatest("doc_id", "winner")).alias("winner"), (F.max("copies") + F.count(F.lit(1))).alias("copies"))
+    groups = members.unionByName(winners(probed.where(~member).select("doc_id", "digest")))
+    if own:  # groups of the first half that the second did not touch
+        groups = groups.unionByName(history.where("copies > 1").join(members.select("digest"), "digest", "left_anti").select("digest", "winner", "copies"))
+    repeated = written(groups.where("copies > 1"), "repeated")
+    shards = parts_for(n, PER_SHARD, least)
+    found = look_up(rows, build_index(repeated, shards), shards, n)
     alone = F.col("copies").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("winner"))
     return found.select("doc_id", keep.alias("keep_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"),

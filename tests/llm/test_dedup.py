@@ -25,6 +25,16 @@ def test_exact(make, awkward):
     assert sorted(map(tuple, exact_dedup.deduplicate(make(rows).repartition(6)).collect()), key=str) == exact_by_hand(rows)
 
 
+def test_exact_with_a_history(make):
+    """Members join their slot's group, nonmembers are grouped among themselves."""
+    earlier = exact_dedup.winners(exact_dedup.digest_rows(make([(1, "a"), (2, "a"), (90, "b"), (3, "only there")])))
+    docs = make([(10, "a"), (11, "b"), (12, "new"), (13, "new"), (14, "once"), (None, "new"), (15, None), (16, "")])
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.deduplicate(docs, earlier).collect()}
+    assert got == {(10, 10, 3, True), (11, 90, 2, False), (12, 13, 3, False), (13, 13, 3, True), (None, 13, 3, False), (14, 14, 1, True), (15, 16, 2, False), (16, 16, 2, True)}
+    none = exact_dedup.deduplicate(docs, earlier.limit(0)).collect()
+    assert {(r.doc_id, r.keep_id) for r in none} == {(10, 10), (11, 11), (12, 13), (13, 13), (None, 13), (14, 14), (15, 16), (16, 16)}
+
+
 def test_exact_empty(make):
     assert exact_dedup.deduplicate(make([])).count() == 0
 
