@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from terratally.operators.regions import contract
-from terratally.session import cut_lineage, ship_package
+from terratally.session import by_key, cut_lineage, ship_package
 
 #: Boxes that one task sweeps, about.
 SWEEP = 200_000
@@ -119,12 +119,12 @@ def clustered(boxes: DataFrame, threshold: float) -> DataFrame:
     node = F.xxhash64("_lv", "_gx", "_gy")  # a clash only makes a cluster larger
     at = _leveled(boxes, levels_apart(threshold))
     cells = cut_lineage(at.select(*CELL, (F.col("_lv") == F.col("_own")).alias("own"), (F.col("_lv") - F.col("_own") < levels_apart(threshold)).alias("up")).groupBy(*CELL).agg(F.max("own").alias("own"), F.max("up").alias("up")))
-    near = _around(cells.where("own").select(*CELL, node.alias("u"))).join(cells.select(*CELL, node.alias("v")), CELL)
+    near = _around(cells.where("own").select(*CELL, node.alias("u"))).join(by_key(cells.select(*CELL, node.alias("v"))), CELL)
     parent = F.xxhash64(F.col("_lv") + 1, F.floor(F.col("_gx") / 2), F.floor(F.col("_gy") / 2))
     links = near.select(*KEY, "u", "v").unionByName(cells.where("up").select(*KEY, node.alias("u"), parent.alias("v")))
     roots = contract(links, KEY).select(*KEY, F.col("lab").alias("_node"), "root")
     own = at.where("_lv = _own").withColumn("_node", node).drop("_own", "_lv", "_gx", "_gy")
-    return own.join(roots, [*KEY, "_node"], "left").withColumn("cluster", F.coalesce("root", "_node")).drop("root", "_node")
+    return own.join(by_key(roots), [*KEY, "_node"], "left").withColumn("cluster", F.coalesce("root", "_node")).drop("root", "_node")
 
 
 def _over(threshold: float) -> Column:
@@ -140,9 +140,9 @@ def unsuppressed(boxes: DataFrame, kept: DataFrame, threshold: float) -> DataFra
     apart = levels_apart(threshold)
     k = _around(_leveled(kept.select(*KEY, "x1", "y1", "x2", "y2"), apart)).select(
         *CELL, F.col("_own").alias("k_own"), *[F.col(c).alias(f"k_{c}") for c in ("x1", "y1", "x2", "y2")])
-    hit = _leveled(boxes.select(*KEY, "box_idx", "x1", "y1", "x2", "y2"), apart).join(k, CELL).where(
+    hit = _leveled(boxes.select(*KEY, "box_idx", "x1", "y1", "x2", "y2"), apart).join(by_key(k), CELL).where(
         (F.col("_lv") == F.greatest("_own", "k_own")) & _over(threshold)).select(*KEY, "box_idx").distinct()
-    return boxes.join(hit, [*KEY, "box_idx"], "left_anti")
+    return boxes.join(by_key(hit), [*KEY, "box_idx"], "left_anti")
 
 
 def best_first(boxes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
@@ -155,9 +155,9 @@ def best_first(boxes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     cut = boxes.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), share.alias("share"), F.max("conf").alias("top"), F.percentile_approx("conf", F.array(*[F.lit(i / 64) for i in range(64)]), 10000).alias("marks"))
     # the highest mark that leaves about a block above it
     cut = cut.select(*key, "top", F.when(F.col("n") > block, F.col("marks")[F.floor(F.col("share") * 64).cast("int")]).alias("low"))
-    tied = boxes.join(cut, key).where("conf = top").groupBy(*key).agg(F.count(F.lit(1)).alias("ties"), F.percentile_approx("box_idx", F.array(*[F.lit(i / 64) for i in range(64)]), 10000).alias("marks"))
+    tied = boxes.join(by_key(cut), key).where("conf = top").groupBy(*key).agg(F.count(F.lit(1)).alias("ties"), F.percentile_approx("box_idx", F.array(*[F.lit(i / 64) for i in range(64)]), 10000).alias("marks"))
     tied = tied.select(*key, F.when(F.col("ties") > block, F.col("marks")[F.ceil(F.lit(64.0 * block) / F.col("ties")).cast("int") - 1]).alias("last"))
-    both = boxes.join(cut.join(tied, key), key)
+    both = boxes.join(by_key(cut.join(by_key(tied), key)), key)
     ahead = F.when(F.col("last").isNotNull(), (F.col("conf") == F.col("top")) & (F.col("box_idx") <= F.col("last"))).otherwise(
         F.coalesce((F.col("conf") > F.col("low")) | (F.col("conf") == F.col("top")), F.lit(True)))
     return tuple(both.where(c).drop("top", "low", "last") for c in (ahead, ~ahead))
