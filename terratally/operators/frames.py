@@ -9,6 +9,7 @@ from terratally import fixed_values as K
 from terratally.functions import clean as C, geometry as G
 from terratally.operators.ranking import carry_last
 from terratally.operators.stats import NAMES, _unpivot
+from terratally.session import by_key
 
 
 def frame_stride(total, stride: int = K.VIDEO_STRIDE, target: int = K.VIDEO_TARGET_FRAMES):
@@ -39,7 +40,7 @@ def with_empty(observations: DataFrame, frames: DataFrame) -> DataFrame:
     carried counts.
     """
     keys = ["video_id", "frame_idx"]
-    out = frames.select(*keys).distinct().join(observations, keys, "left")
+    out = frames.select(*keys).distinct().join(by_key(observations), keys, "left")
     return out.withColumns({"cnt": F.coalesce("cnt", F.lit(0)), "area_px": F.coalesce("area_px", F.lit(0.0))}).select(
         *observations.columns)
 
@@ -111,7 +112,7 @@ def video_header(frames: DataFrame, sampled: DataFrame, fps: float = 0.0) -> Dat
         F.max("frame_idx").cast("bigint").alias("source_total_frames"), F.max("frame_idx").cast("bigint").alias("processed_frames"))
     seen = sampled.groupBy("video_id", "frame_idx").agg(F.max("stride").alias("stride")).groupBy("video_id").agg(
         F.count(F.lit(1)).alias("detected_frames"), F.max("stride").alias("frame_stride"))
-    return src.join(seen, "video_id", "left").select(
+    return src.join(by_key(seen), "video_id", "left").select(
         "video_id", "source_total_frames", "processed_frames", F.coalesce("detected_frames", F.lit(0)).alias("detected_frames"),
         "frame_stride", F.lit(rate).alias("fps"))
 

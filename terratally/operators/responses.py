@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from terratally import fixed_values as K
 from terratally.functions import clean as C
 from terratally.operators import assets as A, stats as S
-from terratally.session import cut_lineage
+from terratally.session import by_key, cut_lineage
 
 
 def extract_json(text: Column) -> Column:
@@ -147,7 +147,7 @@ def collect_warnings(parsed: DataFrame) -> DataFrame:
         F.when(listed.isNotNull() & ~is_list(listed), K.WARN_NO_LIST).alias("_nolist"),
         F.when(stats.isNotNull() & ~is_object(stats), K.WARN_NO_STATS).alias("_nostats"))
     none = F.array().cast("array<string>")
-    return head.join(bad, "response_id", "left").join(good, "response_id", "left").select(
+    return head.join(by_key(bad), "response_id", "left").join(by_key(good), "response_id", "left").select(
         "response_id", F.array_compact(F.concat(
             F.array("parse_warning"), F.coalesce("_bad", none), F.array(
                 "_nolist", F.when(F.col("_has").isNull(), K.WARN_NO_ASSETS), "_nostats"))).alias("warnings"))
@@ -166,6 +166,6 @@ def validate_response(parsed: DataFrame, additive: bool = True) -> DataFrame:
     head = header_fields(parsed)
     counts = assets.groupBy("image_id").agg(F.sum("estimated_count").alias("asset_total"))
     summary = S.image_summary(stats).drop("total_assets_detected").withColumnRenamed("image_id", "response_id")
-    return (head.join(summary, "response_id")
-            .join(counts.withColumnRenamed("image_id", "response_id"), "response_id")
+    return (head.join(by_key(summary), "response_id")
+            .join(by_key(counts.withColumnRenamed("image_id", "response_id")), "response_id")
             .withColumn("total_assets_detected", F.greatest("asset_total", "given")).drop("asset_total", "given"))
