@@ -1,6 +1,8 @@
 """Tables that grow with the input are joined in shuffled parts, however small Spark takes them to be."""
 from pyspark.sql import functions as F
 
+from terratally import fixed_values as K
+from terratally.functions import clean as C
 from terratally.operators import heights as H, masks as M, ranking, regions as Q
 from terratally.plans import modes
 from terratally.sources import fixtures as X
@@ -42,3 +44,11 @@ def test_regions_are_not_broadcast(spark, capsys):
     lab = Q.labelled_regions(long, filled=True)
     assert "Broadcast" not in plan(capsys, lab)
     assert "Broadcast" not in plan(capsys, Q.keep_regions(lab, Q.region_stats(lab)))
+
+
+def test_category_text_is_cleaned_once_a_row(spark, capsys):
+    df = spark.createDataFrame([("Storm_Water drain",), (None,), ("",), ("Solar Panels",)], "c string")
+    out = df.select(C.normalize_category(F.col("c")).alias("n"), C.class_to_category(F.col("c")).alias("k"))
+    assert plan(capsys, out).count("lower(") == 3  # one in each chain, one for the alias
+    assert [tuple(r) for r in out.collect()] == [
+        ("Water Bodies", "Water Bodies"), (K.DEFAULT_CATEGORY,) * 2, (K.DEFAULT_CATEGORY,) * 2, ("Solar Panels", "Solar Panels")]
