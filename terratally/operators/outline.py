@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from terratally.operators.regions import packed
+from terratally.operators.regions import by_tile
 from terratally.session import ship_package
 
 
@@ -142,4 +142,4 @@ def region_outline(labelled: DataFrame) -> DataFrame:
     """
     ship_package(labelled.sparkSession)
     df = labelled.select("image_id", "mask", "lab", "y", "x0", "x1")
-    return df.groupBy(packed(df, "image_id", "mask", "lab")).applyInPandas(trace, OUT)
+    return by_tile(df, ["image_id", "mask", "lab"], trace, OUT)

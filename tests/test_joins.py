@@ -52,3 +52,15 @@ def test_category_text_is_cleaned_once_a_row(spark, capsys):
     assert plan(capsys, out).count("lower(") == 3  # one in each chain, one for the alias
     assert [tuple(r) for r in out.collect()] == [
         ("Water Bodies", "Water Bodies"), (K.DEFAULT_CATEGORY,) * 2, (K.DEFAULT_CATEGORY,) * 2, ("Solar Panels", "Solar Panels")]
+
+
+def test_calls_take_whole_tiles_of_bounded_number(spark):
+    df = spark.range(6000).select((F.col("id") % 60).alias("image_id"), F.when(F.col("id") % 60 == 7, 0).otherwise(F.col("id") % 3).alias("_ty"), "id").repartition(1)
+
+    def run(pdf):
+        return pdf.groupby(["image_id", "_ty"], as_index=False).agg(n=("id", "size")).assign(call=len(pdf))
+
+    got = Q.by_tile(df, ["image_id", "_ty"], run, "image_id bigint, _ty bigint, n bigint, call bigint", rows=50).collect()
+    tiles = {(r.image_id, r._ty): r.n for r in df.groupBy("image_id", "_ty").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert {(r.image_id, r._ty): r.n for r in got} == tiles and len(got) == len(tiles)
+    assert max(r.call for r in got) < 6000
