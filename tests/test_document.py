@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from terratally.operators import assets as A, masks as M, stats as S
 from terratally.plans import document as D
+from terratally.plans.registry import QUERIES
 from terratally.sources import fixtures as X
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +50,12 @@ def test_frames_without_a_mask_are_kept(spark):
     kept = spark.createDataFrame([(2, "building")], "image_id bigint, mask string")
     got = sorted(tuple(r) for r in M.frame_observations_of(words, kept).collect())
     assert got == [(1, None, 0, 0.0), (2, "Properties & Buildings", 1, 2.0)]
+
+
+def test_layers_are_gathered_in_one_exchange(spark):
+    """Lists of the four layers come from one aggregation; they were four, joined afterwards and dealt out once more."""
+    docs = QUERIES["result_document"](spark, SF)
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.splitlines() if "Aggregate [image_id" in line and "collect_list(" in line and "part" in line and "collect_set" not in line]) == 1
+    assert docs.groupBy("image_id", "part").count().where("count > 1").isEmpty()
+    assert docs.agg({"rows": "sum"}).first()[0] == spark.read.parquet(SF + "/lineitem.parquet").count()
