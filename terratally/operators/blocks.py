@@ -7,6 +7,7 @@ from terratally import fixed_values as K
 from terratally.functions import clean as C, geometry as G
 from terratally.functions.color import classify_rgb
 from terratally.operators import raster as R, regions as Q
+from terratally.operators.graylevel import lanes_of
 from terratally.operators.ranking import numbered
 
 CLASSES = {
@@ -14,6 +15,9 @@ CLASSES = {
     "c_water": "Water Bodies", "c_road": "Roads & Footpaths"}
 
 
+#: Image rows that are dealt out together.
+BAND_ROWS = 512
+
 #: Cells of all distinct sizes up to which their table is broadcast (8 bytes each).
 BROADCAST_CELLS = 1_000_000
 
@@ -70,15 +74,32 @@ def _shrink(df: DataFrame, size: str, target: str, totals: str, pos: str, keys:
     return spread.groupBy(*keys, "_cell").agg(tone("r"), tone("g"), tone("b")).withColumnRenamed("_cell", pos)
 
 
+def colour_words(px: DataFrame) -> DataFrame:
+    """Word rows with the colours of their 64 pixels, a byte each (``r0`` .. ``b7``), and the pixels that are there (``on``)."""
+    lanes = {c + n[1:]: v for c in "rgb" for n, v in lanes_of(F.col(c)).items()}
+    return R.pixel_words(px, {"on": F.lit(True)}, lanes)
+
+
+def word_colours(words: DataFrame, *keys: str) -> DataFrame:
+    """Word rows of ``colour_words`` back to pixel rows."""
+    lanes = {c: F.array(*[f"{c}{j}" for j in range(8)]) for c in "rgb"}
+    df = words.select(*keys, "xb", "on", *[v.alias(c) for c, v in lanes.items()], F.explode(F.sequence(F.lit(0), F.lit(63))).alias("_i"))
+    byte = lambda c: F.expr(f"CAST(shiftrightunsigned({c}[CAST(_i / 8 AS INT)], _i % 8 * 8) & 255 AS INT)").alias(c)
+    return df.where("(shiftrightunsigned(`on`, _i) & 1L) = 1L").select(*keys, (F.col("xb") * 64 + F.col("_i")).alias("x"), *[byte(c) for c in "rgb"])
+
+
 def grid_downsample(px: DataFrame, gx: int = K.GRID_COLUMNS, images: DataFrame | None = None) -> DataFrame:
     """Image to ``gx`` columns of cells with a triangle filter: across first, then down.
 
-    Two partial aggregations; the filter's sums come from a table of the distinct sizes, taken from ``images`` (or else from
-    the pixel rows, which carry the size of their image).
+    Pixels move as words, dealt out by bands of image rows: the sums across need no further exchange, and those down are
+    gathered per band before theirs. The filter's sums come from a table of the distinct sizes, taken from ``images`` (or
+    else from the pixel rows, which carry the size of their image).
     """
     table = size_table(px if images is None else images, gx)
     keys = ["image_id", "w", "h"]
-    across = _shrink(px.select(*keys, "y", "x", "r", "g", "b").join(table, ["w", "h"]), "w", "gw", "tx", "x", keys + ["y"])
+    words = colour_words(px).withColumn("_band", F.floor(F.col("y") / BAND_ROWS)).repartition("image_id", "_band")
+    rows = word_colours(words, *keys, "_band", "y")
+    across = _shrink(rows.join(table, ["w", "h"]), "w", "gw", "tx", "x", keys + ["_band", "y"])
     down = _shrink(across.join(table, ["w", "h"]), "h", "gh", "ty", "y", keys + ["x"])
     return down.join(table.select("w", "h", "gw", "gh"), ["w", "h"]).select(*keys, "gw", "gh", "x", "y", "r", "g", "b")
 

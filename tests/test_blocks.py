@@ -50,3 +50,11 @@ def test_files(spark):
     X.frames(spark, SF).write.parquet(out + "/frames")
     assert ingest.read_frames(spark, out + "/frames").count() == 1000
     assert ingest.read_frames(spark, out + "/frames", stream=True).isStreaming
+
+
+def test_colours_of_words(spark):
+    """Words give back every pixel that is there, and no other."""
+    rows = [(i, 130, 3, y, x, (x * 7 + i) % 256, (y * 90 + x) % 256, 255 - x) for i in range(2) for y in range(3) for x in range(130) if (x + y) % 5]
+    px = spark.createDataFrame(rows, "image_id bigint, w int, h int, y int, x int, r int, g int, b int")
+    back = blocks.word_colours(blocks.colour_words(px), "image_id", "w", "h", "y")
+    assert sorted(map(tuple, back.select(px.columns).collect())) == sorted(rows)
