@@ -81,7 +81,11 @@ class UpsertTable:
         self.folder.put(f"manifest/{m['version']:012d}", json.dumps(m))
 
     def bucketed(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+        """Rows dealt out by bucket, so that a batch writes one file for each.
+
+        Inside a micro-batch Spark plans without adaptive execution and leaves out hints to rebalance.
+        """
+        return rows.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")).repartition(self.buckets, "bucket")
 
     def winners(self, rows: DataFrame, *by: str) -> DataFrame:
         """One row per key, with its batch."""
@@ -95,8 +99,8 @@ class UpsertTable:
         m = self.manifest()
         if batch <= m["merged"]:
             return
-        one = self.winners(rows.select(*self.schema.names).withColumn("_batch", F.lit(batch).cast("long")))
-        self.bucketed(one).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batches/{batch}")
+        one = self.winners(self.bucketed(rows.select(*self.schema.names).withColumn("_batch", F.lit(batch).cast("long"))), "bucket")
+        one.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batches/{batch}")
         if batch not in m["open"]:
             m["open"] = [*m["open"], batch]
             self.publish(m)
@@ -125,7 +129,7 @@ class UpsertTable:
         new = dict(m["buckets"])
         if touched:
             every = reduce(DataFrame.unionByName, [*self.bucket_rows(m, touched), self.rows_of([f"batches/{b}" for b in m["open"]])])
-            self.winners(every, "bucket").hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/base/{version}")
+            self.winners(every.repartition(self.buckets, "bucket"), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/base/{version}")
             new.update({b: version for b in touched})
         self.publish({**m, "buckets": new, "open": [], "merged": max(m["open"])})
         self.clean()
@@ -147,10 +151,12 @@ class UpsertTable:
                     self.folder.remove(f"base/{v}/{name}")
 
     def read(self) -> DataFrame:
-        """The table. Only buckets that open batches touch are merged while reading."""
+        """The table. Only where several batches meet are rows merged while reading: a batch holds a key once."""
         m = self.manifest()
         parts = self.bucket_rows(m, set(m["buckets"]))
-        if m["open"]:
+        if not parts and len(m["open"]) == 1:
+            parts = [self.rows_of([f"batches/{m['open'][0]}"])]
+        elif m["open"]:
             parts = [self.winners(reduce(DataFrame.unionByName, [*parts, self.rows_of([f"batches/{b}" for b in m["open"]])]), "bucket")]
         if not parts:
             return self.spark.createDataFrame([], self.schema)

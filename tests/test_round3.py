@@ -1,8 +1,14 @@
 """What the third review found."""
+import datetime
+
 from pyspark.sql import functions as F
 
 from terratally.operators import masks as M, raster as R
+from terratally.operators import frames as V
+from terratally.session import new_dir
+from terratally.streaming import video as ST
 from tests.test_raster import blobs, box, raster, words_of
+from tests.test_streams import FRAMES, NAMES, START, arrive, arriving, plain, state_rows
 
 
 def test_a_chain_of_filters_is_one_array_job(spark):
@@ -24,3 +30,22 @@ def test_gates_of_several_masks(spark):
     df = spark.createDataFrame(rows, "image_id bigint, w int, h int, mask string, comp_id bigint, n bigint")
     got = M._gated(df, {"building": {"at_least": 2, "over_percent": 0.05}, "road": {}, "vehicle": {"at_least": 3}})
     assert sorted((r.image_id, r.mask) for r in got.collect()) == [(1, "building")] * 2 + [(2, "road")] + [(3, "vehicle")] * 3
+
+
+def test_state_of_many_videos_is_a_few_slots_of_open_frames(spark, monkeypatch):
+    """The first batch leaves only what later batches may still add to; videos share a key and keep their own totals."""
+    monkeypatch.setattr(ST, "SLOTS", 4)
+    folder, out = new_dir(spark, "arriving"), new_dir(spark, "slots")
+    rows = [(v, i, START + datetime.timedelta(minutes=10 * i + v), NAMES[(i + v) % 2], (i * v) % 3, float(i)) for i in range(1, 41) for v in range(1, 31)]
+    for part in (rows[:600], rows[600:]):
+        arrive(spark, folder, part, FRAMES)
+        stats = ST.stream_video_stats(arriving(spark, folder, FRAMES), out + "/stats", "30 minutes")
+        carry = ST.stream_carry_forward(arriving(spark, folder, FRAMES), 7, out + "/carry", "30 minutes")
+        for p, extra in (("/stats", 0), ("/carry", 1)):
+            held = [r.value for r in state_rows(spark, out + p).collect()]
+            assert 0 < len(held) <= 4 and all(len(v.frame) <= (6 + extra) * len(v.video) for v in held)
+    batch = spark.createDataFrame(rows, FRAMES)
+    want = V.video_totals_by_category(batch)
+    assert plain(stats, want.columns) == plain(want, want.columns)
+    want = V.carry_sampled(batch, (F.col("frame_idx") - 1) % 7 == 0)
+    assert plain(carry, want.columns) == plain(want, want.columns)
