@@ -4,7 +4,9 @@ import datetime
 from pyspark.sql import functions as F
 
 from terratally.operators import masks as M, raster as R
-from terratally.operators import frames as V
+from terratally import session
+from terratally.operators import assets as A, frames as V
+from terratally.sources import fixtures as X
 from terratally.session import new_dir
 from terratally.streaming import video as ST
 from tests.test_raster import blobs, box, raster, words_of
@@ -49,3 +51,17 @@ def test_state_of_many_videos_is_a_few_slots_of_open_frames(spark, monkeypatch):
     assert plain(stats, want.columns) == plain(want, want.columns)
     want = V.carry_sampled(batch, (F.col("frame_idx") - 1) % 7 == 0)
     assert plain(carry, want.columns) == plain(want, want.columns)
+
+
+def test_wide_rows_are_dealt_out_by_their_number(spark, monkeypatch):
+    """A task sorts about TASK_ROWS rows, however many there are, and the numbers stay the same."""
+    sf = "/root/testdata/sf0.001"
+    images = X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("image_id"))
+    read = lambda: A.fallback_asset(images, A.fill_asset_defaults(X.raw_assets(spark, sf)), X.parts_of(spark, sf, "lineitem"))
+    few = read()
+    monkeypatch.setattr(session, "TASK_ROWS", 200)
+    many = read()
+    n = -(-X.table(spark, sf, "lineitem").count() // 200)
+    assert n > int(spark.conf.get("spark.sql.shuffle.partitions")) and many.rdd.getNumPartitions() >= 2 * n
+    cols = ["image_id", "asset_idx", "unique_id", "category", "estimated_count"]
+    assert plain(few, cols) == plain(many, cols)
