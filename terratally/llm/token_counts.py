@@ -14,6 +14,8 @@ end is ignored.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -173,24 +175,42 @@ def refresh(v: Vocabulary, docs: list[Edited]) -> None:
 
 
 EDITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("replacement", T.StringType())]))
+EDIT_LISTS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("replacement", pa.string())]))
 NUMBERS = T.ArrayType(T.LongType())
 
 
+def block_leaves(v: Vocabulary, texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Characters and tokens of the leaves of each text of a block."""
+    b = BlockIds(v, *text_bytes(texts))
+    pairs = [leaves_of(b.word_chars[s:e], b.word_counts[s:e]) for s, e in zip(b.word_offsets[:-1], b.word_offsets[1:])]
+    return [c for c, _ in pairs], [t for _, t in pairs]
+
+
+def edited_block(v: Vocabulary, block: pa.RecordBatch, chars: list, tokens: list, before: pa.Array) -> pa.RecordBatch:
+    """The rows of ``apply_edits`` for a block of documents with their leaves and ``edits``."""
+    docs = [Edited(t, Tree(c, k), e) for t, c, k, e in zip(block.column("text").to_pylist(), chars, tokens, block.column("edits").to_pylist())]
+    refresh(v, docs)
+    lists = pa.list_(pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [block.column("doc_id"), pa.array(["".join(d.leaves) for d in docs], pa.string()), pa.array([d.tree.chars for d in docs], lists), pa.array([d.tree.tokens for d in docs], lists),
+         before, pa.array([int(d.tree.sums[1, 1]) for d in docs], pa.int64()), pa.array([d.applied for d in docs], pa.int64()), pa.array([d.encoded_chars for d in docs], pa.int64())],
+        ["doc_id", "text", "leaf_chars", "leaf_tokens", "n_before", "n_tokens", "n_edits", "n_chars_encoded"])
+
+
+def edited_schema(source: DataFrame) -> T.StructType:
+    numbers = [T.StructField(c, T.LongType()) for c in ("n_before", "n_tokens", "n_edits", "n_chars_encoded")]
+    return T.StructType([source.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("leaf_chars", NUMBERS), T.StructField("leaf_tokens", NUMBERS), *numbers])
+
+
 def build_trees(docs: DataFrame, v: Vocabulary, *columns: str) -> DataFrame:
     """doc_id, text, leaf_chars, leaf_tokens and n_tokens of every document, with the named columns."""
     shared = vocabulary_on_executors(docs, v)
 
     def run(batches):
         for block in blocks(batches):
-            b = BlockIds(shared.value, *text_bytes(block.column("text")))
-            chars, tokens, counts = [], [], []
-            for s, e in zip(b.word_offsets[:-1], b.word_offsets[1:]):
-                c, t = leaves_of(b.word_chars[s:e], b.word_counts[s:e])
-                chars.append(c)
-                tokens.append(t)
-                counts.append(int(t.sum()))
+            chars, tokens = block_leaves(shared.value, block.column("text"))
             lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("text"), pa.array(chars, lists), pa.array(tokens, lists), pa.array(counts, pa.int64()),
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("text"), pa.array(chars, lists), pa.array(tokens, lists), pa.array([int(t.sum()) for t in tokens], pa.int64()),
                                               *(block.column(c) for c in columns)], ["doc_id", "text", "leaf_chars", "leaf_tokens", "n_tokens", *columns])
 
     source = documents(docs, *columns)
@@ -205,15 +225,25 @@ def apply_edits(trees: DataFrame, v: Vocabulary) -> DataFrame:
 
     def run(batches):
         for block in blocks(batches):
-            docs = [Edited(t, Tree(np.asarray(c, np.int64), np.asarray(k, np.int64)), e) for t, c, k, e in zip(
-                *(block.column(x).to_pylist() for x in ("text", "leaf_chars", "leaf_tokens", "edits")))]
-            refresh(shared.value, docs)
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array(["".join(d.leaves) for d in docs], pa.string()), pa.array([d.tree.chars for d in docs], lists), pa.array([d.tree.tokens for d in docs], lists),
-                 block.column("n_tokens"), pa.array([int(d.tree.sums[1, 1]) for d in docs], pa.int64()), pa.array([d.applied for d in docs], pa.int64()), pa.array([d.encoded_chars for d in docs], pa.int64())],
-                ["doc_id", "text", "leaf_chars", "leaf_tokens", "n_before", "n_tokens", "n_edits", "n_chars_encoded"])
+            chars, tokens = ([np.asarray(x, np.int64) for x in block.column(c).to_pylist()] for c in ("leaf_chars", "leaf_tokens"))
+            yield edited_block(shared.value, block, chars, tokens, block.column("n_tokens"))
 
     source = trees.select("doc_id", "text", "leaf_chars", "leaf_tokens", "n_tokens", "edits")
-    numbers = [T.StructField(c, T.LongType()) for c in ("n_before", "n_tokens", "n_edits", "n_chars_encoded")]
-    return source.mapInArrow(run, T.StructType([source.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("leaf_chars", NUMBERS), T.StructField("leaf_tokens", NUMBERS), *numbers]))
+    return source.mapInArrow(run, edited_schema(source))
+
+
+def build_and_edit(docs: DataFrame, v: Vocabulary, edits: Callable[[str], list[dict]]) -> DataFrame:
+    """``apply_edits`` on fresh trees, with ``edits`` naming those of a text.
+
+    All of it is one Python step: a task has one worker with one vocabulary, and neither trees nor edits travel.
+    """
+    shared = vocabulary_on_executors(docs, v)
+
+    def run(batches):
+        for block in blocks(batches):
+            chars, tokens = block_leaves(shared.value, block.column("text"))
+            found = pa.array([edits(t) for t in block.column("text").to_pylist()], EDIT_LISTS)
+            yield edited_block(shared.value, block.append_column("edits", found), chars, tokens, pa.array([int(t.sum()) for t in tokens], pa.int64()))
+
+    source = documents(docs)
+    return source.mapInArrow(run, edited_schema(source))

@@ -105,6 +105,15 @@ def test_edit_query_rows(spark, make, awkward, ranks, library):
         assert sum(r.leaf_tokens) == r.n_tokens and (r.n_edits or not r.n_chars_encoded)
 
 
+def test_build_and_edit_is_one_python_step(spark, make, awkward, ranks):
+    docs = make(awkward + [(100, "a###   b %%%%%c"), (101, "!!!!")])
+    one = token_counts.build_and_edit(docs, ranks, queries.edits_of)
+    trees = token_counts.build_trees(docs, ranks).withColumn("edits", queries.clean_up_edits("text"))
+    assert sorted(one.collect()) == sorted(token_counts.apply_edits(trees, ranks).collect())
+    plan = queries.op1_token_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
 def check_pieces(rows, ids, length):
     by, of = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
