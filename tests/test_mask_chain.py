@@ -111,3 +111,19 @@ def test_video_masks(spark, scenes):
     got, _ = M.video_masks(px, k)
     for name, m in want.items():
         assert (raster(got, name, *m.shape) == m).all(), name
+
+
+@pytest.mark.parametrize("mode", ["map", "video"])
+def test_one_mask_makes_what_it_needs(spark, scenes, mode, monkeypatch):
+    px, _ = scenes
+    made = []
+    monkeypatch.setattr(M.Q, "labelled_regions", lambda long, real=M.Q.labelled_regions: made.append(1) or real(long))
+    k = 1 / 16 if mode == "map" else 1 / 40
+    draws = {"map": {"building": 1, "parks": 1, "vehicle": 1, "waste": 1, "solar": 1},
+             "video": {"parks": 1, "water": 1, "road": 2, "building": 3, "drain": 3, "vehicle": 3, "waste": 4, "solar": 4}}[mode]
+    whole = (M.map_masks(px, k) if mode == "map" else M.video_masks(px, k)[0]).cache()
+    for mask in M.MAP_MASKS:
+        made.clear()
+        one = M.map_masks(px, k, [mask]) if mode == "map" else M.video_mask(px, mask, k)
+        assert sorted(one.select(*M.R.KEY, mask).collect()) == sorted(whole.select(*M.R.KEY, mask).collect()), mask
+        assert len(made) == draws.get(mask, 0), mask
