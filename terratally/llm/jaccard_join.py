@@ -18,7 +18,8 @@ number of links.
   symmetric difference; candidates above the bound of their sizes go.
 * Verification compares the whole sets.
 
-Groups of equal pieces are never expanded into all pairs. Small ones (up to SMALL) give their few pairs. Of a larger
+Groups of equal pieces are never expanded into all pairs. A set leaves those of more than SMALL members if it is in
+fewer of them than it must have keys in common with a linked set: a passage that many texts hold brings nobody together. Small ones (up to SMALL) give their few pairs. Of a larger
 one, each member is verified against the group's first member and its neighbour in order. Members that this has not
 made one class are compared by sketches inside the task that holds the group (or, for more than TILE members, the
 pair of tiles), where pairs inside a class are skipped; groups that share members are compared as one where that is
@@ -182,16 +183,26 @@ def pieces_of(shingles: np.ndarray, doc: np.ndarray, band: np.ndarray, salt: int
 
 def block_keys(shingles: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, key) of all sets in the two join bands of each."""
+    return spared_keys(shingles, offsets)[:2]
+
+
+def spared_keys(shingles: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, key) of all sets in the two join bands of each; and of each document, the keys it can do without.
+
+    A set has at least (pieces that are not empty) - D(b) keys in common with a linked one. It meets it still if it
+    leaves any fewer keys out.
+    """
     first, most, _ = bands()
     sizes = np.diff(offsets)
     own = np.searchsorted(first, sizes, side="right") - 1
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    docs, keys = [], []
+    docs, keys, spare = [], [], np.full(len(sizes), np.iinfo(np.int64).max)
     for up in (0, 1):
         d, k = pieces_of(shingles, doc, (own + up)[doc], 0)
         docs.append(d)
         keys.append(k)
         filled = np.bincount(d, minlength=len(sizes))
+        spare = np.minimum(spare, filled - most[own + up] - 1)
         sparse = (filled <= most[own + up]) & (sizes > 0)
         if sparse.any():
             among = sparse[doc]
@@ -200,18 +211,18 @@ def block_keys(shingles: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
             still = np.flatnonzero(sparse & (filled <= most[own + up]))
             docs += [d, still]
             keys += [k, mixed((own[still] + up).astype(np.uint64) + salted(3))]
-    return np.concatenate(docs), np.concatenate(keys)
+    return np.concatenate(docs), np.concatenate(keys), spare
 
 
 def sketched(docs: DataFrame, buckets: int) -> DataFrame:
-    """Written table with a row per document (kind 0: doc_id, digest, n, a, b, sketch) and packed pieces (kind 1: bucket, sets, counts, keys)."""
+    """Written table with a row per document (kind 0: doc_id, digest, n, a, b, sketch, spare) and packed pieces (kind 1: bucket, sets, counts, keys)."""
     ship_package(docs.sparkSession)
     source = documents(docs, text_digest().alias("digest"))
     schema = T.StructType([
         T.StructField("kind", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()),
         T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("sketch", T.BinaryType()),
-        T.StructField("bucket", T.LongType()), T.StructField("sets", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("keys", T.BinaryType())])
-    types = [pa.int32(), pa.int64(), pa.binary(), *[pa.int64()] * 3, pa.binary(), pa.int64(), *[pa.binary()] * 3]
+        T.StructField("bucket", T.LongType()), T.StructField("sets", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("keys", T.BinaryType()), T.StructField("spare", T.LongType())])
+    types = [pa.int32(), pa.int64(), pa.binary(), *[pa.int64()] * 3, pa.binary(), pa.int64(), *[pa.binary()] * 3, pa.int64()]
     names = [f.name for f in schema]
 
     def rows(*columns):
@@ -224,16 +235,18 @@ def sketched(docs: DataFrame, buckets: int) -> DataFrame:
             sizes = np.diff(offsets)
             a, b = identities(shingles, offsets)
             sketches = [bit_sketch(shingles[s:e]) for s, e in zip(offsets[:-1], offsets[1:])]
-            yield rows(np.zeros(len(sizes), np.int32), block.column("doc_id").cast(pa.int64()), block.column("digest").cast(pa.binary()), sizes, a, b, sketches, None, None, None, None)
-            _, one = np.unique(a, return_index=True)  # a set is sent once a block
+            _, one, of = np.unique(a, return_index=True, return_inverse=True)  # a set is sent once a block
             lone = np.zeros(len(sizes), bool)
             lone[one] = True
             keep = np.repeat(lone, sizes)
-            offsets = np.append(0, np.cumsum(np.where(lone, sizes, 0)))
-            doc, key = block_keys(shingles[keep], offsets)
-            bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((doc, bucket))
-            doc, key, bucket = doc[order], key[order].astype(np.uint32), bucket[order]
+            doc, key, spare = spared_keys(shingles[keep], np.append(0, np.cumsum(np.where(lone, sizes, 0))))
+            bucket, short = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), key.astype(np.uint32)
+            order = np.lexsort((short, doc, bucket))
+            doc, key, bucket = doc[order], short[order], bucket[order]
+            # keys of a set that fall together count once
+            same = np.flatnonzero((key[1:] == key[:-1]) & (doc[1:] == doc[:-1]) & (bucket[1:] == bucket[:-1]))
+            spare = spare - np.bincount(doc[same], minlength=len(sizes))
+            yield rows(np.zeros(len(sizes), np.int32), block.column("doc_id").cast(pa.int64()), block.column("digest").cast(pa.binary()), sizes, a, b, sketches, None, None, None, None, spare[one][of])
             cut = np.flatnonzero(np.diff(bucket)) + 1
             which, sets, counts, keys = [], [], [], []
             for d, k, g in zip(np.split(doc, cut), np.split(key, cut), bucket[np.append(0, cut)] if len(bucket) else []):
@@ -243,13 +256,13 @@ def sketched(docs: DataFrame, buckets: int) -> DataFrame:
                 counts.append(np.diff(np.append(new, len(d))).astype("<i4").tobytes())
                 keys.append(k.astype("<u4").tobytes())
             if which:
-                yield rows(np.ones(len(which), np.int32), None, None, None, None, None, None, which, sets, counts, keys)
+                yield rows(np.ones(len(which), np.int32), None, None, None, None, None, None, which, sets, counts, keys, None)
 
     return written(source.mapInArrow(run, schema), "sketches")
 
 
 def bucket_groups(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of sets with an equal key, from small groups, and the members of larger ones (v null) under a group id with the group's size."""
+    """Pairs of sets with an equal key, from small groups, and the members of larger ones (v null) under a group id with the group's size and number of keys."""
     sets = [np.frombuffer(x, "<i8") for x in pdf["sets"]]
     counts = [np.frombuffer(x, "<i4") for x in pdf["counts"]]
     key = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["keys"]])
@@ -269,13 +282,15 @@ def bucket_groups(pdf: pd.DataFrame) -> pd.DataFrame:
                 us.append(member[s + i])
                 vs.append(member[s + j])
     bucket = int(pdf["bucket"].iloc[0])
-    seen, gs, ms, sizes = set(), [], [], []
+    seen, gs, ms, sizes, times = {}, [], [], [], []
     for s, m in zip(at[size > SMALL], size[size > SMALL]):
         own = member[s:s + m]
         mark = hash(own.tobytes())
         if mark in seen:
-            continue  # the same members meet on another key
-        seen.add(mark)
+            times[seen[mark]] += 1  # the same members meet on another key
+            continue
+        seen[mark] = len(times)
+        times.append(1)
         gs.append(np.full(m, (bucket << 32) + int(key[s])))
         ms.append(own)
         sizes.append(np.full(m, m))
@@ -283,10 +298,11 @@ def bucket_groups(pdf: pd.DataFrame) -> pd.DataFrame:
         vs += [own[1:], own[2:]]
     u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
     pairs = pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
-    g, m, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (gs, ms, sizes))
+    times = [np.full(len(x), n) for x, n in zip(ms, times)]
+    g, m, size, times = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (gs, ms, sizes, times))
     none = pd.array([None] * len(pairs), "Int64")
-    return pd.concat([pd.DataFrame({"grp": none, "u": pairs["u"].to_numpy(), "v": pd.array(pairs["v"].to_numpy(), "Int64"), "size": none}),
-                      pd.DataFrame({"grp": pd.array(g, "Int64"), "u": m, "v": pd.array([None] * len(g), "Int64"), "size": pd.array(size, "Int64")})])
+    return pd.concat([pd.DataFrame({"grp": none, "u": pairs["u"].to_numpy(), "v": pd.array(pairs["v"].to_numpy(), "Int64"), "size": none, "times": none}),
+                      pd.DataFrame({"grp": pd.array(g, "Int64"), "u": m, "v": pd.array([None] * len(g), "Int64"), "size": pd.array(size, "Int64"), "times": pd.array(times, "Int64")})])
 
 
 def bound(na, nb):
@@ -385,12 +401,12 @@ def classes(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = parts_for(size, BUCKET_BYTES, 2 * spark.sparkContext.defaultParallelism)
     table = sketched(docs, buckets)
-    info = table.where("kind = 0").select("doc_id", "digest", "n", "a", "b", "sketch")
-    ids = written(info.drop("sketch"), "set-ids", keep=True)
+    info = table.where("kind = 0").select("doc_id", "digest", "n", "a", "b", "sketch", "spare")
+    ids = written(info.drop("sketch", "spare"), "set-ids", keep=True)
     # one node per set, numbered, with the row of its smallest doc_id
-    nodes = info.where("n > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min(F.struct("doc_id", "digest")).alias("row"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
-    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "a", "b", "row.doc_id", "row.digest", "n", "sketch"), "nodes")
-    found = written(table.where("kind = 1").select("bucket", "sets", "counts", "keys").groupBy("bucket").applyInPandas(bucket_groups, "grp long, u long, v long, size long"), "groups")
+    nodes = info.where("n > 0 AND doc_id IS NOT NULL").groupBy("a", "b").agg(F.min(F.struct("doc_id", "digest")).alias("row"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("spare").alias("spare"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "a", "b", "row.doc_id", "row.digest", "n", "sketch", "spare"), "nodes")
+    found = written(table.where("kind = 1").select("bucket", "sets", "counts", "keys").groupBy("bucket").applyInPandas(bucket_groups, "grp long, u long, v long, size long, times long"), "groups")
     done_with(table)
     id_of = nodes.select("a", "node", "n", "sketch")
 
@@ -411,8 +427,9 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = known(found.where("grp IS NULL").select("u", "v").distinct(), "u", "v").where("u_node <> v_node")
     pairs = written(pairs.where(possible("u_n", "v_n", "u_sketch", "v_sketch")).select(F.col("u_node").alias("u"), F.col("v_node").alias("v")), "pairs")
     # whole sets of the nodes that can have a link
-    members = written(found.where("grp IS NOT NULL").select("grp", "size", F.col("u").alias("a")).join(id_of.select("a", "node"), "a").select("grp", "size", "node"), "members")
-    done_with(found)
+    all_members = written(found.where("grp IS NOT NULL").select("grp", "size", "times", F.col("u").alias("a")).join(nodes.select("a", "node", "spare"), "a").select("grp", "size", "node", "times", "spare"), "members-all")
+    members = written(relieved(all_members), "members")
+    done_with(found, all_members)
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(members.select("node")).distinct()
     sets = written(whole_sets(docs, nodes.select("node", "doc_id", "digest").join(wanted, "node")), "sets")
     links = written(linked(pairs, sets), "links")
@@ -441,6 +458,18 @@ def classes(docs: DataFrame) -> DataFrame:
                       F.when(F.col("doc_id").isNotNull(), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))).alias("component_id"))
 
 
+def relieved(members: DataFrame) -> DataFrame:
+    """grp, size and node of the members (with times, the keys of the group, and spare) without those that can leave all their groups.
+
+    A passage that some texts hold makes groups of texts that have little else in common. A set with no more keys in groups of more than
+    SMALL members than it can do without meets each linked set on a key of a small group, whatever the other one does.
+    """
+    leaving = members.groupBy("node").agg(F.sum("times").alias("keys"), F.min("spare").alias("spare")).where("keys <= spare").select("node")
+    left = written(members.select("grp", "size", "node").join(leaving, "node", "left_anti").select("grp", "size", "node"), "members-left")
+    now = left.groupBy("grp").agg(F.count(F.lit(1)).alias("now")).where("now > 1")
+    return of_groups(left, now).select("grp", F.col("now").alias("size"), "node")
+
+
 def regrouped(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Groups that are not one class yet, joined to one group where that means fewer comparisons.
 

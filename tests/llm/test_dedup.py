@@ -245,3 +245,28 @@ def test_keep_first_goes_by_row(make):
 def test_substrings_of_whole_long_texts(make, awkward):
     assert max(len(t or "") for _, t in awkward) > 100_000
     assert substring_rows(make(awkward).repartition(3)) == substrings_by_hand(awkward)
+
+
+def test_a_common_passage_makes_no_groups(make, monkeypatch):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(12)]
+    rows = []
+    for k in range(60):
+        words = [word() for _ in range(300)]
+        words[k:k] = passage
+        rows.append((k, " ".join(words)))
+        if k % 6 == 0:  # a near copy, which shares the passage with all others
+            rows.append((k + 100, " ".join(words[:150] + ["other"] + words[151:])))
+    for k in range(12):  # one family of many near copies keeps its group
+        rows.append((k + 200, " ".join([*rows[1][1].split()[:300 - k], "last"])))
+    left = []
+    monkeypatch.setattr(jaccard_join, "regrouped", lambda members, roots, real=jaccard_join.regrouped: left.append({r.node for r in members.collect()}) or real(members, roots))
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(make(rows, clash=False)).collect()}
+    assert len(left[0]) <= 15
+    sets = {i: {tuple(w[j:j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    want = {i: i for i in sets}
+    for _ in range(3):
+        for i in sets:
+            want[i] = min(want[j] for j in sets if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+    assert got == want
