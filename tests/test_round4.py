@@ -41,3 +41,13 @@ def test_crowded_finds_every_large_group(spark):
 def test_polygons_are_not_made_again_for_a_filter(spark):
     polygons = gis.gis_polygons(A.fill_asset_defaults(X.raw_assets(spark, SF)))
     assert not any("Filter" in x and "transform(" in x for x in plan(exports.to_geojson(polygons)))
+
+
+def test_documents_are_gathered_where_the_image_lies(spark):
+    """Lists of an image's parts, its chart and its priorities were dealt out anew, each by its own key."""
+    assets = A.fill_asset_defaults(X.raw_assets(spark, SF))
+    stats = S.category_stats(assets)
+    report = S.urban_density(S.image_summary(stats)).withColumns({
+        **{c: F.lit(1.0) for c in ("overall_detection_confidence_percent", "estimated_total_area_sq_m")}, **{r: F.lit("Low") for r in D.RISKS}, "ai_insights": F.lit(None).cast("array<string>")})
+    moves = [x for x in plan(D.result_document(report, assets, stats)) if "Exchange" in x and "ReusedExchange" not in x]
+    assert moves and all("hashpartitioning(l_orderkey" in x for x in moves)
