@@ -57,7 +57,10 @@ SQL = {
         CASE WHEN doc IS NULL THEN '{'|'.join(K.DEFAULT_INSIGHTS)}' ELSE array_to_string(list_concat(coalesce({_ins}, []), list_transform(range(greatest(0, 3 - coalesce(len({_ins}), 0))), lambda i: '{K.TEXT_FILLER_INSIGHT}'))[1:5], '|') END AS ai_insights,
         coalesce(green, 0.0) AS green_cover_percent, coalesce(built, 0.0) AS built_up_percent, 0.0 AS road_network_percent, least(100.0, water) AS water_body_percent,
         coalesce(parks, 0.0) AS open_space_percent, total AS total_assets_detected FROM docs d JOIN rcov r ON r.image_id = d.response_id""", "docs", "rcov"),
-    "nested_payload": q("""SELECT image_id, CAST(0 AS INT) AS part, count(*) AS rows, CAST(count(*) AS INT) AS in_document, arg_min(unique_id, asset_idx) AS first_id, CAST(sum(estimated_count) AS BIGINT) AS total
+    "nested_payload": q("""SELECT image_id, CAST(0 AS INT) AS part, count(*) AS rows, CAST(count(*) AS INT) AS in_document, arg_min(unique_id, asset_idx) AS first_id, CAST(sum(estimated_count) AS BIGINT) AS total,
+        CAST(count(*) AS INT) AS polygons, CAST(count(*) AS INT) AS markers, CAST(count(*) AS INT) AS points, arg_min(unique_id, asset_idx) AS first_marker, count(*) AS prioritised,
+        CAST(sum(estimated_count) AS BIGINT) AS counted, round(sum(estimated_area_sq_m), 4) AS area,
+        'Detected ' || CAST(CAST(sum(estimated_count) AS BIGINT) AS VARCHAR) || ' assets across ' || CAST(count(DISTINCT category) AS VARCHAR) || ' classes.' AS governance
         FROM assets GROUP BY image_id""", "assets"),
     "result_document": q("""SELECT s.image_id, CAST(0 AS INT) AS part, a.n AS rows, CAST(s.total_assets_detected AS BIGINT) AS total, round(s.green_cover_percent, 6) AS green, c.pie, c.area, a.n AS prioritised, r.f AS flood_risk,
         CAST(a.n AS INT) AS polygons, CAST(a.n AS INT) AS markers, CAST(a.n AS INT) AS points, 28.6139 AS lat, a.first_row AS first_marker, a.first_row,

@@ -51,3 +51,21 @@ def test_documents_are_gathered_where_the_image_lies(spark):
         **{c: F.lit(1.0) for c in ("overall_detection_confidence_percent", "estimated_total_area_sq_m")}, **{r: F.lit("Low") for r in D.RISKS}, "ai_insights": F.lit(None).cast("array<string>")})
     moves = [x for x in plan(D.result_document(report, assets, stats)) if "Exchange" in x and "ReusedExchange" not in x]
     assert moves and all("hashpartitioning(l_orderkey" in x for x in moves)
+
+
+def test_payload_of_records_is_the_whole_document(spark):
+    assets = A.fill_asset_defaults(X.raw_assets(spark, SF).where("image_id < 40"))
+    docs = {r.image_id: json.loads(r.payload) for r in modes.nested_payload(assets).collect()}
+    want = {r.image_id: r for r in assets.groupBy("image_id").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("confidence_percent").alias("conf"), F.array_sort(F.collect_list(F.struct("asset_idx", "unique_id"))).alias("ids")).collect()}
+    assert set(docs) == set(want)
+    for i, doc in docs.items():
+        assert set(doc) == {"analytics_cards", "asset_statistics", "gis_mapping", "dashboard_insights", "chart_data", "asset_table_rows"}
+        assert set(doc["analytics_cards"]) == set(D.CARDS) and set(doc["asset_statistics"]["risk_indicators"].values()) == {"Unknown"}
+        ids = [r.unique_id for r in want[i].ids]
+        assert [m["id"] for m in doc["gis_mapping"]["leaflet_markers"]] == [p["id"] for p in doc["gis_mapping"]["leaflet_polygons"]] == [r["id"] for r in doc["asset_table_rows"]] == ids
+        assert len(doc["gis_mapping"]["heatmap_points"]) == sum(doc["asset_statistics"]["maintenance_priorities"].values()) == want[i].n
+        assert abs(doc["analytics_cards"]["overall_detection_confidence_percent"] - want[i].conf) < 0.00501
+        assert len(doc["dashboard_insights"]["ai_insights_cards"]) == 3 and len(doc["dashboard_insights"]["governance_insights"]) == 3
+    parts = modes.nested_payload(assets, part_size=2).groupBy("image_id").agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("parts"))
+    assert all(r.n == want[r.image_id].n and r.parts == -(-r.n // 2) for r in parts.collect())
