@@ -74,8 +74,8 @@ def swept(boxes: list[tuple], threshold: float, apart: int) -> list[int]:
     return kept
 
 
-def sweep(threshold: float):
-    """Function from boxes that overlap none outside to the kept ones."""
+def sweep(threshold: float, columns: list[str]):
+    """Function from boxes that overlap none outside to the kept ones, with ``columns`` of theirs."""
     apart = levels_apart(threshold)
 
     def run(t: pa.Table) -> pa.Table:
@@ -87,7 +87,7 @@ def sweep(threshold: float):
         kept = []
         for a, b in zip(new[:-1], new[1:]):
             kept += [int(a) + k for k in swept(rect[a:b], threshold, apart)] if b - a > 1 else [int(a)]
-        return t.select(BOX).take(pa.array(order[kept]))
+        return t.select(columns).take(pa.array(order[kept]))
 
     return run
 
@@ -163,24 +163,25 @@ def best_first(boxes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     return tuple(both.where(c).drop("top", "low", "last") for c in (ahead, ~ahead))
 
 
-def suppress(boxes: DataFrame, threshold: float, limit: int | None = None) -> DataFrame:
-    """The boxes (image_id, cls_id, box_idx, conf and corners, each with an area) that greedy suppression keeps.
+def suppress(boxes: DataFrame, threshold: float, limit: int | None = None, carry: list[str] = (), written: bool = False) -> DataFrame:
+    """The boxes (image_id, cls_id, box_idx, conf and corners, each with an area) that greedy suppression keeps, with the columns ``carry``.
 
     Groups of an image and class that a task can hold are swept there, many small ones together. Larger groups are split
     into clusters first. A cluster that is still too large goes in blocks of ranks: its best block is swept, what the
     kept boxes overlap goes, and the next block follows; the number of rounds follows the size of the largest cluster
-    over ``limit``, however long chains of overlaps are.
+    over ``limit``, however long chains of overlaps are. ``written``: the boxes are read from a written table.
     """
     limit = limit or SWEEP
     ship_package(boxes.sparkSession)
-    boxes = cut_lineage(boxes.select(*BOX))
+    columns = [*BOX, *carry]
+    boxes = boxes.select(*columns) if written else cut_lineage(boxes.select(*columns))
     groups = boxes.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
     total, most = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     out = boxes.limit(0).schema
 
     def by(df: DataFrame, *key) -> DataFrame:
         bucket = F.pmod(F.xxhash64(*key), F.lit(max(1, math.ceil(total / limit), df.sparkSession.sparkContext.defaultParallelism if total > 1000 else 1)))
-        return df.groupBy(bucket.alias("bucket")).applyInArrow(sweep(threshold), out)
+        return df.groupBy(bucket.alias("bucket")).applyInArrow(sweep(threshold, columns), out)
 
     if most <= limit:
         return by(boxes, *KEY)
@@ -193,7 +194,7 @@ def suppress(boxes: DataFrame, threshold: float, limit: int | None = None) -> Da
     left = cut_lineage(parts.join(huge, [*KEY, "cluster"], "left_semi"))
     while not left.isEmpty():
         now, later = best_first(left, limit)
-        stay = cut_lineage(now.groupBy(*KEY, "cluster").applyInArrow(sweep(threshold), out))
+        stay = cut_lineage(now.groupBy(*KEY, "cluster").applyInArrow(sweep(threshold, columns), out))
         kept.append(stay)
         left = cut_lineage(unsuppressed(later, stay, threshold))
     return reduce(DataFrame.unionByName, kept)

@@ -3,7 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from terratally.operators import assets as A, gis, ranking, stats as S
+from terratally.operators import assets as A, boxes as B, gis, heights as H, ranking, stats as S, suppress
 from terratally.plans import document as D, modes
 from terratally.sources import exports, fixtures as X
 
@@ -69,3 +69,39 @@ def test_payload_of_records_is_the_whole_document(spark):
         assert len(doc["dashboard_insights"]["ai_insights_cards"]) == 3 and len(doc["dashboard_insights"]["governance_insights"]) == 3
     parts = modes.nested_payload(assets, part_size=2).groupBy("image_id").agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("parts"))
     assert all(r.n == want[r.image_id].n and r.parts == -(-r.n // 2) for r in parts.collect())
+
+
+def written_columns(spark, monkeypatch, module) -> list[list[str]]:
+    """Columns of the tables that a module writes out between steps."""
+    seen, write = [], module.cut_lineage
+    monkeypatch.setattr(module, "cut_lineage", lambda df: seen.append(df.columns) or write(df))
+    return seen
+
+
+def test_naming_report_writes_what_it_reads(spark, monkeypatch):
+    """Whole records were written twice, and the corners of all shadows met the matched ones by image and shadow."""
+    seen = written_columns(spark, monkeypatch, modes)
+    report = modes.analyze_naming(X.boxes(spark, SF), X.shadows(spark, SF))
+    assert len(seen) == 1 and not {"polygon_coordinates", "visual_description", "center_coordinates"} & set(seen[0])
+    assert not any("Generate" in x and "struct(px," in x for x in plan(report))
+
+
+def test_corners_of_matched_shadows(spark):
+    sh = H.box_shadows(X.shadows(spark, SF))
+    rect = F.array(*[F.struct(F.lit(a).alias("x1"), F.lit(b).alias("y1"), F.lit(c).alias("x2"), F.lit(d).alias("y2")) for a, b, c, d in ((10, 20, 50, 90), (0, 0, 1, 1), (200, 100, 300, 220))])
+    matched = sh.select("*", F.inline(rect))
+    key = ["image_id", "shadow_id", "x1", "y1", "x2", "y2", "far_x", "far_y"]
+    want = H.farthest_point(matched.drop("cx", "cy", "sx0", "sy0", "sx1", "sy1"), H.box_shadow_points(sh)).select(key)
+    got = H.farthest_corner(matched).select(key)
+    assert got.count() == 3 * sh.count() and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_kept_boxes_bring_their_columns(spark, monkeypatch):
+    rows = [(1, 0, 1, 0.9, 0.0, 0.0, 10.0, 10.0, "a"), (1, 0, 2, 0.8, 1.0, 0.0, 11.0, 10.0, "b"), (1, 0, 3, 0.9, 0.0, 0.0, 10.0, 10.0, "c"), (1, 0, 4, 0.3, 5.0, 5.0, 5.0, 9.0, "d"),
+            (1, 0, 5, 0.3, 5.0, 5.0, 5.0, 9.0, "e"), (1, 1, 6, 0.8, 1.0, 0.0, 11.0, 10.0, "f"), (2, 0, 1, 0.5, float("nan"), 0.0, 1.0, 1.0, "g"), (2, 0, 2, 0.5, None, 0.0, 1.0, 1.0, "h")]
+    boxes = spark.createDataFrame(rows, "image_id bigint, cls_id int, box_idx int, conf double, x1 double, y1 double, x2 double, y2 double, note string")
+    kept = B.box_nms(boxes)
+    assert kept.columns == boxes.columns and sorted((r.image_id, r.box_idx, r.note) for r in kept.collect()) == [(1, 1, "a"), (1, 4, "d"), (1, 5, "e"), (1, 6, "f"), (2, 1, "g")]
+    seen = []
+    monkeypatch.setattr(B, "suppress", lambda df, t, **k: seen.append(df) or suppress.suppress(df, t, **k))
+    assert not any("Join" in x for x in plan(B.box_nms(X.boxes(spark, SF)))) and len(seen) == 1
