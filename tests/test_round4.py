@@ -1,9 +1,10 @@
 """Numbers of line rows, whole documents from records alone, and features whose columns are made once."""
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from terratally.operators import assets as A, boxes as B, gis, heights as H, ranking, stats as S, suppress
+from terratally.operators import assets as A, boxes as B, gis, heights as H, ranking, regions as Q, stats as S, suppress
 from terratally.plans import document as D, modes
 from terratally.sources import exports, fixtures as X
 
@@ -105,3 +106,27 @@ def test_kept_boxes_bring_their_columns(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(B, "suppress", lambda df, t, **k: seen.append(df) or suppress.suppress(df, t, **k))
     assert not any("Join" in x for x in plan(B.box_nms(X.boxes(spark, SF)))) and len(seen) == 1
+
+
+def test_corners_are_counted_where_the_tile_is(spark):
+    """Words went to six neighbours each, were joined with their pieces again, and pieces with the links that tiles did not have."""
+    long = X.pixels(spark, SF).where("x < 64").groupBy("image_id", "w", "h", F.lit("m").alias("mask"), "y").agg(F.bit_or(F.expr("shiftleft(1L, x)")).alias("bits")).withColumn("xb", F.lit(0))
+    for filled in (True, False):
+        lines = plan(Q.labelled_regions(long, filled))
+        assert not any("Join" in x or "Aggregate" in x for x in lines) and len([x for x in lines if "Exchange" in x]) == 1
+
+
+def test_corners_across_tiles(spark):
+    """Areas do not depend on where tiles end, images one pixel wide or high and full words included."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i, (h, w) in enumerate([(9, 200), (40, 130), (1, 70), (70, 1), (5, 64)]):
+        m = rng.random((h, w)) < (0.8 if i else 1.1)
+        bits = np.zeros((h, -(-w // 64) * 64), bool)
+        bits[:, :w] = m
+        packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+        rows += [(i, w, h, "m", y, xb, int(packed[y, xb])) for y in range(h) for xb in range(packed.shape[1])]
+    long = spark.createDataFrame(rows, "image_id bigint, w int, h int, mask string, y int, xb int, bits bigint")
+    read = lambda *tiles: sorted((r.image_id, r.comp_id, r.n, r.area) for r in Q.region_stats(Q.labelled_regions(long, False, *tiles)).collect())
+    whole = read(1024, 16)
+    assert whole[0] == (0, 0, 1800, 8 * 199.0) and read(4, 1) == read(1, 1) == read(7, 2) == whole
